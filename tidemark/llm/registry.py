@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, langid, mixing, secrets, simhash
+from tidemark.llm import decontaminate, katz, langid, mixing, secrets, simhash, substring
 
-MODULES = (simhash, mixing, decontaminate, langid, secrets)
+MODULES = (simhash, mixing, decontaminate, langid, substring, katz, secrets)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in getattr(m, "SQL", {}).items()}
