@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, katz, langid, mixing, secrets, simhash, substring
+from tidemark.llm import decontaminate, hnsw, katz, langid, licenses, mixing, secrets, simhash, substring, warc
 
-MODULES = (simhash, mixing, decontaminate, langid, substring, katz, secrets)
+MODULES = (simhash, hnsw, mixing, decontaminate, langid, substring, licenses, katz, secrets, warc)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in getattr(m, "SQL", {}).items()}
