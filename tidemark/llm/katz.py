@@ -30,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.pieces import ANSWER_SCHEMA, END, ODD, REQUEST_SCHEMA, Piece, answer_all, bounds, make_pieces, mix, pack, pack_sorted, pieces_of, requests, totals, unpack, unpack_sorted
+from tidemark.llm.pieces import ANSWER_SCHEMA, NO_ID, ODD, PIECE_BYTES, REQUEST_SCHEMA, Piece, answer_all, bounds, make_pieces, mix, pack, pack_sorted, pieces_of, requests, totals, unpack, unpack_sorted
 from tidemark.session import materialise, table
 
 K = 5
 BEGIN = np.uint64(0x3C79AC492BA7B653)
-NO_ID = -(1 << 63)
 WORDS, PAIRS, HISTORIES, STATS = 0, 1, 2, 3
 
 
@@ -93,7 +92,7 @@ class Grams:
 def _ask(buckets: int):
     def run(batches):
         for b in batches:
-            for n, p in pieces_of(b):
+            for n, p in pieces_of(b, end=True):
                 g = Grams(p)
                 learn = np.repeat(p.flags == 0, p.lengths)
                 yield requests(n, WORDS, g.words, np.bincount(g.word[learn], minlength=len(g.words)), buckets)
@@ -137,7 +136,7 @@ HISTORY_SCHEMA = "bucket int, piece long, keys binary, sums binary"
 def _ask_histories(model: Model, buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"bucket": [], "piece": [], "keys": [], "sums": []}
-        for n, p in pieces_of(left):
+        for n, p in pieces_of(left, end=True):
             g = Grams(p)
             word, pair, mine = _counts(g, right)
             mine &= pair > 0
@@ -170,14 +169,14 @@ def _backoff(t: pa.Table) -> pa.Table:
 def _score(model: Model):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        for _, p in pieces_of(left):
+        for _, p in pieces_of(left, end=True):
             g = Grams(p)
             word, pair, _ = _counts(g, right)
             alpha, keep, count = answer_all(right, HISTORIES, np.float64).reshape(-1, 3).T
             w, h = g.word[g.first], g.history[g.first]  # of each distinct pair
             prob = np.where(pair > 0, keep[h] * _discounted(pair, model.d2) / np.maximum(count[h], 1), alpha[h] * model.unigram(word[w]))
             each = {"n_known": (word > 0)[g.word].astype(np.int64), "base_score": model.base(word)[g.word], "score": np.log10(prob)[g.pair]}
-            out["doc_id"].append(p.rows)
+            out["doc_id"].append(p.ids)
             out["held_out"].append(p.flags == 1)
             out["n_tokens"].append(p.lengths)
             for k, v in each.items():
@@ -192,15 +191,14 @@ def _score(model: Model):
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, held_out, size: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out, size: int = PIECE_BYTES) -> DataFrame:
     """Train on the rows of ``docs`` where ``held_out`` is false; score every row.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10).
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("row"), F.coalesce(held_out, F.lit(False)).cast("tinyint").alias("flag"), "text")
-    pieces = materialise(make_pieces(rows, lower=True, end=True, **({"size": size} if size else {})), "pieces")
+    pieces = materialise(make_pieces(docs, lower=True, flag=held_out, size=size), "pieces")
     counted = pieces.mapInArrow(_ask(buckets), REQUEST_SCHEMA).groupBy("bucket").applyInArrow(_count, ANSWER_SCHEMA)
     counted = materialise(counted, "counts")
     stats = {f: np.zeros(K + 3, np.int64) for f in (WORDS, PAIRS)}

@@ -1,8 +1,9 @@
-"""Word sequences as pieces of hashed words, and counts of keys over all pieces.
+"""Texts in packed pieces, and counts of n-gram keys over all pieces.
 
-A piece holds the word hashes of some thousand consecutive rows (about ``PIECE_WORDS`` words; a
-longer document is a piece of its own), packed and written once. Whatever is asked about n-grams
-of the corpus is then asked piece by piece:
+A piece holds some thousand consecutive rows (about ``PIECE_BYTES`` of text; a longer document is
+a piece of its own), packed with Zstandard and written once: a third of the size of word hashes,
+and the texts need not move again. Whatever is asked about n-grams of the corpus is then asked
+piece by piece:
 
 1. each piece sends, for every bucket of the key space, its sorted distinct keys with their local
    counts (so a key shared by a third of all rows is sent once a piece, not once a row);
@@ -17,15 +18,21 @@ equal n-grams: the chance that any two of n distinct ones meet is about n * n /
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-PIECE_WORDS = 3_000_000
-PIECE_SCHEMA = "piece long, rows binary, flags binary, lengths binary, words binary"
+PIECE_BYTES = 16 << 20
+PIECE_SCHEMA = "piece long, ids binary, flags binary, sizes binary, texts binary"
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: The end of a text, as a word's hash.
 END = np.uint64(0xE220A8397B1DCDAF)
@@ -68,57 +75,66 @@ class WordHashes(dict):
 
 
 # ---------------------------------------------------------------- pieces
-def _pieces(lower: bool, end: bool, size: int):
+def _pieces(lower: bool, size: int):
     def run(batches):
-        known, held, words, count = WordHashes(), [], [], 0
+        held, count, n = [], 0, 0
         task = TaskContext.get().partitionId() << 32
 
-        def flush(n):
-            rows, flags, lengths = zip(*held, strict=True)
-            cols = [pack(np.array(rows, np.int64)), pack(np.array(flags, np.int8)), pack(np.array(lengths, np.int64)), pack(np.concatenate(words), 3)]
-            return pa.RecordBatch.from_arrays([pa.array([task + n], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], names=["piece", "rows", "flags", "lengths", "words"])
+        def flush():
+            ids, flags, texts = zip(*held, strict=True)
+            cols = [pack(np.array(ids, np.int64)), pack(np.array(flags, np.int8)), pack(np.array([len(t) for t in texts], np.int64)), pack(np.frombuffer(b"".join(texts), np.uint8), 3)]
+            return pa.RecordBatch.from_arrays([pa.array([task + n], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], names=["piece", "ids", "flags", "sizes", "texts"])
 
-        n = 0
         for b in batches:
-            for row, flag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                w = (text.lower() if lower else text).split() if text else []
-                h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-                if end:
-                    h = np.append(h, END)
-                if held and count + len(h) > size:
-                    yield flush(n)
-                    held, words, count, n = [], [], 0, n + 1
-                held.append((row, flag, len(h)))
-                words.append(h)
-                count += len(h)
+            for i, flag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                t = (text.lower() if lower else text) if text else b""
+                if held and count + len(t) > size:
+                    yield flush()
+                    held, count, n = [], 0, n + 1
+                held.append((i, flag, t))
+                count += len(t)
         if held:
-            yield flush(n)
+            yield flush()
 
     return run
 
 
-def make_pieces(rows: DataFrame, lower: bool, end: bool, size: int = PIECE_WORDS) -> DataFrame:
-    """Pieces of ``rows(row bigint, flag tinyint, text string)``; nulls in text have no words."""
-    return rows.mapInArrow(_pieces(lower, end, size), PIECE_SCHEMA)
+def make_pieces(docs: DataFrame, lower: bool, flag=None, size: int = PIECE_BYTES) -> DataFrame:
+    """Pieces of ``docs(doc_id, text, ...)``; ``flag`` is a boolean column kept with each row."""
+    flag = F.lit(0) if flag is None else F.coalesce(flag, F.lit(False))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), flag.cast("tinyint").alias("flag"), "text")
+    return rows.mapInArrow(_pieces(lower, size), PIECE_SCHEMA)
 
 
 class Piece:
-    """One unpacked piece: per document its row key, flag and first position; all words."""
-
-    def __init__(self, rows: bytes, flags: bytes, lengths: bytes, words: bytes):
-        self.rows, self.flags, self.lengths = unpack(rows, np.int64), unpack(flags, np.int8), unpack(lengths, np.int64)
-        self.words = unpack(words, np.uint64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+    """One unpacked piece: ids, flags and texts of its rows, and the hashes of all their words.
 
-    def document(self) -> np.ndarray:
-        """The document's number, for every word."""
-        return np.repeat(np.arange(len(self.rows)), self.lengths)
+    With ``end``, every text has one more word, ``END``.
+    """
 
-
-def pieces_of(table) -> list[tuple[int, Piece]]:
-    """The pieces in an Arrow table or batch."""
-    cols = [table.column(c).to_pylist() for c in ("piece", "rows", "flags", "lengths", "words")]
-    return [(p, Piece(*rest)) for p, *rest in zip(*cols, strict=True)]
+    def __init__(self, ids: bytes, flags: bytes, sizes: bytes, texts: bytes, known: WordHashes, end: bool):
+        self.ids, self.flags = unpack(ids, np.int64), unpack(flags, np.int8)
+        data, to = zstandard.ZstdDecompressor().decompress(texts), np.cumsum(unpack(sizes, np.int64)).tolist()
+        self.texts = [data[a:b] for a, b in zip([0, *to], to, strict=False)]
+        split = [t.split() for t in self.texts]
+        self.lengths = np.array([len(w) + end for w in split], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.words = np.full(int(self.lengths.sum()), END)
+        inside = np.ones(len(self.words), bool)
+        if end:
+            inside[self.starts + self.lengths - 1] = False
+        self.words[inside] = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, int(inside.sum()))
+
+    def id_array(self, at=slice(None)) -> pa.Array:
+        return pa.array(self.ids[at], mask=self.ids[at] == NO_ID)
+
+
+def pieces_of(table, end: bool = False) -> Iterator[tuple[int, Piece]]:
+    """The pieces in an Arrow table or batch, one at a time."""
+    known = WordHashes()
+    for i in range(table.num_rows):
+        piece, *rest = (table.column(c)[i].as_py() for c in ("piece", "ids", "flags", "sizes", "texts"))
+        yield piece, Piece(*rest, known, end)
 
 
 # ---------------------------------------------------------------- asking and answering

@@ -11,10 +11,11 @@ and counted over the corpus. Around each shared anchor the match is then extende
 that hold it are hashed whole and counted in the same way, and those counted twice are removed.
 
 Both counts go by pieces (see ``pieces``): a passage in a third of all documents is sent once a
-piece. Texts move once, to meet their own removals. Equality of windows is that of 64-bit hashes.
+piece. Equality of windows is that of 64-bit hashes.
 
-Defined cases: a null text has no words; shorter documents keep all; rows that are equal in doc_id
-and text are separate starts, so they remove each other; an empty table gives an empty result.
+Defined cases: a null text has no words; shorter documents keep all; rows that are equal, ids
+included, are separate starts, so they remove each other; a null doc_id stays null; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm.pieces import ANSWER_SCHEMA, ODD, REQUEST_SCHEMA, Piece, answer_all, make_pieces, mix, pack, pieces_of, requests, totals, unpack, unpack_sorted
 from tidemark.session import materialise, table
@@ -32,6 +32,7 @@ from tidemark.session import materialise, table
 WINDOW = 35
 PERIOD = 21
 COVER = (3, 6, 7, 12, 14)
+ANCHORS, WINDOWS = 0, 1
 
 
 def _prefix(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +80,7 @@ def _ask_anchors(window: int, buckets: int):
             for n, p in pieces_of(b):
                 r = Runs(p, window)
                 keys, counts = np.unique(r.hash(r.anchors(), window - PERIOD + 1), return_counts=True)
-                yield requests(n, 0, keys, counts, buckets)
+                yield requests(n, ANCHORS, keys, counts, buckets)
 
     return run
 
@@ -92,15 +93,15 @@ def _shared(t: pa.Table) -> pa.Table:
     return pa.table({"piece": t.column("piece"), "bucket": t.column("bucket"), "family": t.column("family"), "vals": pa.array([pack(x) for x in bits], pa.binary())})
 
 
-def _repeated(keys: np.ndarray, answers) -> np.ndarray:
+def _repeated(keys: np.ndarray, answers, family: int) -> np.ndarray:
     """Of keys (any order, repeats), which are shared."""
     _, where = np.unique(keys, return_inverse=True)
-    return answer_all(answers, 0, np.bool_)[where] if len(keys) else np.zeros(0, bool)
+    return answer_all(answers, family, np.bool_)[where] if len(keys) else np.zeros(0, bool)
 
 
 def _near(r: Runs, answers) -> np.ndarray:
     at = r.anchors()
-    return r.windows_around(at[_repeated(r.hash(at, r.window - PERIOD + 1), answers)])
+    return r.windows_around(at[_repeated(r.hash(at, r.window - PERIOD + 1), answers, ANCHORS)])
 
 
 def _ask_windows(window: int, buckets: int):
@@ -108,102 +109,62 @@ def _ask_windows(window: int, buckets: int):
         out = []
         for n, p in pieces_of(left):
             r = Runs(p, window)
-            starts = _near(r, right)
-            keys, counts = np.unique(r.hash(starts, window), return_counts=True)
-            asked = requests(n, 0, keys, counts, buckets)
-            # the piece's own row: which starts were asked for, with their number among the keys
-            where = np.searchsorted(keys, r.hash(starts, window)).astype(np.uint32)
-            own = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64()), pa.array([1], pa.int32()), pa.array([pack(np.diff(starts, prepend=0).astype(np.uint32))], pa.binary()), pa.array([pack(where)], pa.binary())], names=asked.schema.names)
-            out += [asked, own]
-        return pa.Table.from_batches(out, out[0].schema) if out else _EMPTY_REQUESTS
+            keys, counts = np.unique(r.hash(_near(r, right), window), return_counts=True)
+            out.append(requests(n, WINDOWS, keys, counts, buckets))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-_EMPTY_REQUESTS = pa.table({"bucket": pa.array([], pa.int32()), "piece": pa.array([], pa.int64()), "family": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
-
+def _remove(window: int, finish):
+    """The last step of a piece; ``finish`` makes a column of the kept words."""
 
-def _removals(window: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, cuts = [], []
-        for n in range(left.num_rows):
-            docs, lengths = unpack(left.column("rows")[n].as_py(), np.int64), unpack(left.column("lengths")[n].as_py(), np.int64)
-            starts = np.cumsum(unpack(left.column("keys")[n].as_py(), np.uint32).astype(np.int64))
-            where = unpack(left.column("counts")[n].as_py(), np.uint32)
-            gone = starts[answer_all(right, 0, np.bool_)[where]] if len(starts) else starts
-            edge = np.zeros(lengths.sum() + 1, np.int64)
+        out = []
+        for _, p in pieces_of(left):
+            r = Runs(p, window)
+            starts = _near(r, right)
+            gone = starts[_repeated(r.hash(starts, window), right, WINDOWS)]
+            edge = np.zeros(len(p.words) + 1, np.int64)
             np.add.at(edge, gone, 1)
             np.add.at(edge, gone + window, -1)
             covered = np.cumsum(edge[:-1]) > 0
-            first = np.cumsum(lengths) - lengths
-            total = np.add.reduceat(np.append(covered, False), np.minimum(first, len(covered))) * (lengths > 0) if len(first) else first
-            for d in np.flatnonzero(total):
-                rows.append(int(docs[d]))
-                cuts.append(pack(np.packbits(covered[first[d] : first[d] + lengths[d]])))
-        return pa.table({"row": pa.array(rows, pa.int64()), "cut": pa.array(cuts, pa.binary())})
+            removed, kept = np.zeros(len(p.texts), np.int64), []
+            for d, (text, at, n) in enumerate(zip(p.texts, p.starts.tolist(), p.lengths.tolist(), strict=True)):
+                words, cut = text.split(), covered[at : at + n]
+                if cut.any():
+                    removed[d] = cut.sum()
+                    words = [words[i] for i in np.flatnonzero(~cut).tolist()]
+                kept.append(finish(b" ".join(words)))
+            out.append(pa.table({"doc_id": p.id_array(), "n_words": pa.array(p.lengths), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.string())}))
+        return pa.concat_tables(out)
 
     return run
 
 
-def row_key():
-    """Of doc_id and text: rows that share it are equal and fare alike."""
-    return F.xxhash64("doc_id", "text")
-
+def remove_repeats(docs: DataFrame, window: int = WINDOW, finish=bytes.decode) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept)``: the kept words of every row, joined by blanks.
 
-def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(row, cut)``: for each distinct row (see ``row_key``) that loses words, packed bits."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ``finish`` turns the kept words (UTF-8) into the string that is returned for them.
+    """
     if window < PERIOD:
         raise ValueError(f"windows of under {PERIOD} words need a smaller period")
-    rows = docs.select(row_key().alias("row"), F.lit(0).cast("tinyint").alias("flag"), "text")
-    pieces = materialise(make_pieces(rows, lower=False, end=False), "pieces")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = materialise(make_pieces(docs, lower=False), "pieces")
     asked = pieces.mapInArrow(_ask_anchors(window, buckets), REQUEST_SCHEMA)
-    shared = asked.groupBy("bucket").applyInArrow(_shared, ANSWER_SCHEMA)
-    asked = pieces.groupBy("piece").cogroup(shared.groupBy("piece")).applyInArrow(_ask_windows(window, buckets), REQUEST_SCHEMA)
-    asked = materialise(asked, "windows")
-    shared = asked.where("family = 0").groupBy("bucket").applyInArrow(_shared, ANSWER_SCHEMA)
-    own = asked.where("family = 1").select("piece", "keys", "counts").join(pieces.select("piece", "rows", "lengths"), "piece")
-    cut = own.groupBy("piece").cogroup(shared.groupBy("piece")).applyInArrow(_removals(window), "row long, cut binary")
-    return cut.dropDuplicates(["row"])
-
-
-def _kept(batches):
-    for b in batches:
-        out = {k: [] for k in ("n_words", "n_removed", "kept")}
-        for text, cut in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
-            words = text.split() if text else []
-            out["n_words"].append(len(words))
-            if cut is None:
-                out["n_removed"].append(0)
-            else:
-                gone = np.unpackbits(unpack(cut, np.uint8), count=len(words)).astype(bool)
-                words = [words[i] for i in np.flatnonzero(~gone).tolist()]
-                out["n_removed"].append(int(gone.sum()))
-            out["kept"].append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.binary()).cast(pa.string())], names=["doc_id", *out])
-
-
-def _digests(batches):
-    for b in _kept(batches):
-        sha = [hashlib.sha256(k).hexdigest() for k in b.column(3).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-
-def _matched(docs: DataFrame, window: int) -> DataFrame:
-    cut = materialise(removals(docs, window), "removals")
-    return docs.select("doc_id", "text", row_key().alias("row")).join(cut, "row", "left").select("doc_id", "text", "cut")
+    anchors = materialise(asked.groupBy("bucket").applyInArrow(_shared, ANSWER_SCHEMA), "anchors")
+    asked = pieces.groupBy("piece").cogroup(anchors.groupBy("piece")).applyInArrow(_ask_windows(window, buckets), REQUEST_SCHEMA)
+    windows = asked.groupBy("bucket").applyInArrow(_shared, ANSWER_SCHEMA)
+    known = anchors.union(windows).groupBy("piece")
+    return pieces.groupBy("piece").cogroup(known).applyInArrow(_remove(window, finish), "doc_id long, n_words long, n_removed long, kept string")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept)``: the kept words of every row, joined by blanks."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _matched(docs, window).mapInArrow(_kept, f"doc_id {kind}, n_words long, n_removed long, kept string")
+def sha256_hex(kept: bytes) -> str:
+    return hashlib.sha256(kept).hexdigest()
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return _matched(docs, WINDOW).mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return remove_repeats(table(spark, sf_dir, "documents"), finish=sha256_hex).withColumnRenamed("kept", "kept_sha256")
 
 
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}
