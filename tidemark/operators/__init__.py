@@ -1 +1 @@
-
+"""Operators on DataFrames, by family."""

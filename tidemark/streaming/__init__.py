@@ -1 +1 @@
-
+"""Streaming state and its batch twins."""
