@@ -82,3 +82,8 @@ def worm_allows(name) -> Column:
 
 def utilisation(used, total) -> Column:
     return F.when(_c(total) == 0, F.lit(0.0)).otherwise(_c(used) / _c(total))
+
+
+def master_by_parity(ip) -> Column:
+    """Servers with an odd last number of their address may be masters."""
+    return F.coalesce(F.get(F.split(_c(ip), "[.]"), F.lit(3)).cast("int") % 2 == 1, F.lit(False))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 MAX_UTIL = 0.9
 TARGET = 3
 
@@ -170,45 +172,66 @@ def utilisation_bands(servers: DataFrame, band: float = 0.1) -> DataFrame:
 def rebalance_plan(replicas: DataFrame, sizes: DataFrame, servers: DataFrame, band: float = 0.1, tries: int = 5) -> DataFrame:
     """Moves ``(chunk_id, src, dst)`` from over- to under-used servers.
 
-    The greedy walk is sequential, so it is done in groups: the over-used servers and the
-    under-used ones are dealt to the same number of groups by rank, and each group plans its own
-    moves with targets of its own. Chunks are walked in order; of the group's targets, at most
-    ``tries`` are tried in turn; one that would pass the upper edge of the band is done.
+    The greedy walk is sequential, so each over-used server walks its own chunks, with targets of
+    its own: the under-used servers are dealt round to the over-used ones by rank. What one task
+    holds is then one server's chunks. Chunks are walked in order; at most ``tries`` targets are
+    tried in turn; one that would pass the upper edge of the band is done.
     """
-    b = utilisation_bands(servers, band).join(servers.select("server", "used", "total", "util"), "server")
     mean = servers.agg(F.avg("util").alias("mean"))
-    b = b.crossJoin(F.broadcast(mean)).where("band <> 'within'")
-    groups = 8
-    b = b.withColumn("group", F.pmod(F.xxhash64("server"), F.lit(groups)).cast("int"))
-    over = b.where("band = 'over'").select("server", F.col("group").alias("plan_group"))
+    b = utilisation_bands(servers, band).join(servers.select("server", "used", "total", "util"), "server").crossJoin(F.broadcast(mean))
+    b = materialise(b.where("band <> 'within'"), "bands")  # one row a server
+    over, under = b.where("band = 'over'"), b.where("band = 'under'")
+    every = W.orderBy("server")
+    over = over.withColumn("r", F.row_number().over(every) - 1)
+    n_over = F.broadcast(over.agg(F.count("*").alias("n_over")).where("n_over > 0"))
+    dealt = under.withColumn("r", F.row_number().over(W.orderBy("util", "server")) - 1).crossJoin(n_over).withColumn("r", F.col("r") % F.col("n_over")).drop("n_over")
+    sides = over.unionByName(dealt)
     hosts = replicas.groupBy("chunk_id").agg(F.collect_set("server").alias("hosts"))
-    c = replicas.join(sizes.select("chunk_id", "size"), "chunk_id").join(over, "server").join(hosts, "chunk_id")
+    mine = over.select("server", F.col("r").alias("plan_r"))
+    c = replicas.join(sizes.select("chunk_id", "size"), "chunk_id").join(mine, "server").join(hosts, "chunk_id")
 
-    def plan(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        moves = []
+    def plan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        moves, at = [], 0
         low = right[right["band"] == "under"].sort_values(["util", "server"])
         room = {r.server: r.mean * (1 + band) * r.total - r.used for r in low.itertuples()}
-        ring, at = list(room), 0
-        for src in right[right["band"] == "over"].sort_values("server").itertuples():
-            surplus = src.surplus
-            for chunk in left[left["server"] == src.server].sort_values("chunk_id").itertuples():
-                if surplus <= 0 or not ring:
-                    break
-                for k in range(min(tries, len(ring))):
-                    dst = ring[(at + k) % len(ring)]
-                    if dst in set(chunk.hosts):
-                        continue
-                    at = (at + k + 1) % len(ring)
+        ring = list(room)
+        surplus = right.loc[right["band"] == "over", "surplus"].sum()
+        for chunk in left.sort_values("chunk_id").itertuples():
+            if surplus <= 0 or not ring:
+                break
+            hosts = set(chunk.hosts)
+            for k in range(min(tries, len(ring))):
+                dst = ring[(at + k) % len(ring)]
+                if dst not in hosts:
                     room[dst] -= chunk.size
                     surplus -= chunk.size
-                    moves.append((chunk.chunk_id, src.server, dst))
+                    moves.append((chunk.chunk_id, chunk.server, dst))
+                    at = (at + k + 1) % len(ring)
                     if room[dst] <= 0:
                         ring.remove(dst)
                         at = at % len(ring) if ring else 0
                     break
         return pd.DataFrame(moves, columns=["chunk_id", "src", "dst"]).astype("int64")
 
-    return c.groupBy("plan_group").cogroup(b.groupBy("group")).applyInPandas(plan, "chunk_id long, src long, dst long")
+    return c.groupBy("plan_r").cogroup(sides.groupBy("r")).applyInPandas(plan, "chunk_id long, src long, dst long")
+
+
+def weighted_pick(drives: DataFrame, picks: DataFrame) -> DataFrame:
+    """``picks(pick, at)`` with ``at`` in [0, 1): the drive ``(drive, free)`` under that share of all free space.
+
+    The drive is the first whose running share exceeds ``at``; drives without free space are out.
+    """
+    w = W.orderBy("drive")  # drives of one server
+    d = drives.where("free > 0").withColumn("_to", F.sum("free").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    d = d.agg(F.array_sort(F.collect_list(F.struct("_to", "drive"))).alias("_d"), F.sum("free").alias("_all"))
+    hit = F.get(F.filter("_d", lambda x: x._to > F.col("at") * F.col("_all")), F.lit(0))
+    return picks.crossJoin(F.broadcast(d)).select("pick", hit.drive.alias("drive"))
+
+
+def leased_files(chunks: DataFrame, leases: DataFrame, now: int) -> DataFrame:
+    """Files with a valid lease ``(chunk_id, expires)`` on any chunk."""
+    valid = leases.where(F.col("expires") >= now).select("chunk_id")
+    return chunks.join(valid, "chunk_id", "left_semi").select("fid").distinct()
 
 
 def executable_moves(plan: DataFrame, chunks: DataFrame, replicas: DataFrame, servers: DataFrame) -> DataFrame:

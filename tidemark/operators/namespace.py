@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 MAX_DEPTH = 64
 
 
@@ -56,9 +58,19 @@ def lookup(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(nodes, ["parent", "name"]).select("parent", "name", "fid", "type", "size", "mtime")
 
 
-def lookup_paths(nodes: DataFrame, wanted: DataFrame, root: int) -> DataFrame:
-    """Attributes of ``wanted(path)``."""
-    return wanted.join(paths(nodes, root), "path").select("path", "fid", "type", "size", "mtime")
+def lookup_paths(nodes: DataFrame, wanted: DataFrame, root: int, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Attributes of ``wanted(path)``, walked down one name at a time, so no other path is made."""
+    here = wanted.select("path", F.filter(F.split("path", "/"), lambda x: x != "").alias("_names"), F.lit(root).cast("long").alias("_at"))
+    step = nodes.select(F.col("parent").alias("_at"), F.col("name").alias("_name"), F.col("fid").alias("_next"))
+    found = here.where(F.size("_names") < 0).select("path", "_at")
+    for depth in range(max_depth):
+        here = here.withColumn("_name", F.get("_names", F.lit(depth))).join(step, ["_at", "_name"]).select("path", "_names", F.col("_next").alias("_at"))
+        here = materialise(here, "walk")  # a row a wanted path; earlier steps are not run again
+        found = found.unionByName(here.where(F.size("_names") == depth + 1).select("path", "_at"))
+        here = here.where(F.size("_names") > depth + 1)
+        if here.isEmpty():
+            break
+    return found.join(nodes.withColumnRenamed("fid", "_at"), "_at").select("path", F.col("_at").alias("fid"), "type", "size", "mtime")
 
 
 def readdir(nodes: DataFrame, parents: DataFrame) -> DataFrame:

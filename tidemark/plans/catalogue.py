@@ -126,7 +126,7 @@ def chunk_split_plan(s, d):
 
 @query(with_(REC) + "SELECT count(*) n_records, 0::BIGINT n_violations FROM rec")
 def merge_validate(s, d):
-    return keyed.order_violations(t.records(s, d), F.struct("key", "seq"), "part")
+    return keyed.order_violations(t.records(s, d), F.struct("key", "seq"), "part", "attempt")
 
 
 @query(with_(REC) + "SELECT group_size, count(*) n_groups FROM (SELECT count(*) group_size FROM rec GROUP BY part, key) GROUP BY 1")
@@ -546,6 +546,25 @@ def replica_choice(s, d):
     return health.replica_choice(r, r.where("(chunk_id + server) % 7 = 0"), _some(s, d, 3, 0))
 
 
+@query(with_(SV) + """, d AS (SELECT server, total - used f FROM sv WHERE rack % 5 = 1 AND total > used), c AS (SELECT server, sum(f) OVER (ORDER BY server) t, sum(f) OVER () a FROM d)
+  SELECT p pick, min(server) drive FROM (SELECT unnest(range(0, 1000)) p), c WHERE t > p / 1000 * a GROUP BY 1""")
+def weighted_drive_pick(s, d):
+    drives = t.servers(s, d).where("rack % 5 = 1").select(F.col("server").alias("drive"), (F.col("total") - F.col("used")).alias("free"))
+    return health.weighted_pick(drives, s.range(1000).select(F.col("id").alias("pick"), (F.col("id") / 1000).alias("at")))
+
+
+@query(with_(CH) + "SELECT DISTINCT fid FROM ch WHERE chunk_id % 9 = 0 AND chunk_id * 31 % 600 >= 300")
+def leased_files(s, d):
+    c = t.chunks(s, d)
+    return health.leased_files(c, c.where("chunk_id % 9 = 0").select("chunk_id", (F.col("chunk_id") * 31 % 600).alias("expires")), 300)
+
+
+@query("SELECT s_suppkey server, s_suppkey % 256 % 2 = 1 master FROM supplier")
+def master_by_parity(s, d):
+    ip = F.concat_ws(".", F.lit("10.0.0"), (F.col("s_suppkey") % 256).cast("string"))
+    return table(s, d, "supplier").select(F.col("s_suppkey").alias("server"), scalar.master_by_parity(ip).alias("master"))
+
+
 # ---------------------------------------------------------------- integrity and scalars
 def _files(s, d):
     return table(s, d, "documents").select(F.col("doc_id").alias("fid"), F.col("text").cast("binary").alias("data"))
