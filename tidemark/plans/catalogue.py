@@ -190,10 +190,12 @@ def list_paths(s, d):
     return p.select(F.when(F.col("type") == "dir", F.concat_ws(" ", F.lit("path"), "path", fid, mtime)).otherwise(F.concat_ws(" ", "path", fid, size, mtime)).alias("line"))
 
 
-@query(with_(ND, PT, recursive=True) + "SELECT path, fid, type, size, mtime FROM pt WHERE fid % 1000 = 7")
+@query(with_(ND, PT, recursive=True) + "SELECT path, fid, type, size, mtime FROM pt WHERE type = 'file' AND fid % 1000 = 7")
 def path_lookup(s, d):
-    n = t.nodes(s, d)
-    return namespace.lookup_paths(n, namespace.paths(n, t.ROOT).where("fid % 1000 = 7").select("path"), t.ROOT)
+    o = table(s, d, "orders").where("o_orderkey % 1000 = 7").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    wanted = o.select(F.concat(F.lit("/"), F.concat_ws("/", "r_name", "n_name", "c_name", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))).alias("path"))
+    return namespace.lookup_paths(t.nodes(s, d), wanted, t.ROOT)
 
 
 @query(with_(ND) + "SELECT parent, name, fid, type, size, mtime FROM nd WHERE name LIKE '%00%'")
