@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
 PIECE_SCHEMA = "piece long, ids binary, flags binary, sizes binary, texts binary"
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
@@ -68,7 +68,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, remembered for the words of a task and forgotten when there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -116,14 +116,23 @@ class Piece:
         self.ids, self.flags = unpack(ids, np.int64), unpack(flags, np.int8)
         data, to = zstandard.ZstdDecompressor().decompress(texts), np.cumsum(unpack(sizes, np.int64)).tolist()
         self.texts = [data[a:b] for a, b in zip([0, *to], to, strict=False)]
-        split = [t.split() for t in self.texts]
-        self.lengths = np.array([len(w) + end for w in split], np.int64)
+        lengths: list[int] = []
+
+        def lists():
+            for t in self.texts:  # the words of one text at a time
+                w = t.split()
+                lengths.append(len(w) + end)
+                yield w
+
+        hashes = np.fromiter(map(known.__getitem__, chain.from_iterable(lists())), np.uint64)
+        self.lengths = np.array(lengths, np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.words = np.full(int(self.lengths.sum()), END)
-        inside = np.ones(len(self.words), bool)
+        self.words = hashes
         if end:
+            self.words = np.full(int(self.lengths.sum()), END)
+            inside = np.ones(len(self.words), bool)
             inside[self.starts + self.lengths - 1] = False
-        self.words[inside] = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, int(inside.sum()))
+            self.words[inside] = hashes
 
     def id_array(self, at=slice(None)) -> pa.Array:
         return pa.array(self.ids[at], mask=self.ids[at] == NO_ID)

@@ -148,4 +148,32 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def _sql() -> str:
+    """The same rows in DuckDB: entropy of each window from its own counts, repeats without a back-reference."""
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = [*((k, PATTERNS[k], 2 if k == "assign" else 0) for k in KINDS), ("entropy", CANDIDATE, 0)]
+    found = " UNION ALL ".join(f"SELECT doc_id, {n} n, '{k}' kind, regexp_split_to_array(t, {lit(p)}) pc, regexp_extract_all(t, {lit(p)}) ms, regexp_extract_all(t, {lit(p)}, {g}) vs FROM d" for n, (k, p, g) in enumerate(kinds))
+    allowed = " OR ".join([f"regexp_matches(v, {lit(a)})" for a in ALLOW if "\\1" not in a] + [f"(len(v) % {k} = 0 AND v = repeat(substr(v, 1, {k}), len(v) // {k}))" for k in (1, 2, 3, 4)])
+    limit = " ".join(f"WHEN '{c}' THEN {t}" for c, t in THRESHOLDS.items())
+    w = WINDOW
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents), f AS ({found}),
+    x AS (SELECT doc_id, n, kind, length(array_to_string(pc[1:i], '')) + length(array_to_string(ms[1:i - 1], '')) s, ms[i] m, vs[i] v
+          FROM (SELECT *, unnest(range(1, len(ms) + 1)) i FROM f)),
+    y AS (SELECT doc_id, n, kind, s, s + length(m) e, v FROM x),
+    b AS (SELECT * FROM y WHERE n < 3 AND (n > 0 OR length(v) >= 6)),
+    c AS (SELECT *, CASE WHEN regexp_full_match(v, '[0-9]+') THEN 'decimal' WHEN regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(v, '[A-Za-z]+') THEN 'letters'
+          WHEN regexp_full_match(v, '[A-Za-z0-9]+') THEN 'alphanumeric' ELSE 'base64' END k
+          FROM y WHERE n = 3 AND NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = y.doc_id AND b.s < y.e AND y.s < b.e)),
+    g AS (SELECT doc_id, s, k, i, string_split(substr(v, i, {w}), '') ch FROM (SELECT *, unnest(range(1, length(v) - {w} + 2)) i FROM c)),
+    h AS (SELECT doc_id, s, k, i, log2({w}) - list_sum(list_transform(list_distinct(ch), lambda a: len(list_filter(ch, lambda z: z = a)) * log2(len(list_filter(ch, lambda z: z = a))))) / {w} en FROM g),
+    en AS (SELECT doc_id, 3 n, 'entropy' kind, s + min(i) - 1 s2, s + max(i) + {w} - 1 e FROM h WHERE en >= CASE k {limit} END GROUP BY doc_id, s),
+    a AS (SELECT doc_id, n, kind, s, e FROM b UNION ALL SELECT * FROM en),
+    r AS (SELECT doc_id, count(*) FILTER (n = 0) a0, count(*) FILTER (n = 1) a1, count(*) FILTER (n = 2) a2,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n) FILTER (n < 3) bs, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n) sp FROM a GROUP BY 1)
+    SELECT doc_id, coalesce(a0, 0)::BIGINT n_assign, coalesce(a1, 0)::BIGINT n_access, coalesce(a2, 0)::BIGINT n_hex, sha256(coalesce(bs, '')) base_sha256, coalesce(sp, '') spans
+    FROM documents LEFT JOIN r USING (doc_id)"""
+
+
 QUERIES = {"op9_secret_scan": op9_secret_scan}
+SQL = {"op9_secret_scan": _sql()}
