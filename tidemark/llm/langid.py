@@ -189,10 +189,14 @@ def _accepted(shared, least: float):
     return run
 
 
-def drop_unidentified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """``docs`` without texts that have no language: no letter, or ambiguous with a score under ``least``."""
+def drop_unidentified(docs: DataFrame, model: Model, chance: float = 1.02) -> DataFrame:
+    """``docs`` without texts that have no language: no letter, or no evidence for any language.
+
+    The latter are ambiguous texts with a score under ``chance`` times one in the number of
+    languages. Short or mixed texts stay: their best language has some evidence.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_accepted(shared, least), docs.schema)
+    return docs.mapInArrow(_accepted(shared, chance / max(len(model.langs), 1)), docs.schema)
 
 
 def fold(docs: DataFrame):
