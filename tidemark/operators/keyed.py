@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import key_successor
+from tidemark.session import materialise
 
 
 def validate_partitions(records: DataFrame, n: int) -> DataFrame:
@@ -138,9 +139,11 @@ def range_plan(index: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
 def assign_ranges(records: DataFrame, plan: DataFrame) -> DataFrame:
     """Records with the task of their range: the range that starts last at or before the key.
 
-    The plan of a partition travels as one sorted array, whose length is the number of tasks.
+    The plan of a partition travels as one sorted array, whose length is the number of tasks. It
+    is written first, so the join knows its exact size when it chooses whether to broadcast it.
     """
     starts = plan.groupBy("part").agg(F.array_sort(F.collect_list(F.struct(F.unhex("low").alias("low"), "task"))).alias("_plan"))
+    starts = materialise(starts, "plan")
     at = F.size(F.filter("_plan", lambda p: p.low <= F.col("key").cast("binary")))
     return records.join(starts, "part").withColumn("task", F.when(at > 0, F.get("_plan", at - 1).task)).where("task is not null").drop("_plan")
 

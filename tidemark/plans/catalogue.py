@@ -82,7 +82,7 @@ def _sizes(s, d):
 
 
 def _plan(s, d):
-    return keyed.range_plan(_index(s, d), _sizes(s, d), LIM)
+    return keyed.range_plan(materialise(_index(s, d), "index"), _sizes(s, d), LIM)  # the index is a stored table
 
 
 @query(with_(REC, IX) + 'SELECT part, attempt, rec_no, "offset", key, rec_len FROM ix')
