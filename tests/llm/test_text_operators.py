@@ -245,6 +245,29 @@ def test_license_scan_edge_cases(spark, odd):
     assert {r.licenses for r in licenses.scan_licenses(odd).collect()} == {""}
 
 
+def test_licenses_equal_brute_force_near_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(300):
+        words = licenses._words(licenses.TEMPLATES[i % len(licenses.TEMPLATES)][1])
+        share = rng.uniform(0.55, 1)
+        kept = [w for w in words if rng.random() < share] if i % 2 else words[: max(2, int(share * len(words)))] + ["other"] * int(rng.integers(0, 4))
+        rows.append((i, " ".join(kept)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(d).collect()}
+    some = 0
+    for i, text in rows:
+        w = text.split()
+        grams = {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+        best = max((2 * len(grams & set(b)) / (len(grams) + len(b)), -k, n) for k, (n, b) in enumerate(licenses.template_bigrams())) if grams else (0, 0, None)
+        if best[0] >= licenses.THRESHOLD:
+            some += 1
+            assert (got[i].best_license, got[i].best_dice) == (best[2], round(best[0], 6))
+        else:
+            assert got[i].best_license is None
+    assert 50 < some < 250
+
+
 PATTERNS = {
     "assign": re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?i:passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A),
     "access": re.compile("AKIA[A-Z0-9]+"),

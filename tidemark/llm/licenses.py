@@ -62,7 +62,8 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     (null where there is none); ``n_segments``: distinct segments that matched.
     """
     kept = [(n, b) for n, b in template_bigrams() if b]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    # the bounds with a little room, as a coefficient may be the threshold itself
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     all_t = ", ".join(f"struct({i} AS i, '{n}' AS name, {len(b)} AS n, array({', '.join(repr(x) for x in b)}) AS b)" for i, (n, b) in enumerate(kept))
     fewest, most = low * min(len(b) for _, b in kept), high * max(len(b) for _, b in kept)
     fits = f"NOT (size(g) < {low!r} * t.n OR size(g) > {high!r} * t.n)"
