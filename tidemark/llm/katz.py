@@ -81,12 +81,19 @@ class Grams:
 
     def __init__(self, p: Piece):
         self.p = p
-        before = np.concatenate([[BEGIN], p.words[:-1]]) if len(p.words) else p.words
-        before[p.starts[p.lengths > 0]] = BEGIN
-        self.before = before
         self.words, self.word = np.unique(p.words, return_inverse=True)
-        self.pairs, self.first, self.pair = np.unique(mix(before * ODD + p.words), return_index=True, return_inverse=True)
-        self.histories, self.history = np.unique(before, return_inverse=True)
+        opens = p.starts[p.lengths > 0]
+        before = np.concatenate([[BEGIN], p.words[:-1]]) if len(p.words) else p.words
+        before[opens] = BEGIN
+        self.pairs, self.pair = np.unique(mix(before * ODD + p.words), return_inverse=True)
+        self.first = np.empty(len(self.pairs), np.int64)
+        self.first[self.pair] = np.arange(len(p.words))  # a place where the pair stands
+        # histories: the words and the begin mark, numbered from the words' numbers
+        at = int(np.searchsorted(self.words, BEGIN))
+        self.histories = np.insert(self.words, at, BEGIN)
+        self.history = np.concatenate([[0], self.word[:-1]]) if len(p.words) else self.word
+        self.history = self.history + (self.history >= at)
+        self.history[opens] = at
 
 
 def _ask(buckets: int):
@@ -113,9 +120,11 @@ def _count(t: pa.Table) -> pa.Table:
         parts = [(unpack_sorted(t.column("keys")[i].as_py()), unpack(t.column("counts")[i].as_py(), np.uint32)) for i in mine.tolist()]
         _, summed, where, ends = totals(parts)
         value = summed[where]
-        if family == PAIRS:  # the first piece that has a pair answers for it
+        if family == PAIRS:  # the last piece that has a pair answers for it
             owner = np.zeros(len(where), bool)
-            owner[np.unique(where, return_index=True)[1]] = True
+            last = np.empty(int(where.max()) + 1, np.int64)
+            last[where] = np.arange(len(where))
+            owner[last] = True
             value = value * 2 + owner
         out += [(int(pieces[i]), family, pack(v)) for i, v in zip(mine, np.split(value, ends[:-1]), strict=True)]
         of = np.bincount(np.minimum(summed, K + 2), minlength=K + 3)[1 : K + 2]

@@ -174,8 +174,7 @@ def totals(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     """(distinct keys, summed counts, number of each given key among them, ends of the parts)."""
     keys = np.concatenate([k for k, _ in parts])
     distinct, where = np.unique(keys, return_inverse=True)
-    summed = np.zeros(len(distinct), np.int64)
-    np.add.at(summed, where, np.concatenate([c for _, c in parts]).astype(np.int64))
+    summed = np.bincount(where, np.concatenate([c for _, c in parts]), len(distinct)).astype(np.int64)  # exact up to 2**53
     return distinct, summed, where, np.cumsum([len(k) for k, _ in parts]).tolist()
 
 
