@@ -7,6 +7,10 @@ bigram sets A and B have the coefficient 2 |A and B| / (|A| + |B|), which can re
 pruned before any intersection is made, and so are segments that no template can match. A
 segment counts for its best template, the first of TEMPLATES at a tie.
 
+The bound also says that a segment must have a share t / (2 - t) of a template's bigrams. For each
+template some marker words are taken that stand in more than the rest of its bigrams: a text
+without any marker word of any template cannot match and is done with after one look at its words.
+
 Nothing is shuffled or grouped: each row is answered from its own text, whatever its source.
 
 Defined cases: a null or empty text has no segments and no license; repeated rows are scanned each
@@ -55,6 +59,22 @@ def template_bigrams() -> list[tuple[str, list[str]]]:
     return found
 
 
+def markers(threshold: float) -> list[str]:
+    """Words of which every matching text has at least one; the longest words, then those of the fewest templates, are taken first."""
+    found: set[str] = set()
+    everywhere = [{w for g in grams for w in g.split(" ")} for _, grams in template_bigrams()]
+    for _, grams in template_bigrams():
+        pairs = [set(g.split(" ")) for g in grams]
+        may_lack = int((1 - threshold / (2 - threshold)) * len(pairs) + 1e-9)
+        mine: set[str] = set()
+        for word in sorted(set().union(*pairs), key=lambda w: (-len(w), sum(w in t for t in everywhere), w)):
+            if sum(bool(p & mine) for p in pairs) > may_lack:
+                break
+            mine.add(word)
+        found |= mine
+    return sorted(found)
+
+
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, licenses, best_license, best_dice, n_segments)`` for each row of ``docs``.
 
@@ -68,10 +88,12 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     fewest, most = low * min(len(b) for _, b in kept), high * max(len(b) for _, b in kept)
     fits = f"NOT (size(g) < {low!r} * t.n OR size(g) > {high!r} * t.n)"
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
+    words = r"split(trim(regexp_replace(lower(_t), r'[^\p{L}\p{N}]+', ' ')), ' ')"
+    d = d.withColumn("_maybe", F.expr(f"arrays_overlap({words}, array({', '.join(map(repr, markers(threshold)))}))"))
     raw = r"array_distinct(concat(array(_t), split(_t, r'\n[ \t\r]*\n'), split(_t, r'\n')))"
     plain = r"transform(" + raw + r", x -> trim(regexp_replace(lower(x), r'[^\p{L}\p{N}]+', ' ')))"
     # a segment of w words has at most w - 1 bigrams; blanks count its words without splitting it
-    d = d.withColumn("_s", F.expr(f"array_distinct(filter({plain}, x -> length(x) - length(replace(x, ' ', '')) >= {fewest!r}))"))
+    d = d.withColumn("_s", F.expr(f"CASE WHEN _maybe THEN array_distinct(filter({plain}, x -> length(x) - length(replace(x, ' ', '')) >= {fewest!r})) ELSE CAST(array() AS array<string>) END"))
     grams = "transform(transform(_s, x -> split(x, ' ')), w -> array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))))"
     d = d.withColumn("_g", F.expr(f"filter({grams}, g -> size(g) >= {fewest!r} AND size(g) <= {most!r})"))
     dice = "2D * size(array_intersect(t.b, g)) / (t.n + size(g))"
