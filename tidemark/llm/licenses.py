@@ -7,6 +7,13 @@ bigram sets A and B have the coefficient 2 |A and B| / (|A| + |B|), which can re
 pruned before any intersection is made, and so are segments that no template can match. A
 segment counts for its best template, the first of TEMPLATES at a tie.
 
+A notice may also stand in a longer text over several paragraphs, wrapped lines or sentences. So
+each text is also cut into units at line ends and after sentences, and runs of consecutive units
+are scored for every template that has enough of its bigrams in the text outside segments already
+matched by a template of at least its size. Of overlapping runs the one with most bigrams in
+common counts. A notice that begins or ends inside a sentence is seen only as far as that sentence
+with it reaches the threshold.
+
 The bound also says that a segment must have a share t / (2 - t) of a template's bigrams. For each
 template some marker words are taken that stand in more than the rest of its bigrams: a text
 without any marker word of any template cannot match and is done with after one look at its words.
@@ -75,16 +82,42 @@ def markers(threshold: float) -> list[str]:
     return sorted(found)
 
 
+def _with_runs(d: DataFrame, all_t: str, sizes: list[int], low: float, high: float, fits: str, dice: str, threshold: float) -> DataFrame:
+    """``d`` with the matching runs of units added to ``_m``, the matching segments."""
+    pairs = lambda w: f"transform(sequence(0, size({w}) - 2), i -> concat({w}[i], ' ', {w}[i + 1]))"
+    units = r"filter(transform(split(_t, r'\n|(?<=[.!?])[ \t\r]+'), x -> trim(regexp_replace(lower(x), r'[^\p{L}\p{N}]+', ' '))), x -> x <> '')"
+    d = d.withColumn("_u", F.expr(f"CASE WHEN _maybe THEN {units} ELSE CAST(array() AS array<string>) END"))
+    d = d.withColumn("_w", F.expr("filter(split(array_join(_u, ' '), ' '), x -> x <> '')"))
+    d = d.withColumn("_fg", F.expr(f"CASE WHEN size(_w) > 1 THEN array_distinct({pairs('_w')}) ELSE CAST(array() AS array<string>) END"))
+    # words of matched segments become bars, so that positions stay; two blanks let equal neighbours go too
+    n = f"array({', '.join(map(str, sizes))})"
+    wide = "concat(' ', replace(m.x, ' ', '  '), ' ')"
+    clear = f"aggregate(filter(_m, m -> {n}[-m.i] >= t.n), concat(' ', array_join(_w, '  '), ' '), (a, m) -> replace(a, {wide}, regexp_replace({wide}, '[^ ]+', '|')))"
+    enough = f"size(array_intersect(t.b, {{}})) >= {low!r} * t.n"
+    d = d.withColumn("_c", F.expr(f"transform(filter(array({all_t}), t -> {enough.format('_fg')}), t -> struct(t.i AS i, t.name AS name, t.n AS n, t.l AS l, t.b AS b, split(trim({clear}), ' +') AS w))"))
+    d = d.withColumn("_c", F.expr(f"filter(transform(_c, t -> struct(t.i AS i, t.name AS name, t.n AS n, t.l AS l, t.b AS b, {pairs('t.w')} AS g)), t -> {enough.format('t.g')})"))
+    d = d.withColumn("_at", F.expr("CASE WHEN size(_c) > 0 THEN aggregate(_u, array(0), (a, x) -> concat(a, array(element_at(a, -1) + size(split(x, ' '))))) ELSE array(0) END"))
+    ends = f"filter(slice(_at, k + 2, CAST(ceil({high!r} * t.l) AS int) + 1), e -> e - s > {low!r} * t.n AND e - s <= {high!r} * t.l + 1)"
+    spans = f"flatten(transform(slice(_at, 1, size(_u)), (s, k) -> transform({ends}, e -> struct(s AS s, e AS e, array_distinct(slice(t.g, s + 1, e - s - 1)) AS g))))"
+    scored = f"transform(array(r.g), g -> IF({fits}, {dice}, 0D))[0]"
+    found = f"flatten(transform(_c, t -> filter(transform({spans}, r -> struct(size(array_intersect(t.b, r.g)) AS both, {scored} AS dice, -t.i AS i, -r.s AS s, r.e AS e, t.name AS name)), r -> r.dice >= {threshold!r})))"
+    d = d.withColumn("_r", F.expr(f"sort_array({found}, false)"))
+    kind = "array<struct<both:int,dice:double,i:int,s:int,e:int,name:string>>"
+    apart = f"aggregate(_r, CAST(array() AS {kind}), (a, r) -> IF(exists(a, y -> -y.s < r.e AND -r.s < y.e), a, concat(a, array(r))))"
+    return d.withColumn("_m", F.expr(f"concat(_m, array_distinct(transform({apart}, r -> struct(r.dice AS dice, r.i AS i, r.name AS name, array_join(slice(_w, -r.s + 1, r.e + r.s), ' ') AS x))))"))
+
+
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, licenses, best_license, best_dice, n_segments)`` for each row of ``docs``.
 
     ``licenses``: names found, sorted, comma-joined; ``best_dice``: of the best segment, 6 digits
-    (null where there is none); ``n_segments``: distinct segments that matched.
+    (null where there is none); ``n_segments``: distinct segments and runs that matched.
     """
     kept = [(n, b) for n, b in template_bigrams() if b]
+    length = [len(_words(text)) for (_, text), (_, b) in zip(TEMPLATES, template_bigrams(), strict=True) if b]
     # the bounds with a little room, as a coefficient may be the threshold itself
     low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
-    all_t = ", ".join(f"struct({i} AS i, '{n}' AS name, {len(b)} AS n, array({', '.join(repr(x) for x in b)}) AS b)" for i, (n, b) in enumerate(kept))
+    all_t = ", ".join(f"struct({i} AS i, '{n}' AS name, {len(b)} AS n, {length[i]} AS l, array({', '.join(repr(x) for x in b)}) AS b)" for i, (n, b) in enumerate(kept))
     fewest, most = low * min(len(b) for _, b in kept), high * max(len(b) for _, b in kept)
     fits = f"NOT (size(g) < {low!r} * t.n OR size(g) > {high!r} * t.n)"
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
@@ -95,10 +128,12 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # a segment of w words has at most w - 1 bigrams; blanks count its words without splitting it
     d = d.withColumn("_s", F.expr(f"CASE WHEN _maybe THEN array_distinct(filter({plain}, x -> length(x) - length(replace(x, ' ', '')) >= {fewest!r})) ELSE CAST(array() AS array<string>) END"))
     grams = "transform(transform(_s, x -> split(x, ' ')), w -> array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))))"
-    d = d.withColumn("_g", F.expr(f"filter({grams}, g -> size(g) >= {fewest!r} AND size(g) <= {most!r})"))
+    d = d.withColumn("_g", F.expr(f"filter(zip_with(_s, {grams}, (x, g) -> struct(x AS x, g AS g)), s -> size(s.g) >= {fewest!r} AND size(s.g) <= {most!r})"))
     dice = "2D * size(array_intersect(t.b, g)) / (t.n + size(g))"
     scored = f"transform(filter(array({all_t}), t -> {fits}), t -> struct({dice} AS dice, -t.i AS i, t.name AS name))"
-    d = d.withColumn("_m", F.expr(f"filter(transform(_g, g -> array_max({scored})), m -> m.dice >= {threshold!r})"))
+    best = f"transform(_g, s -> element_at(transform(array(s.g), g -> element_at(transform(array(array_max({scored})), m -> struct(m.dice AS dice, m.i AS i, m.name AS name, s.x AS x)), 1)), 1))"
+    d = d.withColumn("_m", F.expr(f"filter({best}, m -> m.dice >= {threshold!r})"))
+    d = _with_runs(d, all_t, [len(b) for _, b in kept], low, high, fits, dice, threshold)
     return d.select(
         "doc_id", F.expr("array_join(array_sort(array_distinct(transform(_m, m -> m.name))), ',')").alias("licenses"),
         F.expr("array_max(_m).name").alias("best_license"), F.expr("round(array_max(_m).dice, 6)").alias("best_dice"), F.size("_m").cast("long").alias("n_segments"),
