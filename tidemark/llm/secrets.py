@@ -9,8 +9,9 @@ Entropy kind. Candidate strings are runs of 20 or more key-like characters. Each
 character class (hex, decimal, letters, alphanumeric, base64-like), and a window of 20 characters
 slides over it: the sum of c*log2(c) over the window's character counts is carried along, changed
 only by the counts of the entering and the leaving character, and gives the Shannon entropy
-log2(20) - sum/20. A candidate is reported from its first to its last window at or over the
-threshold of its class, unless the allow-list suppresses it or a base span overlaps it.
+log2(20) - sum/20. Base spans and placeholder words are cut out of a candidate, and each remainder
+of 20 or more characters stands for itself: it is reported from its first to its last window at or
+over the threshold of its class, unless the allow-list suppresses it.
 
 A null or empty text gives no spans and counts of zero; extra columns are ignored.
 """
@@ -33,7 +34,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Least entropy in bits of a window of 20 characters, by character class.
 THRESHOLDS = {"decimal": 3.2, "hex": 3.2, "letters": 4.05, "alphanumeric": 3.55, "base64": 3.8}
 #: Never reported by entropy: UUIDs, checksums named as such, paths and slugs of plain words, one
-#: character or a short unit repeated, placeholders of documentation.
+#: character or a short unit repeated; of placeholders of documentation (the last) only the word.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(sha1|sha256|sha384|sha512|md5)[-=_]",
@@ -99,19 +100,25 @@ def find_spans(docs: DataFrame) -> DataFrame:
         d = d.withColumn(f"_s_{k}", F.expr(_located("_s_text", PATTERNS[k], 2 if k == "assign" else 0, needs[k])))
     d = d.withColumn("_s_assign", F.expr("filter(_s_assign, x -> length(x.v) >= 6)"))
     tagged = ", ".join(f"transform(_s_{k}, x -> struct(x.s AS s, {n} AS n, x.e AS e, '{k}' AS kind, x.v AS v))" for n, k in enumerate(KINDS))
-    allowed = " OR ".join(f"x.v RLIKE {_q(a)}" for a in ALLOW)
+    allowed = " OR ".join(f"x.v RLIKE {_q(a)}" for a in ALLOW[:-1])
     d = d.withColumn("_s_base", F.expr(f"array_sort(concat({tagged}))"))
+    word = _located("c.v", ALLOW[-1], 0)
+    cuts = f"array_sort(concat(transform(filter(_s_base, y -> y.s < c.e AND c.s < y.e), y -> struct(y.s AS s, y.e AS e)), transform({word}, y -> struct(c.s + y.s AS s, c.s + y.e AS e))))"
+    rest = f"""aggregate(concat({cuts}, array(struct(c.e AS s, c.e AS e))), struct(c.s AS at, CAST(array() AS array<struct<s:int,v:string>>) AS kept),
+        (a, y) -> struct(greatest(a.at, y.e) AS at, IF(y.s - a.at >= {WINDOW}, concat(a.kept, array(struct(a.at AS s, substring(c.v, a.at - c.s + 1, y.s - a.at) AS v))), a.kept) AS kept),
+        a -> a.kept)"""
+    d = d.withColumn("_s_rest", F.expr(f"flatten(transform(_s_cand, c -> {rest}))"))
     d = d.withColumn(
         "_s_entropy",
         F.expr(
             f"""transform(filter(transform(
-                filter(_s_cand, x -> NOT ({allowed}) AND NOT exists(_s_base, y -> y.s < x.e AND x.s < y.e)),
+                filter(_s_rest, x -> NOT ({allowed})),
                 x -> struct(x.s AS s, x.v AS v, {_entropy_windows('x.v')} AS w)), x -> x.w.f > 0),
                 x -> struct(x.s + x.w.f - {WINDOW} AS s, 3 AS n, x.s + x.w.l AS e, 'entropy' AS kind,
                             substring(x.v, x.w.f - {WINDOW} + 1, x.w.l - x.w.f + {WINDOW}) AS v))"""
         ),
     )
-    return d.drop("_s_text", "_s_cand", *[f"_s_{k}" for k in KINDS])
+    return d.drop("_s_text", "_s_cand", "_s_rest", *[f"_s_{k}" for k in KINDS])
 
 
 def _written(spans: str) -> Column:
