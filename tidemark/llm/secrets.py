@@ -5,19 +5,27 @@ a value of 6 or more characters), ``access`` (``AKIA`` keys of 20 or more) and `
 24 or more). Positions come from splitting the text at the same pattern: a match starts where the
 pieces and matches before it end. Spans are in code points, end exclusive.
 
-Entropy kind. Candidate strings are runs of 20 or more key-like characters. Each is put into a
-character class (hex, decimal, letters, alphanumeric, base64-like), and a window of 20 characters
-slides over it: the sum of c*log2(c) over the window's character counts is carried along, changed
-only by the counts of the entering and the leaving character, and gives the Shannon entropy
-log2(20) - sum/20. Base spans and placeholder words are cut out of a candidate, and each remainder
-of 20 or more characters stands for itself: it is reported from its first to its last window at or
-over the threshold of its class, unless the allow-list suppresses it.
-
-A null or empty text gives no spans and counts of zero; extra columns are ignored.
+Entropy kind. What base spans leave of a text is searched for candidate strings: runs of 20 or
+more key-like characters, cut at placeholder words. Each is put into a character class (hex,
+decimal, letters, alphanumeric, base64-like), and a window of 20 characters slides over it. The
+counts of the window's characters are carried along; the entering and the leaving character change
+one count each, and with it the sum of c*log2(c), which gives the Shannon entropy
+log2(20) - sum/20. A candidate is reported from its first to its last window at or over the
+threshold of its class, unless the allow-list suppresses it.
+
+Work and memory of a row grow about as its text: positions are added up by blocks, gaps are cut
+from blocks of the text, and no pattern repeats a group, which the JVM would match by recursion.
+
+Defined cases: a null or empty text gives no spans and counts of zero; a text is scanned whole,
+however long; repeated rows, ids included, are scanned each for itself; of spans that start
+together the kind listed first comes first; an empty table gives an empty result; extra columns
+are ignored by ``scan_secrets`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +41,25 @@ WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Least entropy in bits of a window of 20 characters, by character class.
 THRESHOLDS = {"decimal": 3.2, "hex": 3.2, "letters": 4.05, "alphanumeric": 3.55, "base64": 3.8}
-#: Never reported by entropy: UUIDs, checksums named as such, paths and slugs of plain words, one
-#: character or a short unit repeated; of placeholders of documentation (the last) only the word.
+#: Candidates never reported by entropy: UUIDs, and checksums named as such. See ``_allowed`` for
+#: paths and slugs of plain words, and one character or a short unit repeated.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(sha1|sha256|sha384|sha512|md5)[-=_]",
-    r"^[/_=+-]*[A-Za-z]{1,18}([/_=+-]+[A-Za-z]{1,18})*[/_=+-]*$",
-    r"^(.{1,4})\1+$",
-    r"(?i)(example|placeholder|changeme|your[-_]?(api|key|token)|xxxx)",
 )
+#: Longest plain word of a path or slug, and longest unit whose repetition is no secret.
+WORD, UNIT = 18, 4
+#: Words of documentation that are cut out of a candidate.
+PLACEHOLDER = r"(?i)(example|placeholder|changeme|your[-_]?(api|key|token)|xxxx)"
+#: Matches of a block whose lengths are added up first; characters of a block of a text.
+CHUNK, BLOCK = 128, 4096
+#: Candidates' characters have the codes 43 (+) to 122 (z). The 80 counts are the letters of one
+#: string, from NONE upwards: an aggregate carries a string cheaply, an array not.
+FIRST, CODES, NONE = 43, 80, 97
+#: c*log2(c) is kept as a multiple of 1e-12, so that sums are exact.
+SCALE = 10**12
+#: By how much c*log2(c) grows from c to c + 1, for c of 0 to WINDOW - 1.
+GROWS = [round((c + 1) * math.log2(c + 1) * SCALE) - round(c * math.log2(c) * SCALE if c else 0) for c in range(WINDOW)]
 
 
 def _q(text: str) -> str:
@@ -49,76 +67,108 @@ def _q(text: str) -> str:
     return "r\"" + text + "\"" if '"' not in text else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _located(text: str, pattern: str, group: int, only_if: str = "true") -> str:
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _before(values: str, fold: str = "a + x") -> str:
+    """SQL: for each of ``values``, ``fold`` (from 0) over all before it.
+
+    An aggregate copies all it carries at each step, so no array grows in one: blocks are folded
+    first, then each value from the start of its block.
+    """
+    inner = lambda of: f"aggregate({of}, 0, (a, x) -> {fold})"
+    blocks = f"transform(sequence(0, size(w) div {CHUNK}), k -> {inner(f'slice(w, k * {CHUNK} + 1, {CHUNK})')})"
+    starts = f"transform(bs, (y, k) -> {inner('slice(bs, 1, k)')})"
+    each = f"transform(w, (y, i) -> aggregate(slice(w, i div {CHUNK} * {CHUNK} + 1, i % {CHUNK}), bp[i div {CHUNK}], (a, x) -> {fold}))"
+    return _let(values, "w", _let(blocks, "bs", _let(starts, "bp", each)))
+
+
+MATCH = "struct<s:int,e:int,v:string>"
+
+
+def _located(text: str, pattern: str, group: int, only_if: str = "true", offset: str = "0") -> str:
     """SQL: array of (s, e, v) of all leftmost non-overlapping matches; v is the group's value.
 
     ``only_if`` is a cheap condition without which the pattern cannot match.
     """
     p = _q(pattern)
-    return f"""CASE WHEN {only_if} AND {text} RLIKE {p} THEN
-      aggregate(
-        zip_with(zip_with(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))),
-                          regexp_extract_all({text}, {p}, 0), (g, m) -> struct(length(g) AS g, length(m) AS n)),
-                 regexp_extract_all({text}, {p}, {group}), (x, v) -> struct(x.g AS g, x.n AS n, v AS v)),
-        struct(0 AS at, CAST(array() AS array<struct<s:int,e:int,v:string>>) AS found),
-        (a, x) -> struct(a.at + x.g + x.n AS at, concat(a.found, array(struct(a.at + x.g AS s, a.at + x.g + x.n AS e, x.v AS v))) AS found),
-        a -> a.found)
-    ELSE CAST(array() AS array<struct<s:int,e:int,v:string>>) END"""
+    match = f"struct({offset} + b + length(gs[i]) AS s, {offset} + b + length(gs[i]) + length(ms[i]) AS e, vs[i] AS v)"
+    found = f"transform({_before('zip_with(slice(gs, 1, size(ms)), ms, (x, y) -> length(x) + length(y))')}, (b, i) -> {match})"
+    found = _let(f"split({text}, {p}, -1)", "gs", _let(f"regexp_extract_all({text}, {p}, 0)", "ms", _let(f"regexp_extract_all({text}, {p}, {group})", "vs", found)))
+    return f"CASE WHEN {only_if} AND {text} RLIKE {p} THEN {found} ELSE CAST(array() AS array<{MATCH}>) END"
 
 
-#: c*log2(c) grows by this when one more joins c equal characters.
-_GROWS = "((({c}) + 1) * log2(({c}) + 1) - IF(({c}) = 0, 0D, ({c}) * log2(greatest({c}, 1))))"
+def _gaps(spans: str, text: str, blocks: str) -> str:
+    """SQL: (s, v) of the stretches of a text between sorted spans, empty ones included.
+
+    A stretch is cut from the blocks that it touches; overlapping spans have none between them.
+    """
+    here = f"array_join(slice(bl, f div {BLOCK} + 1, (y.s - 1) div {BLOCK} - f div {BLOCK} + 1), '')"
+    cut = f"struct(f AS s, IF(y.s > f, substring({here}, f % {BLOCK} + 1, y.s - f), '') AS v)"
+    between = f"filter(zip_with(sp, {_before('transform(sp, y -> y.e)', 'greatest(a, x)')}, (y, f) -> IF(y.s >= f, {cut}, NULL)), z -> z IS NOT NULL)"
+    ends = f"concat(transform({spans}, y -> struct(y.s AS s, y.e AS e)), array(struct(length({text}) AS s, length({text}) AS e)))"
+    return _let(blocks, "bl", _let(ends, "sp", between))
+
+
+def _allowed(v: str) -> str:
+    """SQL: whether the allow-list suppresses a candidate."""
+    plain = f"(NOT {v} RLIKE '[0-9]|[A-Za-z]{{{WORD + 1}}}' AND {v} RLIKE '[A-Za-z]')"
+    unit = " OR ".join(f"(length({v}) % {k} = 0 AND {v} = repeat(left({v}, {k}), length({v}) div {k}))" for k in range(1, UNIT + 1))
+    return " OR ".join([*(f"{v} RLIKE {_q(a)}" for a in ALLOW), plain, unit])
 
 
 def _entropy_windows(value: str) -> str:
-    """SQL: (first, last) 1-based ends of the windows at or over the threshold; 0 where none."""
+    """SQL: (f, l), the 1-based ends of the first and last window at or over the threshold; 0 where none."""
     w = WINDOW
-    limit = " ".join(f"WHEN k = '{c}' THEN {t}D" for c, t in THRESHOLDS.items())
-    leaving = f"element_at(cs, greatest(i - {w}, 1))"
-    out = _GROWS.format(c=f"size(filter(slice(cs, greatest(i - {w} + 1, 1), {w} - 1), y -> y = {leaving}))")
-    enter = _GROWS.format(c=f"size(filter(slice(cs, greatest(i - {w} + 1, 1), least(i - 1, {w} - 1)), y -> y = element_at(cs, i)))")
+    most = " ".join(f"WHEN '{c}' THEN {math.floor(w * (math.log2(w) - t) * SCALE)}" for c, t in THRESHOLDS.items())
     kind = f"""CASE WHEN {value} RLIKE '^[0-9]+$' THEN 'decimal' WHEN {value} RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 'hex'
       WHEN {value} RLIKE '^[A-Za-z]+$' THEN 'letters' WHEN {value} RLIKE '^[A-Za-z0-9]+$' THEN 'alphanumeric' ELSE 'base64' END"""
-    # transform over one-element arrays binds cs (characters) and k (class) once
-    return f"""element_at(transform(array(struct(split({value}, '') AS cs, {kind} AS k)), p ->
-      element_at(transform(array(p.cs), cs -> element_at(transform(array(p.k), k ->
-        aggregate(sequence(1, length({value})), struct(0D AS s, 0 AS f, 0 AS l),
-          (a, i) -> element_at(transform(array(a.s - IF(i > {w}, {out}, 0D) + {enter}), s2 ->
-            element_at(transform(array(i >= {w} AND log2({w}D) - s2 / {w} >= (CASE {limit} END)), hit ->
-              struct(s2 AS s, IF(hit AND a.f = 0, i, a.f) AS f, IF(hit, i, a.l) AS l)), 1)), 1))), 1)), 1)), 1)"""
-
-
-def find_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` plus ``_s_base`` and ``_s_entropy``: arrays of ``(s, n, e, kind, v)`` by start.
-
-    ``docs`` needs a string column ``text``; columns starting with ``_s_`` are reserved.
+    grows = f"array({', '.join(f'{g}L' for g in GROWS)})"
+    count = lambda n, k: f"ascii(substring({n}, {k}, 1)) - {NONE}"
+    put = lambda n, k, c: f"overlay({n} PLACING char({NONE} + {c}) FROM {k} FOR 1)"
+    # the leaving character goes before the entering one comes
+    gone = _let(f"cs[i - {w} - 1]", "o", _let(count("a.n", "o") + " - 1", "q", f"struct(a.s - {grows}[q] AS s, {put('a.n', 'o', 'q')} AS n)"))
+    left = f"IF(i > {w}, {gone}, struct(a.s AS s, a.n AS n))"
+    came = _let("cs[i - 1]", "k", _let(count("b.n", "k"), "q", f"struct(b.s + {grows}[q] AS s, {put('b.n', 'k', 'q + 1')} AS n)"))
+    step = _let(left, "b", _let(came, "c", f"{_let(f'i >= {w} AND c.s <= most', 'hit', 'struct(c.s AS s, c.n AS n, IF(hit AND a.f = 0, i, a.f) AS f, IF(hit, i, a.l) AS l)')}"))
+    fold = f"aggregate(sequence(1, size(cs)), struct(0L AS s, repeat(char({NONE}), {CODES}) AS n, 0 AS f, 0 AS l), (a, i) -> {step}, a -> struct(a.f AS f, a.l AS l))"
+    return _let(f"transform(split({value}, ''), c -> ascii(c) - {FIRST - 1})", "cs", _let(f"CASE {kind} {most} END", "most", fold))
+
+
+def _free(docs: DataFrame) -> str:
+    """A prefix that no column of ``docs`` starts with."""
+    p = "_s"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
+    return p
+
+
+def find_spans(docs: DataFrame, p: str) -> DataFrame:
+    """``docs`` plus ``{p}_base`` and ``{p}_entropy``, arrays of ``(s, n, e, kind, v)`` by start, and ``{p}_blocks``.
+
+    ``docs`` needs a string column ``text``, and no column that starts with ``p``.
     """
-    d = docs.withColumn("_s_text", F.coalesce("text", F.lit("")))
-    d = d.withColumn("_s_cand", F.expr(_located("_s_text", CANDIDATE, 0)))
-    needs = {"assign": "(contains(_s_text, ':') OR contains(_s_text, '='))", "access": "contains(_s_text, 'AKIA')", "hex": "size(_s_cand) > 0"}
+    t = f"{p}_text"
+    d = docs.withColumn(t, F.coalesce("text", F.lit("")))
+    needs = {"assign": f"(contains({t}, ':') OR contains({t}, '='))", "access": f"contains({t}, 'AKIA')", "hex": "true"}
     for k in KINDS:
-        d = d.withColumn(f"_s_{k}", F.expr(_located("_s_text", PATTERNS[k], 2 if k == "assign" else 0, needs[k])))
-    d = d.withColumn("_s_assign", F.expr("filter(_s_assign, x -> length(x.v) >= 6)"))
-    tagged = ", ".join(f"transform(_s_{k}, x -> struct(x.s AS s, {n} AS n, x.e AS e, '{k}' AS kind, x.v AS v))" for n, k in enumerate(KINDS))
-    allowed = " OR ".join(f"x.v RLIKE {_q(a)}" for a in ALLOW[:-1])
-    d = d.withColumn("_s_base", F.expr(f"array_sort(concat({tagged}))"))
-    word = _located("c.v", ALLOW[-1], 0)
-    cuts = f"array_sort(concat(transform(filter(_s_base, y -> y.s < c.e AND c.s < y.e), y -> struct(y.s AS s, y.e AS e)), transform({word}, y -> struct(c.s + y.s AS s, c.s + y.e AS e))))"
-    rest = f"""aggregate(concat({cuts}, array(struct(c.e AS s, c.e AS e))), struct(c.s AS at, CAST(array() AS array<struct<s:int,v:string>>) AS kept),
-        (a, y) -> struct(greatest(a.at, y.e) AS at, IF(y.s - a.at >= {WINDOW}, concat(a.kept, array(struct(a.at AS s, substring(c.v, a.at - c.s + 1, y.s - a.at) AS v))), a.kept) AS kept),
-        a -> a.kept)"""
-    d = d.withColumn("_s_rest", F.expr(f"flatten(transform(_s_cand, c -> {rest}))"))
-    d = d.withColumn(
-        "_s_entropy",
-        F.expr(
-            f"""transform(filter(transform(
-                filter(_s_rest, x -> NOT ({allowed})),
-                x -> struct(x.s AS s, x.v AS v, {_entropy_windows('x.v')} AS w)), x -> x.w.f > 0),
-                x -> struct(x.s + x.w.f - {WINDOW} AS s, 3 AS n, x.s + x.w.l AS e, 'entropy' AS kind,
-                            substring(x.v, x.w.f - {WINDOW} + 1, x.w.l - x.w.f + {WINDOW}) AS v))"""
-        ),
-    )
-    return d.drop("_s_text", "_s_cand", "_s_rest", *[f"_s_{k}" for k in KINDS])
+        d = d.withColumn(f"{p}_{k}", F.expr(_located(t, PATTERNS[k], 2 if k == "assign" else 0, needs[k])))
+    d = d.withColumn(f"{p}_assign", F.expr(f"filter({p}_assign, x -> length(x.v) >= 6)"))
+    tagged = ", ".join(f"transform({p}_{k}, x -> struct(x.s AS s, {n} AS n, x.e AS e, '{k}' AS kind, x.v AS v))" for n, k in enumerate(KINDS))
+    d = d.withColumn(f"{p}_base", F.expr(f"array_sort(concat({tagged}))"))
+    d = d.withColumn(f"{p}_blocks", F.expr(f"regexp_extract_all({t}, '(?s).{{1,{BLOCK}}}', 0)"))
+    gaps = f"IF(size({p}_base) = 0, array(struct(0 AS s, {t} AS v)), {_gaps(f'{p}_base', t, f'{p}_blocks')})"
+    d = d.withColumn(f"{p}_cand", F.expr(f"flatten(transform(filter({gaps}, g -> length(g.v) >= {WINDOW}), g -> {_located('g.v', CANDIDATE, 0, offset='g.s')}))"))
+    word = _q(PLACEHOLDER)
+    pieces = f"zip_with(gs, {_before(f"zip_with(gs, concat(regexp_extract_all(c.v, {word}, 0), array('')), (x, y) -> length(x) + length(y))")}, (x, b) -> struct(c.s + b AS s, x AS v))"
+    pieces = f"IF(c.v RLIKE {word}, {_let(f'split(c.v, {word}, -1)', 'gs', pieces)}, array(struct(c.s AS s, c.v AS v)))"
+    d = d.withColumn(f"{p}_rest", F.expr(f"filter(flatten(transform({p}_cand, c -> {pieces})), x -> length(x.v) >= {WINDOW} AND NOT ({_allowed('x.v')}))"))
+    found = f"filter(transform({p}_rest, x -> struct(x.s AS s, x.v AS v, {_entropy_windows('x.v')} AS w)), x -> x.w.f > 0)"
+    span = f"struct(x.s + x.w.f - {WINDOW} AS s, {len(KINDS)} AS n, x.s + x.w.l AS e, 'entropy' AS kind, substring(x.v, x.w.f - {WINDOW} + 1, x.w.l - x.w.f + {WINDOW}) AS v)"
+    d = d.withColumn(f"{p}_entropy", F.expr(f"transform({found}, x -> {span})"))
+    return d.drop(t, f"{p}_cand", f"{p}_rest", *[f"{p}_{k}" for k in KINDS])
 
 
 def _written(spans: str) -> Column:
@@ -127,7 +177,7 @@ def _written(spans: str) -> Column:
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: counts, digest of the base spans, all spans."""
-    d = find_spans(docs.select("doc_id", "text"))
+    d = find_spans(docs.select("doc_id", "text"), "_s")
     n = [F.expr(f"CAST(size(filter(_s_base, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in KINDS]
     return d.select(
         "doc_id", *n, F.sha2(_written("_s_base"), 256).alias("base_sha256"), _written("array_sort(concat(_s_base, _s_entropy))").alias("spans")
@@ -137,18 +187,16 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every span of a secret replaced by ``mark``; other texts stay as they are.
 
-    Overlapping spans become one mark. ``n_chars``, if there, counts the new text. A null text
-    stays null.
+    Overlapping spans become one mark. ``n_chars``, if there, counts the new text. A
+    null text stays null; all columns and rows stay.
     """
-    d = find_spans(docs).withColumn("_s_all", F.expr("array_sort(concat(_s_base, _s_entropy))"))
-    cut = f"""CASE WHEN size(_s_all) > 0 THEN aggregate(_s_all, struct(0 AS at, CAST(array() AS array<string>) AS kept),
-        (a, x) -> struct(greatest(a.at, x.e) AS at, IF(x.s >= a.at,
-            concat(a.kept, array(substring(text, a.at + 1, x.s - a.at), '{mark}')), a.kept) AS kept),
-        a -> concat(array_join(a.kept, ''), substring(text, a.at + 1, length(text)))) ELSE text END"""
-    d = d.withColumn("text", F.expr(cut))
+    p = _free(docs)
+    d = find_spans(docs, p).withColumn(f"{p}_all", F.expr(f"array_sort(concat({p}_base, {p}_entropy))"))
+    kept = f"transform({_gaps(f'{p}_all', 'text', f'{p}_blocks')}, y -> y.v)"
+    d = d.withColumn("text", F.expr(f"CASE WHEN size({p}_all) > 0 THEN array_join({kept}, {_q(mark)}) ELSE text END"))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.size("_s_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+        d = d.withColumn("n_chars", F.when(F.size(f"{p}_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,30 +204,42 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same rows in DuckDB: entropy of each window from its own counts, repeats without a back-reference."""
+    """The same rows in DuckDB: entropy of each window from its own counts, all gaps by windows over spans."""
     lit = lambda x: "'" + x.replace("'", "''") + "'"
-    kinds = [*((k, PATTERNS[k], 2 if k == "assign" else 0) for k in KINDS), ("entropy", CANDIDATE, 0)]
-    found = " UNION ALL ".join(f"SELECT doc_id, {n} n, '{k}' kind, regexp_split_to_array(t, {lit(p)}) pc, regexp_extract_all(t, {lit(p)}) ms, regexp_extract_all(t, {lit(p)}, {g}) vs FROM d" for n, (k, p, g) in enumerate(kinds))
-    allowed = " OR ".join([f"regexp_matches(v, {lit(a)})" for a in ALLOW if "\\1" not in a] + [f"(len(v) % {k} = 0 AND v = repeat(substr(v, 1, {k}), len(v) // {k}))" for k in (1, 2, 3, 4)])
+
+    def located(source: str, pattern: str, group: int = 0, key: str = "doc_id, o") -> str:
+        """(key, s, m, v) of all matches in t of ``source``, whose columns are ``key`` and t."""
+        cut = f"SELECT {key}, regexp_split_to_array(t, {lit(pattern)}) pc, regexp_extract_all(t, {lit(pattern)}) ms, regexp_extract_all(t, {lit(pattern)}, {group}) vs FROM {source}"
+        return f"SELECT {key}, length(array_to_string(pc[1:i], '')) + length(array_to_string(ms[1:i - 1], '')) s, ms[i] m, vs[i] v FROM (SELECT *, unnest(range(1, len(ms) + 1)) i FROM ({cut}))"
+
+    def gaps(spans: str, texts: str, key: str) -> str:
+        """(key, s, t): what spans (key, s, e) leave of texts (key, t)."""
+        ends = f"SELECT {key}, s, e FROM {spans} UNION ALL SELECT {key}, length(t), length(t) FROM {texts}"
+        before = f"SELECT {key}, s, coalesce(max(e) OVER (PARTITION BY {key} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) a FROM ({ends})"
+        return f"SELECT {key}, a o, substr(t, (a + 1)::BIGINT, (s - a)::BIGINT) t FROM ({before}) JOIN {texts} USING ({key}) WHERE s - a >= {WINDOW}"
+
+    base = " UNION ALL ".join(f"SELECT doc_id, {n} n, '{k}' kind, s, s + length(m) e, v FROM ({located('d', PATTERNS[k], 2 if k == 'assign' else 0, 'doc_id')})" for n, k in enumerate(KINDS))
+    plain = f"(NOT regexp_matches(t, '[0-9]|[A-Za-z]{{{WORD + 1}}}') AND regexp_matches(t, '[A-Za-z]'))"
+    unit = [f"(len(t) % {k} = 0 AND t = repeat(substr(t, 1, {k}), len(t) // {k}))" for k in range(1, UNIT + 1)]
+    allowed = " OR ".join([*(f"regexp_matches(t, {lit(a)})" for a in ALLOW), plain, *unit])
     limit = " ".join(f"WHEN '{c}' THEN {t}" for c, t in THRESHOLDS.items())
     w = WINDOW
     return rf"""
-    WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents), f AS ({found}),
-    x AS (SELECT doc_id, n, kind, length(array_to_string(pc[1:i], '')) + length(array_to_string(ms[1:i - 1], '')) s, ms[i] m, vs[i] v
-          FROM (SELECT *, unnest(range(1, len(ms) + 1)) i FROM f)),
-    y AS (SELECT doc_id, n, kind, s, s + length(m) e, v FROM x),
-    b AS (SELECT * FROM y WHERE n < 3 AND (n > 0 OR length(v) >= 6)),
-    c AS (SELECT *, CASE WHEN regexp_full_match(v, '[0-9]+') THEN 'decimal' WHEN regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(v, '[A-Za-z]+') THEN 'letters'
-          WHEN regexp_full_match(v, '[A-Za-z0-9]+') THEN 'alphanumeric' ELSE 'base64' END k
-          FROM y WHERE n = 3 AND NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = y.doc_id AND b.s < y.e AND y.s < b.e)),
-    g AS (SELECT doc_id, s, k, i, string_split(substr(v, i, {w}), '') ch FROM (SELECT *, unnest(range(1, length(v) - {w} + 2)) i FROM c)),
+    WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents), b0 AS ({base}), b AS (SELECT * FROM b0 WHERE n > 0 OR length(v) >= 6),
+    g0 AS ({gaps('b', 'd', 'doc_id')}),
+    c AS (SELECT doc_id, o + s k, m t FROM ({located('g0', CANDIDATE)})),
+    p AS (SELECT doc_id, k, s, s + length(m) e FROM ({located('c', PLACEHOLDER, 0, 'doc_id, k')})),
+    r0 AS (SELECT doc_id, k + o s, t FROM ({gaps('p', 'c', 'doc_id, k')})),
+    r AS (SELECT *, CASE WHEN regexp_full_match(t, '[0-9]+') THEN 'decimal' WHEN regexp_full_match(t, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(t, '[A-Za-z]+') THEN 'letters'
+          WHEN regexp_full_match(t, '[A-Za-z0-9]+') THEN 'alphanumeric' ELSE 'base64' END k FROM r0 WHERE NOT ({allowed})),
+    g AS (SELECT doc_id, s, k, i, string_split(substr(t, i, {w}), '') ch FROM (SELECT *, unnest(range(1, length(t) - {w} + 2)) i FROM r)),
     h AS (SELECT doc_id, s, k, i, log2({w}) - list_sum(list_transform(list_distinct(ch), lambda a: len(list_filter(ch, lambda z: z = a)) * log2(len(list_filter(ch, lambda z: z = a))))) / {w} en FROM g),
-    en AS (SELECT doc_id, 3 n, 'entropy' kind, s + min(i) - 1 s2, s + max(i) + {w} - 1 e FROM h WHERE en >= CASE k {limit} END GROUP BY doc_id, s),
-    a AS (SELECT doc_id, n, kind, s, e FROM b UNION ALL SELECT * FROM en),
-    r AS (SELECT doc_id, count(*) FILTER (n = 0) a0, count(*) FILTER (n = 1) a1, count(*) FILTER (n = 2) a2,
-      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n) FILTER (n < 3) bs, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n) sp FROM a GROUP BY 1)
+    en AS (SELECT doc_id, {len(KINDS)} n, 'entropy' kind, (s + min(i) - 1)::BIGINT s2, (s + max(i) + {w} - 1)::BIGINT e FROM h WHERE en >= CASE k {limit} END GROUP BY doc_id, s),
+    a AS (SELECT doc_id, n, kind, s::BIGINT s, e::BIGINT e FROM b UNION ALL SELECT * FROM en),
+    z AS (SELECT doc_id, count(*) FILTER (n = 0) a0, count(*) FILTER (n = 1) a1, count(*) FILTER (n = 2) a2,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n) FILTER (n < {len(KINDS)}) bs, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n) sp FROM a GROUP BY 1)
     SELECT doc_id, coalesce(a0, 0)::BIGINT n_assign, coalesce(a1, 0)::BIGINT n_access, coalesce(a2, 0)::BIGINT n_hex, sha256(coalesce(bs, '')) base_sha256, coalesce(sp, '') spans
-    FROM documents LEFT JOIN r USING (doc_id)"""
+    FROM documents LEFT JOIN z USING (doc_id)"""
 
 
 QUERIES = {"op9_secret_scan": op9_secret_scan}
