@@ -1,10 +1,11 @@
 """Operators on texts against brute force, and their defined edge cases."""
 
 import hashlib
+import functools
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -310,44 +311,70 @@ def test_secrets_equal_brute_force(spark, docs, odd):
 
 
 # ---------------------------------------------------------------- 8
-def test_katz_equals_brute_force(spark, docs):
+def brute_katz(train, order):
+    """P(history of order - 1 tokens, word) of the recursive formula over plain dictionaries, and its counts of words."""
+    grams = [Counter(tuple((["^"] * order + w)[i - m + 1 : i + 1]) for w in train for i in range(order, order + len(w))) for m in range(1, order + 1)]
+    uni, total = grams[0], sum(grams[0].values())
+    d = [katz.discounts(np.array([0] + [list(c.values()).count(r) for r in range(1, 7)])) for c in grams]
+
+    def dis(c, m):
+        return c * (d[m - 1][c] if c <= katz.K else 1)
+
+    left = 1 - sum(dis(c, 1) for c in uni.values()) / total
+    followers = [defaultdict(dict) for _ in grams]
+    for m, counts in enumerate(grams):
+        for g, c in counts.items():
+            followers[m][g[:-1]][g[-1]] = c
+
+    @functools.cache
+    def weights(h):
+        seen, m = followers[len(h)][h], len(h) + 1
+        count = sum(seen.values())
+        mass = sum(dis(c, m) for c in seen.values()) / count
+        keep = 1.0 if 1 - mass > 1e-12 else count / (count + 1)
+        return count, keep, (1 - keep * mass) / (1 - sum(p(h[1:], w) for w in seen))
+
+    def p(h, w):
+        if not h:
+            return dis(uni[w,], 1) / total if (w,) in uni else left
+        if h not in followers[len(h)]:
+            return p(h[1:], w)
+        count, keep, alpha = weights(h)
+        c = followers[len(h)][h].get(w, 0)
+        return keep * dis(c, len(h) + 1) / count if c else alpha * p(h[1:], w)
+
+    return p, uni, followers
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_equals_brute_force(spark, docs, order):
     d = docs.where("doc_id < 120")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    got = {r.doc_id: r for r in katz.score(d, held, size=40_000).collect()}
+    got = {r.doc_id: r for r in katz.score(d, held, order, size=40_000, tokens=20_000).collect()}
     rows = [(r.doc_id, WORD.findall(lower(r.text)) + [None]) for r in d.collect()]
-    train = [w for i, w in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    uni = Counter(x for w in train for x in w)
-    big = Counter(p for w in train for p in zip(["^", *w], w, strict=False))
+    p, uni, followers = brute_katz([w for i, w in rows if zlib.crc32(str(i).encode()) % 5 != 1], order)
     total, vocab = sum(uni.values()), len(uni)
-    n1, n2 = (np.array([0] + [list(c.values()).count(r) for r in range(1, 7)]) for c in (uni, big))
-    d1, d2 = katz.discounts(n1), katz.discounts(n2)
-
-    def dis(c, table):
-        return c * (table[c] if c <= katz.K else 1)
-
-    left = 1 - sum(dis(c, d1) for c in uni.values()) / total
-    p1 = lambda w: dis(uni[w], d1) / total if w in uni else left
-    count, mass, seen = Counter(), Counter(), Counter()
-    for (h, w), c in big.items():
-        count[h] += c
-        mass[h] += dis(c, d2)
-        seen[h] += p1(w)
-
-    def p2(h, w):
-        if not count[h]:
-            return p1(w)
-        keep = 1.0 if 1 - mass[h] / count[h] > 1e-12 else count[h] / (count[h] + 1)
-        if (h, w) in big:
-            return keep * dis(big[h, w], d2) / count[h]
-        return (1 - keep * mass[h] / count[h]) / (1 - seen[h]) * p1(w)
-
-    for h in ["^", *list(count)[:20]]:
-        assert sum(p2(h, w) for w in uni) + p2(h, "unseen") == pytest.approx(1)
+    for m in range(1, order):  # exactly normalised at every length
+        for h in [("^",) * m, *list(followers[m])[:: max(1, len(followers[m]) // 12)]]:
+            assert sum(p(h, w) for w, in uni) + p(h, "never seen") == pytest.approx(1)
     for i, w in rows:
         r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in uni for x in w), total)
-        assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 0.5) / (total + 0.5 * (vocab + 1))) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p2(h, x)) for h, x in zip(["^", *w], w, strict=False)))
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum((x,) in uni for x in w), total)
+        assert r.base_score == pytest.approx(sum(math.log10((uni[x,] + 0.5) / (total + 0.5 * (vocab + 1))) for x in w))
+        padded = ["^"] * (order - 1) + w
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(padded[k : k + order - 1]), x)) for k, x in enumerate(w)))
+
+
+def test_katz_scores_a_second_corpus_by_stored_tables(spark, docs, tmp_path):
+    learn, other = docs.where("doc_id < 80"), docs.where("doc_id between 60 and 119")
+    katz.train(learn, 3, size=40_000, tokens=20_000).save(str(tmp_path / "model"))
+    model = katz.Model.load(spark, str(tmp_path / "model"))
+    assert model.order == 3
+    got = {r.doc_id: r for r in model.score(other, size=30_000).collect()}
+    want = katz.score(docs.where("doc_id < 120"), F.col("doc_id") >= 80, 3).where("doc_id >= 60").collect()
+    assert len(got) == len(want) > 30
+    for r in want:
+        assert got[r.doc_id].score == pytest.approx(r.score) and got[r.doc_id].train_tokens == r.train_tokens
 
 
 def test_katz_edge_cases(spark, odd):

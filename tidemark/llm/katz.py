@@ -1,41 +1,71 @@
-"""Operator 8: language-model scores by Katz backoff with Good-Turing discounts.
+"""Operator 8: language-model scores by Katz backoff with Good-Turing discounts, of any order.
 
-Tokens are the white-space words of a text, A-Z lower-cased, and one end. The model is a bigram
-model: with c(h, w) the training count of w after h (the first word follows a begin mark),
+Tokens are the white-space words of a text, A-Z lower-cased, and one end. Before a text stand
+begin marks. With c(h, w) the training count of w after the history h, and h' for h without its
+first token,
 
     P(w | h) = d(c) * c(h, w) / c(h)      if c = c(h, w) > 0
-             = alpha(h) * P(w)            else, with alpha(h) = (1 - seen mass) / (1 - P of the seen)
+             = alpha(h) * P(w | h')       else, with alpha(h) = (1 - seen mass) / (1 - P(seen | h'))
     P(w)     = d'(c) * c(w) / N           if c(w) > 0, else all that is left: one unknown event
 
 so P(. | h) sums to exactly one over the vocabulary and the unknown event, for each h. d(1..5) are
-Katz's Good-Turing discounts from the counts of counts; where these are not usable (not in (0, 1),
-or a count of zero) the absolute discount n1 / (n1 + 2 n2) takes their place. A history whose
-bigrams are all too frequent for a discount keeps one part in c(h) + 1 for the unseen. A history
-without training counts leaves P(w).
-
-Counts are made and looked up by pieces (see ``pieces``): sorted distinct unigrams and bigrams go
-from each piece to the bucket that owns them, which holds that partition of the count table, and
-totals come back in the same order. One piece answers for each distinct bigram; it adds its mass
-to its history's sums, which are added up by bucket and come back as alpha(h). All training
-documents count and every text is scored whole. The driver gets counts of counts only.
+Katz's Good-Turing discounts from the counts of counts of that length; where these are not usable
+(not in (0, 1), or a count of zero) the absolute discount n1 / (n1 + 2 n2) takes their place. A
+history whose n-grams are all too frequent for a discount keeps one part in c(h) + 1 for the
+unseen. A history without training counts leaves P(w | h').
+
+Tables. N-grams are exact, not hashed: the bucket that owns a word gives it a number, an n-gram is
+the pair (number of its history, number of its last word), and the bucket that owns it numbers it
+in turn. A bucket holds one partition of the count table of a length (``grams``: history, word,
+count) and, in the same order, of the backoff weights of these n-grams as histories
+(``weights``: how many followers have each discounted count, and their summed P(. | h'), as exact
+integers from which alpha follows). ``Model.save`` keeps the tables; ``Model.score`` scores any
+other corpus by them.
+
+Counting and look-up are the same exchange, once a length. Texts are cut into pieces of some
+thousand rows, written once as word numbers of their own. A piece sends each bucket its distinct
+n-grams with their local counts, so one in a third of all rows is sent once a piece; the bucket
+adds them up and answers in the same order. One piece answers for each distinct n-gram: it adds
+its mass to the sums of its history, which go to the bucket that owns the history in the next
+exchange, along with the n-grams of the next length. Scores are then evaluated from the shortest
+history to the longest, token by token. All training documents count and every text is scored
+whole. The driver gets counts of counts only.
+
+Buckets are as many as keep ``BUCKET_TOKENS`` tokens each, so a task's memory does not grow with
+the corpus; an exchange has pieces x buckets rows, so for very large corpora both sizes are to be
+raised as executors allow.
 
 Defined cases: a null text is empty and scores its end alone; without training documents every
-score is 0 (probability one of the unknown event); repeated rows are rows like any other.
+score is 0 (probability one of the unknown event); repeated rows are rows like any other; ties do
+not arise; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.pieces import ANSWER_SCHEMA, NO_ID, ODD, PIECE_BYTES, REQUEST_SCHEMA, Piece, answer_all, bounds, make_pieces, mix, pack, pack_sorted, pieces_of, requests, totals, unpack, unpack_sorted
+from tidemark.llm.pieces import LEAST_BUCKETS, NO_ID, ODD, PIECE_BYTES, Numbers, mix, pack, pack_ints, pack_sorted, unpack, unpack_ints, unpack_sorted
 from tidemark.session import materialise, table
 
+ORDER = 3
 K = 5
-BEGIN = np.uint64(0x3C79AC492BA7B653)
-WORDS, PAIRS, HISTORIES, STATS = 0, 1, 2, 3
+BUCKET_TOKENS = 1 << 21
+#: A number is its bucket, and its place there from 1; 0 stands for a history of begin marks only.
+PLACE = np.uint64(40)
+PLACES = np.uint64((1 << 40) - 1)
+NONE = np.uint64((1 << 64) - 1)
+#: Sums of probabilities are kept as multiples of 2**-50, so that they are exact in any order.
+UNIT = float(1 << 50)
+ANSWER, TABLE, STATS = "answer", "table", "stats"
 
 
 # ---------------------------------------------------------------- the model's constants
@@ -54,145 +84,381 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-class Model:
-    """Unigram and bigram discounts; N tokens and V distinct ones in training."""
+class Constants:
+    """Discounts of each length; N tokens and V distinct ones in training.
+
+    ``stats[m]``: tokens, distinct n-grams, and counts of counts 1..K+1 of length m.
+    """
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray):
+    def __init__(self, stats: dict[int, np.ndarray]):
+        words = stats.get(1, np.zeros(K + 3, np.int64))
         self.n, self.v = int(words[0]), int(words[1])
-        self.d1, self.d2 = discounts(words[1:]), discounts(pairs[1:])
-        left = (words[2 : K + 2] * np.arange(1, K + 1) * (1 - self.d1[1:])).sum() / self.n if self.n else 1.0
+        self.d = {m: discounts(s[1:]) for m, s in stats.items()}
+        left = (words[2 : K + 2] * np.arange(1, K + 1) * (1 - self.d[1][1:])).sum() / self.n if self.n else 1.0
         self.keep = 1.0 if left > 0 else self.n / (self.n + 1)
         self.unknown = left if left > 0 else 1 / (self.n + 1)
 
+    def discount(self, m: int) -> np.ndarray:
+        return self.d.get(m, np.ones(K + 1))
+
+    def discounted(self, m: int, c: np.ndarray) -> np.ndarray:
+        return np.where(c <= K, self.discount(m)[np.minimum(c, K)], 1.0) * c
+
     def unigram(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.keep * _discounted(c, self.d1) / max(self.n, 1), self.unknown)
+        return np.where(c > 0, self.keep * self.discounted(1, c) / max(self.n, 1), self.unknown)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
 
-def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    return np.where(c <= K, d[np.minimum(c, K)], 1.0) * c
+# ---------------------------------------------------------------- pieces
+PIECE_SCHEMA = "piece long, n_tokens long, ids binary, flags binary, lengths binary, tokens binary, words binary, counts binary"
 
 
-# ---------------------------------------------------------------- counting
-class Grams:
-    """Words, histories and bigrams of one piece, each with its sorted distinct keys."""
-
-    def __init__(self, p: Piece):
-        self.p = p
-        self.words, self.word = np.unique(p.words, return_inverse=True)
-        opens = p.starts[p.lengths > 0]
-        before = np.concatenate([[BEGIN], p.words[:-1]]) if len(p.words) else p.words
-        before[opens] = BEGIN
-        self.pairs, self.pair = np.unique(mix(before * ODD + p.words), return_inverse=True)
-        self.first = np.empty(len(self.pairs), np.int64)
-        self.first[self.pair] = np.arange(len(p.words))  # a place where the pair stands
-        # histories: the words and the begin mark, numbered from the words' numbers
-        at = int(np.searchsorted(self.words, BEGIN))
-        self.histories = np.insert(self.words, at, BEGIN)
-        self.history = np.concatenate([[0], self.word[:-1]]) if len(p.words) else self.word
-        self.history = self.history + (self.history >= at)
-        self.history[opens] = at
-
-
-def _ask(buckets: int):
+def _number(size: int):
+    """Pieces of rows (id, flag, text), their words numbered; number 0 is the end of a text."""
+
+    def run(batches):
+        held, count, n = [], 0, 0
+        task = TaskContext.get().partitionId() << 32
+
+        def flush():
+            ids, flags, texts = zip(*held, strict=True)
+            number, lengths = Numbers({b"": 0}), []
+
+            def lists():
+                for t in texts:
+                    w = t.split()
+                    lengths.append(len(w) + 1)
+                    yield w
+                    yield (b"",)
+
+            tokens = np.fromiter(map(number.__getitem__, chain.from_iterable(lists())), np.uint32)
+            flags, lengths = np.array(flags, np.int8), np.array(lengths, np.int64)
+            counts = np.bincount(tokens[np.repeat(flags == 0, lengths)], minlength=len(number))
+            cols = [pack(np.array(ids, np.int64)), pack(flags), pack_ints(lengths), pack_ints(tokens), zstandard.ZstdCompressor(1).compress(b" ".join(number)), pack_ints(counts)]
+            return pa.RecordBatch.from_arrays([pa.array([task + n], pa.int64()), pa.array([len(tokens)], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], names=[x.split(" ")[0] for x in PIECE_SCHEMA.split(", ")])
+
+        for b in batches:
+            for i, flag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                t = text.lower() if text else b""
+                if held and count + len(t) > size:
+                    yield flush()
+                    held, count, n = [], 0, n + 1
+                held.append((i, flag, t))
+                count += len(t)
+        if held:
+            yield flush()
+
+    return run
+
+
+def _words(packed: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(packed).split(b" ")
+
+
+def _owners(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)
+
+
+REQUEST_SCHEMA = "bucket int, family int, piece long, a binary, b binary, c binary, d binary"
+ANSWER_SCHEMA = "kind string, bucket int, family int, piece long, a binary, b binary, c binary"
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [(n, kinds[k]) for n, k in (x.split(" ") for x in schema.split(", "))]
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(fields)})
+
+
+def grams_family(m: int) -> int:
+    return 2 * m
+
+
+def weights_family(m: int) -> int:
+    """Sums of the histories of n-grams of length m."""
+    return 2 * m + 1
+
+
+def _ask_words(buckets: int):
     def run(batches):
         for b in batches:
-            for n, p in pieces_of(b, end=True):
-                g = Grams(p)
-                learn = np.repeat(p.flags == 0, p.lengths)
-                yield requests(n, WORDS, g.words, np.bincount(g.word[learn], minlength=len(g.words)), buckets)
-                yield requests(n, PAIRS, g.pairs, np.bincount(g.pair[learn], minlength=len(g.pairs)), buckets)
+            for piece, words, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                words, counts = _words(words), unpack_ints(counts, np.int64)
+                owner = _owners(words, buckets)
+                order = np.argsort(owner, kind="stable")
+                at, first = np.unique(owner[order], return_index=True)
+                rows = [(int(i), grams_family(1), piece, zstandard.ZstdCompressor(1).compress(b" ".join([words[j] for j in mine.tolist()])), pack_ints(counts[mine]), None, None) for i, mine in zip(at, np.split(order, first[1:]), strict=True)]
+                yield from _rows(REQUEST_SCHEMA, rows).to_batches()
+
+    return run
+
+
+# ---------------------------------------------------------------- buckets
+def _stats(summed: np.ndarray) -> bytes:
+    of = np.bincount(np.minimum(summed, K + 2), minlength=K + 3)[1 : K + 2]
+    return pack(np.array([summed.sum(), (summed > 0).sum(), *of], np.int64))
+
+
+def _own_words(bucket: int, train: bool, known: list[dict], asked: list[dict]) -> list[tuple]:
+    number, parts = Numbers(), []
+    for r in known + asked:
+        parts.append((np.fromiter(map(number.__getitem__, _words(r["a"])), np.int64), unpack_ints(r["b"], np.int64)))
+    summed = np.zeros(len(number), np.int64)
+    for where, c in parts:
+        summed[where] += c  # the words of a part are distinct
+    place = np.cumsum(summed > 0)
+    family = grams_family(1)
+    rows = [(ANSWER, bucket, family, r["piece"], pack_ints(summed[w]), pack_ints(place[w]), None) for r, (w, _) in zip(asked, parts[len(known) :], strict=True)]
+    if train:
+        words = list(number)
+        held = zstandard.ZstdCompressor(3).compress(b" ".join([words[i] for i in np.flatnonzero(summed > 0).tolist()]))
+        if summed.any():
+            rows.append((TABLE, bucket, family, -1, held, pack_ints(summed[summed > 0]), None))
+        rows.append((STATS, bucket, family, -1, _stats(summed), None, None))
+    return rows
+
+
+def _order(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order of the pairs (h, w): by one packed number where it fits into 64 bits."""
+    parts = [(x >> PLACE, x & PLACES) for x in (h, w)]
+    high, low = (np.uint64(max(int(p[i].max(initial=0)) for p in parts).bit_length()) for i in (0, 1))
+    if 2 * int(high + low) > 64:
+        return np.lexsort((w, h))
+    key = np.zeros(len(h), np.uint64)
+    for b, j in parts:
+        key = ((key << high | b) << low) | j
+    return np.argsort(key, kind="stable")
+
+
+def _own_grams(bucket: int, family: int, last: bool, train: bool, known: list[dict], asked: list[dict]) -> list[tuple]:
+    parts = [(unpack_sorted(r["a"]), unpack_ints(r["b"], np.uint64), unpack_ints(r["c"], np.int64)) for r in known + asked]
+    h, w, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = _order(h, w)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (w[order[1:]] != w[order[:-1]])
+    where = np.empty(len(h), np.int64)
+    where[order] = np.cumsum(new) - 1
+    firsts = order[new]
+    summed = np.bincount(where, c, len(firsts)).astype(np.int64)  # exact up to 2**53
+    place = np.cumsum(summed > 0)
+    answers_for = np.empty(len(firsts), np.int64)
+    answers_for[where] = np.arange(len(where))  # the last piece that has it
+    owner = np.zeros(len(where), bool)
+    owner[answers_for] = train
+    ends = np.cumsum([len(p[0]) for p in parts])[:-1]
+    split = [np.split(x, ends)[len(known) :] for x in (summed[where], place[where], owner)]
+    rows = [(ANSWER, bucket, family, r["piece"], pack_ints(s), None if last else pack_ints(np.diff(p, prepend=0)), pack(np.packbits(o))) for r, s, p, o in zip(asked, *split, strict=True)]
+    if train:
+        seen = firsts[summed > 0]
+        if len(seen):
+            rows.append((TABLE, bucket, family, -1, pack_sorted(h[seen]), pack_ints(w[seen]), pack_ints(summed[summed > 0])))
+        rows.append((STATS, bucket, family, -1, _stats(summed), None, None))
+    return rows
+
+
+def _own_weights(bucket: int, family: int, train: bool, known: list[dict], asked: list[dict]) -> list[tuple]:
+    parts = [(unpack_sorted(r["a"]).astype(np.int64), unpack_ints(r["b"], np.int64).reshape(K, -1), unpack_ints(r["c"], np.int64)) for r in asked]
+    size = 1 + max([int(p[0][-1]) for p in parts])
+    if known:
+        held, mass = unpack_ints(known[0]["a"], np.int64).reshape(K, -1), unpack_ints(known[0]["b"], np.int64)
+        size = max(size, len(mass))
+    of, sums = np.zeros((K, size), np.int64), np.zeros(size, np.int64)
+    if known:
+        of[:, : len(mass)], sums[: len(mass)] = held, mass
+    for at, n, s in parts:
+        of[:, at] += n  # the histories of a part are distinct
+        sums[at] += s
+    rows = []
+    for r, (at, _, _) in zip(asked, parts, strict=True):
+        want = at[np.unpackbits(unpack(r["d"], np.uint8), count=len(at)).astype(bool)]
+        if len(want):
+            rows.append((ANSWER, bucket, family, r["piece"], pack_ints(of[:, want]), pack_ints(sums[want]), None))
+    if train:
+        rows.append((TABLE, bucket, family, -1, pack_ints(of), pack_ints(sums), None))
+    return rows
+
+
+def _own(order: int, train: bool, asked: pa.Table, known: list[dict]) -> pa.Table:
+    """One bucket of one family: answers to all pieces; in training also its table."""
+    if not asked.num_rows:
+        return _rows(ANSWER_SCHEMA, [])
+    bucket, family = (asked.column(c)[0].as_py() for c in ("bucket", "family"))
+    rows, m = asked.sort_by("piece").to_pylist(), family // 2
+    if family % 2:
+        return _rows(ANSWER_SCHEMA, _own_weights(bucket, family, train, known, rows))
+    if m == 1:
+        return _rows(ANSWER_SCHEMA, _own_words(bucket, train, known, rows))
+    return _rows(ANSWER_SCHEMA, _own_grams(bucket, family, m == order, train, known, rows))
+
+
+def _count(order: int):
+    def run(asked: pa.Table) -> pa.Table:
+        return _own(order, True, asked, [])
 
     return run
 
 
-def _count(t: pa.Table) -> pa.Table:
-    """One bucket of both count tables: totals for each piece, and counts of counts."""
-    pieces, families = np.array(t.column("piece")), np.array(t.column("family"))
-    bucket, out = t.column("bucket")[0].as_py(), []
-    for family in (WORDS, PAIRS):
-        mine = np.flatnonzero(families == family)
-        mine = mine[np.argsort(pieces[mine])]
-        if not len(mine):
-            continue
-        parts = [(unpack_sorted(t.column("keys")[i].as_py()), unpack(t.column("counts")[i].as_py(), np.uint32)) for i in mine.tolist()]
-        _, summed, where, ends = totals(parts)
-        value = summed[where]
-        if family == PAIRS:  # the last piece that has a pair answers for it
-            owner = np.zeros(len(where), bool)
-            last = np.empty(int(where.max()) + 1, np.int64)
-            last[where] = np.arange(len(where))
-            owner[last] = True
-            value = value * 2 + owner
-        out += [(int(pieces[i]), family, pack(v)) for i, v in zip(mine, np.split(value, ends[:-1]), strict=True)]
-        of = np.bincount(np.minimum(summed, K + 2), minlength=K + 3)[1 : K + 2]
-        out.append((-1, STATS + family, pack(np.array([summed.sum(), (summed > 0).sum(), *of], np.int64))))
-    piece, family, vals = zip(*out, strict=True)
-    return pa.table({"piece": pa.array(piece, pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int32()), "family": pa.array(family, pa.int32()), "vals": pa.array(vals, pa.binary())})
-
-
-def _counts(g: Grams, answers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(c of each distinct word, c of each distinct pair, whether this piece answers for it)."""
-    pair = answer_all(answers, PAIRS, np.int64)
-    return answer_all(answers, WORDS, np.int64), pair >> 1, (pair & 1).astype(bool)
-
-
-HISTORY_SCHEMA = "bucket int, piece long, keys binary, sums binary"
-
-
-def _ask_histories(model: Model, buckets: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"bucket": [], "piece": [], "keys": [], "sums": []}
-        for n, p in pieces_of(left, end=True):
-            g = Grams(p)
-            word, pair, mine = _counts(g, right)
-            mine &= pair > 0
-            at, c = g.first[mine], pair[mine]
-            sums = [np.bincount(g.history[at], w, len(g.histories)) for w in (c, _discounted(c, model.d2), model.unigram(word[g.word[at]]))]
-            cut = np.concatenate([[0], np.searchsorted(g.histories, bounds(buckets)), [len(g.histories)]])
-            for i in range(buckets):
-                if cut[i] < cut[i + 1]:
-                    span = slice(cut[i], cut[i + 1])
-                    for k, v in zip(out, (i, n, pack_sorted(g.histories[span]), pack(np.concatenate([s[span] for s in sums]))), strict=True):
-                        out[k].append(v)
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "piece": pa.array(out["piece"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "sums": pa.array(out["sums"], pa.binary())})
+def _look_up(order: int):
+    def run(asked: pa.Table, tables: pa.Table) -> pa.Table:
+        return _own(order, False, asked, tables.to_pylist())
 
     return run
 
 
-def _backoff(t: pa.Table) -> pa.Table:
-    """One bucket of histories: (alpha, share kept by the seen, count) for each piece."""
-    keys = [unpack_sorted(k) for k in t.column("keys").to_pylist()]
-    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = [unpack(s, np.float64).reshape(3, -1) for s in t.column("sums").to_pylist()]
-    count, mass, uni = (np.bincount(where, np.concatenate([s[i] for s in sums]), len(distinct)) for i in range(3))
-    seen = mass / np.maximum(count, 1)
-    keep = np.where(1 - seen > 1e-12, 1.0, count / (count + 1))
-    alpha = np.where(count > 0, (1 - keep * seen) / np.maximum(1 - uni, 1e-300), 1.0)
-    vals = np.split(np.stack([alpha, keep, count])[:, where], np.cumsum([len(k) for k in keys])[:-1], axis=1)
-    return pa.table({"piece": t.column("piece"), "bucket": t.column("bucket"), "family": pa.array([HISTORIES] * len(keys), pa.int32()), "vals": pa.array([pack(v.T) for v in vals], pa.binary())})
-
-
-def _score(model: Model):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        for _, p in pieces_of(left, end=True):
-            g = Grams(p)
-            word, pair, _ = _counts(g, right)
-            alpha, keep, count = answer_all(right, HISTORIES, np.float64).reshape(-1, 3).T
-            w, h = g.word[g.first], g.history[g.first]  # of each distinct pair
-            prob = np.where(pair > 0, keep[h] * _discounted(pair, model.d2) / np.maximum(count[h], 1), alpha[h] * model.unigram(word[w]))
-            each = {"n_known": (word > 0)[g.word].astype(np.int64), "base_score": model.base(word)[g.word], "score": np.log10(prob)[g.pair]}
-            out["doc_id"].append(p.ids)
-            out["held_out"].append(p.flags == 1)
-            out["n_tokens"].append(p.lengths)
-            for k, v in each.items():
-                out[k].append(np.add.reduceat(v, p.starts))  # every text has its end at least
-        cols = {k: np.concatenate(v) for k, v in out.items()}
-        ids = pa.array(cols.pop("doc_id"), mask=np.concatenate(out["doc_id"]) == NO_ID)
-        return pa.table({"doc_id": ids} | {k: pa.array(v) for k, v in cols.items()})
+# ---------------------------------------------------------------- one piece
+class Level:
+    """The distinct n-grams of one length in a piece, sorted by number; those without one last."""
+
+    def __init__(self, of: np.ndarray, number: np.ndarray, count: np.ndarray):
+        self.of, self.number, self.count = of, number, count  # of: which one ends at each token
+
+
+class Piece:
+    """The n-grams of a piece, as far as the answers have come."""
+
+    def __init__(self, row: dict, answers: pa.Table, order: int, buckets: int, constants: Constants):
+        self.buckets, self.constants, self.order = buckets, constants, order
+        self.ids, self.flags, self.lengths = unpack(row["ids"], np.int64), unpack(row["flags"], np.int8), unpack_ints(row["lengths"], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.learn = np.repeat(self.flags == 0, self.lengths)
+        self.given: dict[int, list] = {}
+        for r in answers.sort_by([("family", "ascending"), ("bucket", "ascending")]).to_pylist():
+            self.given.setdefault(r["family"], []).append(r)
+        owner = _owners(_words(row["words"]), buckets)
+        number, count = np.full(len(owner), NONE), np.zeros(len(owner), np.int64)
+        asked = np.argsort(owner, kind="stable")
+        count[asked], place = self._values(1, "a"), self._values(1, "b").astype(np.uint64)
+        number[asked] = np.where(count[asked] > 0, (owner[asked] << PLACE) | place, NONE)
+        self.docs = int(count[0])  # the end of a text, once a training document
+        by = np.argsort(number, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.word = Level(rank[unpack_ints(row["tokens"], np.uint32)], number[by], count[by])
+        self.levels = [self.word]
+        self.parts: list[Grams] = []
+
+    def _values(self, m: int, column: str, family=grams_family) -> np.ndarray:
+        got = [unpack_ints(r[column], np.int64) for r in self.given.get(family(m), [])]
+        return np.concatenate(got) if got else np.zeros(0, np.int64)
+
+    def grow(self) -> Grams:
+        """The n-grams that are one longer; their counts if they have been answered."""
+        g = Grams(self, len(self.levels) + 1)
+        self.parts.append(g)
+        return g
+
+    def probabilities(self, upto: int) -> np.ndarray:
+        """P of each token by a history of ``upto`` - 1 tokens."""
+        p = self.constants.unigram(self.word.count)[self.word.of]
+        for g in self.parts[: upto - 1]:
+            p = g.probability(p)
+        return p
+
+
+class Grams:
+    """The n-grams of length m of a piece as pairs of a history and a word, both in order of number."""
+
+    def __init__(self, p: Piece, m: int):
+        self.p, self.m = p, m
+        before, words = p.levels[-1], len(p.word.number)
+        history = np.concatenate([[0], before.of[:-1] + 1]) if len(before.of) else before.of
+        history[p.starts] = 0
+        self.histories = np.concatenate([[np.uint64(0)], before.number])
+        self.history_count = np.concatenate([[p.docs], before.count])
+        keys, self.of = np.unique(history * words + p.word.of, return_inverse=True)
+        self.history, self.last = keys // words, keys % words
+        known = np.flatnonzero((self.history_count[self.history] > 0) & (p.word.count[self.last] > 0))
+        owner = mix(self.histories[self.history[known]] * ODD + p.word.number[self.last[known]]) % np.uint64(p.buckets)
+        by = np.argsort(owner.astype(np.uint16) if p.buckets < 1 << 16 else owner, kind="stable")
+        self.asked, self.owner = known[by], owner[by]
+        self.count, self.mine = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        answers = p.given.get(grams_family(m), [])
+        if answers:
+            counts = [unpack_ints(r["a"], np.int64) for r in answers]
+            self.count[self.asked] = np.concatenate(counts)
+            self.mine[self.asked] = np.concatenate([np.unpackbits(unpack(r["c"], np.uint8), count=len(c)) for r, c in zip(answers, counts, strict=True)]).astype(bool)
+            self.mine &= self.count > 0
+            if m < p.order:
+                place = np.concatenate([np.cumsum(unpack_ints(r["b"], np.int64)) for r in answers]).astype(np.uint64)
+                self._settle(place)
+
+    def _settle(self, place: np.ndarray) -> None:
+        seen = self.count[self.asked] > 0
+        by = np.concatenate([self.asked[seen], np.flatnonzero(self.count == 0)])
+        number = np.full(len(by), NONE)
+        number[: seen.sum()] = (self.owner[seen] << PLACE) | place[seen]
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.p.levels.append(Level(rank[self.of], number, self.count[by]))
+
+    def request(self, piece: int) -> list[tuple]:
+        """Rows that ask for the counts of these n-grams, and add those of the piece."""
+        local = np.bincount(self.of[self.p.learn], minlength=len(self.count))
+        at, first = np.unique(self.owner, return_index=True)
+        rows = []
+        for i, mine in zip(at, np.split(self.asked, first[1:]), strict=True) if len(at) else ():
+            rows.append((int(i), grams_family(self.m), piece, pack_sorted(self.histories[self.history[mine]]), pack_ints(self.p.word.number[self.last[mine]]), pack_ints(local[mine]), None))
+        return rows
+
+    def wanted(self) -> np.ndarray:
+        """Histories whose weights are needed: one of their n-grams is unseen or has no discount."""
+        d, c = self.p.constants.discount(self.m), self.count
+        plain = (c == 0) | (c > K) | (d[np.minimum(c, K)] >= 1)
+        return (np.bincount(self.history[plain], minlength=len(self.histories)) > 0) & (self.history_count > 0)
+
+    def weigh(self, piece: int) -> list[tuple]:
+        """Rows with what this piece knows of its histories' weights, and which of them it wants."""
+        n = len(self.histories)
+        mine = np.flatnonzero(self.mine)
+        example = np.empty(len(self.count), np.int64)
+        example[self.of] = np.arange(len(self.of))
+        lower = self.p.probabilities(self.m - 1)[example[mine]]
+        mass = np.bincount(self.history[mine], np.floor(lower * UNIT), n).astype(np.int64)
+        of = np.stack([np.bincount(self.history[mine[self.count[mine] == r]], minlength=n) for r in range(1, K + 1)])
+        want = self.wanted()
+        send = np.flatnonzero(want | (mass > 0))
+        owner = (self.histories[send] >> PLACE).astype(np.int64)
+        at, first = np.unique(owner, return_index=True)
+        rows = []
+        for i, s in zip(at, np.split(send, first[1:]), strict=True) if len(at) else ():
+            rows.append((int(i), weights_family(self.m), piece, pack_sorted(self.histories[s] & PLACES), pack_ints(of[:, s]), pack_ints(mass[s]), pack(np.packbits(want[s]))))
+        return rows
+
+    def probability(self, lower: np.ndarray) -> np.ndarray:
+        """P of each token, from its P by a history that is one shorter."""
+        k, n = self.p.constants, len(self.histories)
+        of, mass = np.zeros((K, n), np.int64), np.zeros(n, np.int64)
+        want = np.flatnonzero(self.wanted())
+        got = self.p.given.get(weights_family(self.m), [])
+        if len(want) and got:
+            of[:, want] = np.concatenate([unpack_ints(r["a"], np.int64).reshape(K, -1) for r in got], axis=1)
+            mass[want] = np.concatenate([unpack_ints(r["b"], np.int64) for r in got])
+        total = np.maximum(self.history_count, 1)
+        free = (np.arange(1, K + 1) * (1 - k.discount(self.m)[1:])) @ of / total
+        full = np.zeros(n, bool)
+        full[want] = free[want] <= 1e-12
+        keep = np.where(full, total / (total + 1), 1.0)
+        alpha = np.where(full, 1 / (total + 1), free) / np.maximum(1 - mass / UNIT, 1e-300)
+        seen = keep[self.history] * k.discounted(self.m, self.count) / total[self.history]
+        factor = np.where(self.history_count > 0, alpha, 1.0)[self.history]
+        return np.where((self.count > 0)[self.of], seen[self.of], factor[self.of] * lower)
+
+
+def _ask(k: int, order: int, buckets: int, constants: Constants):
+    """After the counts of length k: weights of their histories, and the n-grams of length k + 1."""
+
+    def run(pieces: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        for row in pieces.to_pylist():
+            p = Piece(row, answers, order, buckets, constants)
+            for _ in range(2, k + 1):
+                p.grow()
+            if k > 1:
+                rows += p.parts[-1].weigh(row["piece"])
+            if k < order:
+                rows += p.grow().request(row["piece"])
+        return _rows(REQUEST_SCHEMA, rows)
 
     return run
 
@@ -200,25 +466,106 @@ def _score(model: Model):
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, held_out, size: int = PIECE_BYTES) -> DataFrame:
+def _score(order: int, buckets: int, constants: Constants):
+    def run(pieces: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for row in pieces.to_pylist():
+            p = Piece(row, answers, order, buckets, constants)
+            for _ in range(2, order + 1):
+                p.grow()
+            c = p.word.count
+            each = {"n_known": (c > 0)[p.word.of].astype(np.int64), "base_score": constants.base(c)[p.word.of], "score": np.log10(p.probabilities(order))}
+            cols = {"doc_id": pa.array(p.ids, mask=p.ids == NO_ID), "held_out": pa.array(p.flags == 1), "n_tokens": pa.array(p.lengths)}
+            out.append(pa.table(cols | {n: pa.array(np.add.reduceat(v, p.starts)) for n, v in each.items()}))  # every text has its end at least
+        return pa.concat_tables(out)
+
+    return run
+
+
+# ---------------------------------------------------------------- Spark
+def _pieces(docs: DataFrame, held_out, size: int) -> DataFrame:
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(held_out, F.lit(False)).cast("tinyint").alias("flag"), "text")
+    return materialise(rows.mapInArrow(_number(size), PIECE_SCHEMA), "numbered")
+
+
+def _constants(stats: DataFrame) -> Constants:
+    found: dict[int, np.ndarray] = {}
+    for r in stats.where(F.col("kind") == STATS).select("family", "a").toLocalIterator():  # a few numbers a bucket
+        found[r["family"] // 2] = found.get(r["family"] // 2, 0) + unpack(bytes(r["a"]), np.int64)
+    return Constants(found or {1: np.zeros(K + 3, np.int64)})
+
+
+def _exchange(pieces: DataFrame, order: int, buckets: int, tables: DataFrame | None, constants: Constants | None) -> tuple[DataFrame, Constants]:
+    """All answers, and in training (no ``tables``) all tables, of all lengths up to ``order``."""
+
+    def answer(asked: DataFrame, *families: int) -> DataFrame:
+        by = asked.groupBy("bucket", "family")
+        if tables is None:
+            return materialise(by.applyInArrow(_count(order), ANSWER_SCHEMA), "grams", ("kind",))
+        there = tables.where((F.col("kind") == TABLE) & F.col("family").isin(*families)).groupBy("bucket", "family")
+        return materialise(by.cogroup(there).applyInArrow(_look_up(order), ANSWER_SCHEMA), "grams", ("kind",))
+
+    got = answer(pieces.select("piece", "words", "counts").mapInArrow(_ask_words(buckets), REQUEST_SCHEMA), grams_family(1))
+    for k in range(1, order + 1):
+        now = constants or _constants(got)
+        asked = pieces.groupBy("piece").cogroup(got.where(F.col("kind") == ANSWER).groupBy("piece")).applyInArrow(_ask(k, order, buckets, now), REQUEST_SCHEMA)
+        got = got.union(answer(asked, weights_family(k), grams_family(k + 1)))
+    return got, constants or _constants(got)
+
+
+def _scores(pieces: DataFrame, got: DataFrame, order: int, buckets: int, constants: Constants) -> DataFrame:
+    answers = got.where(F.col("kind") == ANSWER).groupBy("piece")
+    out = pieces.groupBy("piece").cogroup(answers).applyInArrow(_score(order, buckets, constants), SCORE_SCHEMA)
+    return out.withColumn("train_tokens", F.lit(constants.n).cast("long"))
+
+
+def _buckets(pieces: DataFrame, tokens: int) -> int:
+    n = pieces.agg(F.sum("n_tokens")).first()[0] or 0
+    return max(LEAST_BUCKETS, -(-n // tokens))
+
+
+@dataclass
+class Model:
+    """A trained model: its tables ``(kind, bucket, family, piece, a, b, c)``, one row a bucket and family."""
+
+    tables: DataFrame
+    order: int
+    buckets: int
+
+    def save(self, path: str) -> None:
+        """Write the tables, a folder for each kind and family."""
+        self.tables.withColumns({"order": F.lit(self.order), "buckets": F.lit(self.buckets)}).write.partitionBy("kind", "family").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        t = spark.read.schema(f"{ANSWER_SCHEMA}, order int, buckets int").parquet(path)
+        first = t.select("order", "buckets").first()
+        return cls(t.drop("order", "buckets"), first[0], first[1])
+
+    def score(self, docs: DataFrame, size: int = PIECE_BYTES) -> DataFrame:
+        """Score every row of ``docs``, none of which is learnt from; columns as of ``score``."""
+        pieces, constants = _pieces(docs, F.lit(True), size), _constants(self.tables)
+        got, _ = _exchange(pieces, self.order, self.buckets, self.tables, constants)
+        return _scores(pieces, got, self.order, self.buckets, constants)
+
+
+def train(docs: DataFrame, order: int = ORDER, size: int = PIECE_BYTES, tokens: int = BUCKET_TOKENS) -> Model:
+    """A model of all rows of ``docs``."""
+    pieces = _pieces(docs, F.lit(False), size)
+    buckets = _buckets(pieces, tokens)
+    got, _ = _exchange(pieces, order, buckets, None, None)
+    return Model(got.where(F.col("kind") != ANSWER), order, buckets)
+
+
+def score(docs: DataFrame, held_out, order: int = ORDER, size: int = PIECE_BYTES, tokens: int = BUCKET_TOKENS) -> DataFrame:
     """Train on the rows of ``docs`` where ``held_out`` is false; score every row.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10).
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = materialise(make_pieces(docs, lower=True, flag=held_out, size=size), "pieces")
-    counted = pieces.mapInArrow(_ask(buckets), REQUEST_SCHEMA).groupBy("bucket").applyInArrow(_count, ANSWER_SCHEMA)
-    counted = materialise(counted, "counts")
-    stats = {f: np.zeros(K + 3, np.int64) for f in (WORDS, PAIRS)}
-    for r in counted.where("piece = -1").select("family", "vals").toLocalIterator():  # a few numbers a bucket
-        stats[r["family"] - STATS] += unpack(bytes(r["vals"]), np.int64)
-    model = Model(stats[WORDS], stats[PAIRS])
-    counted = counted.where("piece >= 0")
-    asked = pieces.groupBy("piece").cogroup(counted.groupBy("piece")).applyInArrow(_ask_histories(model, buckets), HISTORY_SCHEMA)
-    weights = asked.groupBy("bucket").applyInArrow(_backoff, ANSWER_SCHEMA)
-    out = pieces.groupBy("piece").cogroup(counted.union(weights).groupBy("piece")).applyInArrow(_score(model), SCORE_SCHEMA)
-    return out.withColumn("train_tokens", F.lit(model.n).cast("long"))
+    pieces = _pieces(docs, held_out, size)
+    buckets = _buckets(pieces, tokens)
+    got, constants = _exchange(pieces, order, buckets, None, None)
+    return _scores(pieces, got, order, buckets, constants)
 
 
 def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ and counted over the corpus. Around each shared anchor the match is then extende
 that hold it are hashed whole and counted in the same way, and those counted twice are removed.
 
 Both counts go by pieces (see ``pieces``): a passage in a third of all documents is sent once a
-piece. Equality of windows is that of 64-bit hashes.
+piece. Anchors are 64-bit hashes, as they only choose what is looked at; equality of windows is
+that of 128-bit hashes, two of 64 bits from independent hashes of the words: about n*n/2^129
+chance of any false match among n distinct windows.
 
 Defined cases: a null text has no words; shorter documents keep all; rows that are equal, ids
 included, are separate starts, so they remove each other; a null doc_id stays null; extra columns
@@ -26,10 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.pieces import ANSWER_SCHEMA, ODD, REQUEST_SCHEMA, Piece, answer_all, make_pieces, mix, pack, pieces_of, requests, totals, unpack, unpack_sorted
+from tidemark.llm.pieces import ANSWER_SCHEMA, ODD, REQUEST_SCHEMA, Piece, answer_all, bucket_count, distinct, make_pieces, mix, pack, pieces_of, requests, unpack, unpack_ints, unpack_sorted
 from tidemark.session import materialise, table
 
 WINDOW = 35
+#: Bytes of text whose keys one bucket counts.
+BUCKET_BYTES = 16 << 20
 PERIOD = 21
 COVER = (3, 6, 7, 12, 14)
 ANCHORS, WINDOWS = 0, 1
@@ -53,6 +57,7 @@ class Runs:
     def __init__(self, p: Piece, window: int):
         self.p, self.window = p, window
         self.sums, self.back = _prefix(p.words)
+        self.more: np.ndarray | None = None
         n = len(p.words)
         self.local = np.arange(n) - np.repeat(p.starts, p.lengths)
         self.left = np.repeat(p.lengths, p.lengths) - self.local  # words from here to the document's end
@@ -61,6 +66,12 @@ class Runs:
     def hash(self, at: np.ndarray, width: int) -> np.ndarray:
         return mix((self.sums[at + width] - self.sums[at]) * self.back[at] + np.uint64(width))
 
+    def pair(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of a 128-bit hash."""
+        if self.more is None:
+            self.more = _prefix(self.p.others)[0]
+        return self.hash(at, width), mix((self.more[at + width] - self.more[at]) * self.back[at] + np.uint64(width))
+
     def anchors(self) -> np.ndarray:
         """Positions of anchors, in documents that have a window at all."""
         covered = np.isin(np.arange(PERIOD), COVER)[self.local % PERIOD]
@@ -79,29 +90,29 @@ def _ask_anchors(window: int, buckets: int):
         for b in batches:
             for n, p in pieces_of(b):
                 r = Runs(p, window)
-                keys, counts = np.unique(r.hash(r.anchors(), window - PERIOD + 1), return_counts=True)
-                yield requests(n, ANCHORS, keys, counts, buckets)
+                yield requests(n, ANCHORS, r.hash(r.anchors(), window - PERIOD + 1), None, buckets)
 
     return run
 
 
 def _shared(t: pa.Table) -> pa.Table:
     """For one bucket: which of the keys of each piece are counted at least twice, as bits."""
-    parts = [(unpack_sorted(k), unpack(c, np.uint32)) for k, c in zip(t.column("keys").to_pylist(), t.column("counts").to_pylist(), strict=True)]
-    _, summed, where, ends = totals(parts)
-    bits = np.split(summed[where] > 1, ends[:-1])
+    keys, counts = ([f(x) for x in t.column(c).to_pylist()] for c, f in (("keys", unpack_sorted), ("counts", lambda x: unpack_ints(x, np.int64))))
+    others = None if t.column("others").null_count else np.concatenate([unpack(x, np.uint64) for x in t.column("others").to_pylist()])
+    first, where = distinct(np.concatenate(keys), others)
+    summed = np.bincount(where, np.concatenate(counts), len(first))
+    bits = np.split(summed[where] > 1, np.cumsum([len(k) for k in keys])[:-1])
     return pa.table({"piece": t.column("piece"), "bucket": t.column("bucket"), "family": t.column("family"), "vals": pa.array([pack(x) for x in bits], pa.binary())})
 
 
-def _repeated(keys: np.ndarray, answers, family: int) -> np.ndarray:
+def _repeated(keys: np.ndarray, others: np.ndarray | None, answers, family: int) -> np.ndarray:
     """Of keys (any order, repeats), which are shared."""
-    _, where = np.unique(keys, return_inverse=True)
-    return answer_all(answers, family, np.bool_)[where] if len(keys) else np.zeros(0, bool)
+    return answer_all(answers, family, np.bool_)[distinct(keys, others)[1]] if len(keys) else np.zeros(0, bool)
 
 
 def _near(r: Runs, answers) -> np.ndarray:
     at = r.anchors()
-    return r.windows_around(at[_repeated(r.hash(at, r.window - PERIOD + 1), answers, ANCHORS)])
+    return r.windows_around(at[_repeated(r.hash(at, r.window - PERIOD + 1), None, answers, ANCHORS)])
 
 
 def _ask_windows(window: int, buckets: int):
@@ -109,8 +120,7 @@ def _ask_windows(window: int, buckets: int):
         out = []
         for n, p in pieces_of(left):
             r = Runs(p, window)
-            keys, counts = np.unique(r.hash(_near(r, right), window), return_counts=True)
-            out.append(requests(n, WINDOWS, keys, counts, buckets))
+            out.append(requests(n, WINDOWS, *r.pair(_near(r, right), window), buckets))
         return pa.Table.from_batches(out)
 
     return run
@@ -124,7 +134,7 @@ def _remove(window: int, finish):
         for _, p in pieces_of(left):
             r = Runs(p, window)
             starts = _near(r, right)
-            gone = starts[_repeated(r.hash(starts, window), right, WINDOWS)]
+            gone = starts[_repeated(*r.pair(starts, window), right, WINDOWS)]
             edge = np.zeros(len(p.words) + 1, np.int64)
             np.add.at(edge, gone, 1)
             np.add.at(edge, gone + window, -1)
@@ -149,12 +159,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, finish=bytes.decode) -
     """
     if window < PERIOD:
         raise ValueError(f"windows of under {PERIOD} words need a smaller period")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = materialise(make_pieces(docs, lower=False), "pieces")
+    pieces = materialise(make_pieces(docs), "pieces")
+    buckets = bucket_count(pieces, BUCKET_BYTES)
     asked = pieces.mapInArrow(_ask_anchors(window, buckets), REQUEST_SCHEMA)
     anchors = materialise(asked.groupBy("bucket").applyInArrow(_shared, ANSWER_SCHEMA), "anchors")
     asked = pieces.groupBy("piece").cogroup(anchors.groupBy("piece")).applyInArrow(_ask_windows(window, buckets), REQUEST_SCHEMA)
-    windows = asked.groupBy("bucket").applyInArrow(_shared, ANSWER_SCHEMA)
+    windows = materialise(asked.groupBy("bucket").applyInArrow(_shared, ANSWER_SCHEMA), "windows")
     known = anchors.union(windows).groupBy("piece")
     return pieces.groupBy("piece").cogroup(known).applyInArrow(_remove(window, finish), "doc_id long, n_words long, n_removed long, kept string")
 
