@@ -46,20 +46,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only on one machine (master ``local``), where the session names none, a temporary folder is
+    set: on a cluster executors could not see it, so there the setting must be made.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
+_written: dict[str, list[str]] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, name: str = "t", by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back, which cuts its lineage.
 
     A lost executor costs no recomputation beyond this point, and the reread table has exact
-    size statistics for the planner.
+    size statistics for the planner. The shuffle files of the write go as soon as it is done: the
+    table stands in for them. ``by`` names columns whose values get folders of their own, so that
+    a filter on them reads no others. The table stays until ``discard`` or ``release``.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` returned and that nothing will read again."""
+    spark = df.sparkSession
+    mine = _written.get(spark.sparkContext.applicationId, [])
+    for file in df.inputFiles()[:1]:
+        for path in [p for p in mine if f"/{p.rsplit('/', 1)[1]}/" in file]:
+            _delete(spark, path)
+            mine.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; call it when a query's rows are used."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
