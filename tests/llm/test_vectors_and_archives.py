@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import io
+import resource
+import time
 
 import numpy as np
 import pytest
@@ -67,10 +69,31 @@ def test_graph_recall():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = hnsw.Graph(x)
     beam = hnsw.audited_beam(g, x, x, 0.95)
-    got, want = (set(zip(*(y.tolist() for y in f), strict=True)) for f in (hnsw.linked(g, x, x, 0.95, beam), hnsw.exact(x, x, 0.95)))
+    got, want = ({p for y in f for p in zip(*(z.tolist() for z in y), strict=True)} for f in (hnsw.linked(g, x, x, 0.95, beam), hnsw.exact(x, x, 0.95)))
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_hot_group_in_a_full_shard():
+    """A third of a full shard are near copies: in time, in memory, and no link lost."""
+    rng = np.random.default_rng(3)
+    n, dim = hnsw.SHARD_ROWS, 64
+    x = np.repeat(rng.standard_normal((n // 8, dim)), 8, axis=0) + 0.4 * rng.standard_normal((n, dim))  # small groups of unlike ones
+    x[: n // 3] = rng.standard_normal(dim) + 0.16 * rng.standard_normal((n // 3, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = hnsw.Graph(x)
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    beam = hnsw.audited_beam(g, x, x, 0.95)
+    counts, most = np.zeros(n, np.int64), 0
+    for i, j in hnsw.linked(g, x, x, 0.95, beam):
+        counts += np.bincount(i, minlength=n)
+        most = max(most, len(i))
+    want = np.concatenate([(x[at : at + 512] @ x.T >= 0.95).sum(axis=1) for at in range(0, n, 512)])
+    assert counts.sum() >= 0.99 * want.sum() > 5_000_000 and (counts <= want).all() and most <= 2 * hnsw.EXACT_BLOCK * n
+    label = hnsw.components(n, hnsw.linked(g, x, x, 0.95, beam))
+    assert time.time() - began < 90 and (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) < 1 << 20
+    assert (label[: n // 3] == 0).mean() > 0.99 and (label[n // 3 :] >= n // 3).all()
+
+
 def test_embedding_edge_cases(spark):
     v = [1.0, 2.0, 3.0, 4.0]
     rows = [(1, v), (2, [2.0, 4.0, 6.0, 8.0]), (3, None), (4, [0.0] * 4), (5, [float("nan"), 1.0, 1.0, 1.0]), (6, [None, 1.0, 1.0, 1.0]), (7, []), (8, v[:3]), (9, v), (9, v), (None, v), (10, [float("inf")] * 4), (11, [-1.0, 2.0, 3.0, 4.0]), (12, [1e-30] * 4), (13, [1e30] * 4)]

@@ -11,15 +11,28 @@ Recall. Each group of searches audits its beam first: shard vectors turned by ju
 threshold's angle must lead back to their original, and real queries of a bounded sample must give
 the links of an exact scan; the beam doubles until ``AUDIT`` of them are right (an exact scan of
 the shard is the last resort). A query whose beam is half full of links is searched again
-with a beam twice as wide, until it is not. Links are verified by cosine in double precision.
+with a beam twice as wide, until it is not; where that would cost more than an exact scan of the
+shard, as in a large group of near copies, the shard is scanned in blocks instead. Links are
+verified by cosine in double precision.
 
 Links are counted, not listed: each search returns the weighted number of links and the connected
 components of the shard (found when it was built) that they touch, which is all that the union of
-components over shards needs. Vectors of different lengths are never compared.
+components over shards needs. Links in hand are those of a block of queries, never of a group, so
+memory does not grow with the square of a hot group. Vectors of different lengths are never
+compared.
+
+Shuffle. A shard's graph goes once to each group of ``BLOCK * BLOCKS_A_GROUP`` queries, and each
+query once to each shard: with a fixed number of shards both grow as the rows. Searching every
+shard is the method; ``SHARD_ROWS`` should grow with executors' memory.
+
+Defined cases: an empty table gives an empty result; vectors that tie, or repeat, ids included,
+are each a vector of their own; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +45,16 @@ THRESHOLD = 0.95
 SHARDS = 8
 SHARD_ROWS = 16384
 BLOCK = 1024
-BLOCKS_A_GROUP = 12
+BLOCKS_A_GROUP = 32
 DEGREE = 12
 MOST = 32
 BUILD_BEAM = 48
 BEAM = 24
 AUDIT = 0.99
 AUDIT_ROWS = 128
+#: What looking at a vector in a graph costs, in vectors of an exact scan; queries of a block of such a scan.
+GRAPH_COST = 64
+EXACT_BLOCK = 64
 THIN = 16
 
 
@@ -187,29 +203,42 @@ class Graph:
 
 
 # ---------------------------------------------------------------- links
-def exact(vecs: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All (query, vector) with a cosine of at least the threshold."""
-    found = [(i + at, j) for at in range(0, len(q), 256) for i, j in [np.nonzero(q[at : at + 256] @ vecs.T >= threshold)]]
-    return (np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else (np.zeros(0, int), np.zeros(0, int))
-
-
-def linked(g: Graph, vecs: np.ndarray, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) links found by beam search, widened where a beam is half full of them."""
-    left, out, q32 = np.arange(len(q)), [], q.astype(np.float32)
-    while len(left):
-        if beam >= len(vecs):
-            i, j = exact(vecs, q[left], threshold)
-            out.append((left[i], j))
-            break
-        ids, sims = g.search(q32[left], beam)
-        hit = sims >= threshold - 1e-4
-        more = hit.sum(axis=1) * 2 >= beam
-        i, k = np.nonzero(hit & ~more[:, None])
-        j = ids[i, k]
-        sure = np.einsum("kd,kd->k", q[left[i]], vecs[j]) >= threshold
-        out.append((left[i[sure]], j[sure]))
-        left, beam = left[more], beam * 2
-    return (np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])) if out else (np.zeros(0, int), np.zeros(0, int))
+def exact(vecs: np.ndarray, q: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, vector) with a cosine of at least the threshold, in blocks of queries."""
+    for at in range(0, len(q), EXACT_BLOCK):
+        i, j = np.nonzero(q[at : at + EXACT_BLOCK] @ vecs.T >= threshold)
+        yield i + at, j
+
+
+def linked(g: Graph, vecs: np.ndarray, q: np.ndarray, threshold: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, vector) links by beam search, in bounded parts; all of a query are in one part.
+
+    A narrow beam finds the queries in dense groups: where it is half full of links it widens, up
+    to where an exact scan is cheaper. The other queries are searched with ``beam``.
+    """
+    waiting = [(min(BEAM, beam), np.arange(len(q)))]
+    while waiting:
+        wide, left = waiting.pop()
+        if wide >= len(vecs):
+            for i, j in exact(vecs, q[left], threshold):
+                yield left[i], j
+            continue
+        thin, dense = [], []
+        for at in range(0, len(left), BLOCK):
+            own = left[at : at + BLOCK]
+            ids, sims = g.search(q[own].astype(np.float32), wide)
+            hit = sims >= threshold - 1e-4
+            full = hit.sum(axis=1) * 2 >= wide
+            dense.append(own[full])
+            if wide < beam:
+                thin.append(own[~full])
+                continue
+            i, k = np.nonzero(hit & ~full[:, None])
+            j = ids[i, k]
+            sure = np.einsum("kd,kd->k", q[own[i]], vecs[j]) >= threshold
+            yield own[i[sure]], j[sure]
+        wider = len(vecs) if 2 * wide * MOST * GRAPH_COST >= len(vecs) else 2 * wide
+        waiting += [(w, np.concatenate(x)) for w, x in ((beam, thin), (wider, dense)) if sum(map(len, x))]
 
 
 def audited_beam(g: Graph, vecs: np.ndarray, q: np.ndarray, threshold: float, beam: int = BEAM) -> int:
@@ -222,30 +251,37 @@ def audited_beam(g: Graph, vecs: np.ndarray, q: np.ndarray, threshold: float, be
     c = min(threshold + 0.002, 1.0)
     turned = c * vecs[own] + np.sqrt(1 - c * c) * noise
     real = q[rng.permutation(len(q))[:AUDIT_ROWS]]
-    tests = np.concatenate([turned, real])
-    want = set(zip(*(x.tolist() for x in exact(vecs, tests, threshold)), strict=True))
-    while beam < len(vecs):
-        got = set(zip(*(x.tolist() for x in linked(g, vecs, tests, threshold, beam)), strict=True))
-        if len(want & got) >= AUDIT * len(want):
-            return beam
-        beam *= 2
+    for tests in (turned, real):
+        want = sum(len(i) for i, _ in exact(vecs, tests, threshold))
+        # what a search finds is verified, so it is part of what there is
+        while beam < len(vecs) and sum(len(i) for i, _ in linked(g, vecs, tests, threshold, beam)) < AUDIT * want:
+            beam *= 2
     return beam
 
 
-def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Label of each of n nodes: the smallest node reached over the pairs."""
-    parent = list(range(n))
+def components(n: int, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Label of each of n nodes: the smallest node reached over the links."""
+    label = np.arange(n)
+    for a, b in links:
+        pairs = np.unique(label[a] * n + label[b])  # in a hot group soon a few
+        parent: dict[int, int] = {}
 
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+        def find(i: int) -> int:
+            while (up := parent.get(i, i)) != i:
+                parent[i] = parent.get(up, up)
+                i = up
+            return i
 
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(x), find(y)
-        parent[max(x, y)] = min(x, y)
-    return np.array([find(i) for i in range(n)], np.int64)
+        for x, y in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if parent:
+            move = np.arange(n)
+            for i in parent:
+                move[i] = find(i)
+            label = move[label]
+    return label
 
 
 # ---------------------------------------------------------------- Spark
@@ -276,8 +312,7 @@ def _build(threshold: float):
         t = t.sort_by("id")
         ids, vecs = np.array(t.column("id")), _matrix(t.column("vec"), dim)
         g = Graph(vecs)
-        a, b = linked(g, vecs, vecs, threshold, audited_beam(g, vecs, vecs, threshold))
-        labels = ids[components(len(ids), a, b)]
+        labels = ids[components(len(ids), linked(g, vecs, vecs, threshold, audited_beam(g, vecs, vecs, threshold)))]
         upper = [{"nodes": x.astype(np.int64).tobytes(), "near": y.tobytes()} for x, y in g.upper]
         row = {"dim": dim, "shard": shard, "ids": ids.tobytes(), "weights": np.array(t.column("n")).tobytes(), "vecs": vecs.tobytes(), "base": g.base.tobytes(), "upper": upper, "entry": g.entry, "labels": labels.tobytes()}
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.struct([("nodes", pa.binary()), ("near", pa.binary())])), pa.int32(), pa.binary()]
@@ -319,17 +354,18 @@ def _search(threshold: float):
             row = left.to_pylist()[0]
             g, vecs = _stored(row)
             ids, weights, labels = (np.frombuffer(row[k], np.int64) for k in ("ids", "weights", "labels"))
+            roots, root = np.unique(labels, return_inverse=True)
             own = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("ids").to_pylist()])
             q = _matrix(right.column("vecs"), row["dim"])
-            i, j = linked(g, vecs, q, threshold, audited_beam(g, vecs, q, threshold))
-            other = own[i] != ids[j]
-            i, j = i[other], j[other]
-            order = np.argsort(i, kind="stable")
-            i, j = i[order], j[order]
-            at, first = np.unique(i, return_index=True)
-            out["id"] = own[at].tolist()
-            out["n_links"] = np.add.reduceat(weights[j], first).tolist() if len(j) else []
-            out["roots"] = [np.unique(x).tolist() for x in np.split(labels[j], first[1:])] if len(j) else []
+            for i, j in linked(g, vecs, q, threshold, audited_beam(g, vecs, q, threshold)):
+                other = own[i] != ids[j]
+                i, j = i[other], j[other]
+                n = np.bincount(i, weights[j], len(q))  # exact up to 2**53
+                pairs = np.unique(i * len(roots) + root[j])
+                at, first = np.unique(pairs // len(roots), return_index=True)
+                out["id"] += own[at].tolist()
+                out["n_links"] += n[at].astype(np.int64).tolist()
+                out["roots"] += [roots[x].tolist() for x in np.split(pairs % len(roots), first[1:])] if len(at) else []
         return pa.table({"id": pa.array(out["id"], pa.int64()), "n_links": pa.array(out["n_links"], pa.int64()), "roots": pa.array(out["roots"], pa.list_(pa.int64()))})
 
     return run
