@@ -115,6 +115,34 @@ def index_range(index: DataFrame, low: str, high: str) -> DataFrame:
     return g.withColumn("estimate", F.greatest(F.col("end_rec") - F.col("start_rec") + 1, F.lit(0).cast("long")))
 
 
+def positions(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    """``rows`` plus ``pos``, their place from 0 in each ``by`` in ``order``; ties in any order.
+
+    No task holds a whole ``by``: rows are sorted by ranges (ties dealt by a hash, so that a hot
+    key is split), and the sizes of the ranges before one are added to the places inside it.
+    """
+    keys = [by, *order, F.xxhash64(*rows.columns)]
+    r = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    r = materialise(r.withColumns({"_slice": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "sorted")
+    s = r.groupBy(by, "_slice").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    w = W.partitionBy(by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    s = s.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).drop("_first", "_n")
+    return r.join(s, [by, "_slice"]).withColumn("pos", F.col("_at") + F.col("_before")).select(*rows.columns, "pos")
+
+
+def sampled_index(index: DataFrame, whole_runs: int = 50, every: int = 8) -> DataFrame:
+    """The index with only the first and last entry of most runs beyond the first ``whole_runs``.
+
+    Runs of a file are numbered by attempt from 0; beyond, each ``every``-th stays whole. First and
+    last entries always stay, so the range of keys does not shrink.
+    """
+    runs = index.groupBy("part", "attempt").agg(F.min("rec_no").alias("_low"), F.max("rec_no").alias("_high"))
+    runs = runs.withColumn("_run", F.row_number().over(W.partitionBy("part").orderBy("attempt")) - 1)  # a row a run
+    whole = (F.col("_run") < whole_runs) | (F.col("_run") % every == 0)
+    j = index.join(runs, ["part", "attempt"]).where(whole | F.col("rec_no").isin(F.col("_low"), F.col("_high")))
+    return j.select(*index.columns)
+
+
 def range_plan(index: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
     """Half-open key ranges ``(part, task, low, high)`` of about ``limit`` bytes.
 
@@ -124,14 +152,13 @@ def range_plan(index: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
     keys = index.select("part", F.col("key").cast("binary").alias("key")).distinct()
     last = keys.groupBy("part").agg(F.max("key").alias("key")).select("part", key_successor("key").alias("key"))
     keys = keys.unionByName(last)
-    w = W.partitionBy("part").orderBy("key")
-    keys = keys.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(W.partitionBy("part")))
-    cut = keys.join(sizes.where("bytes > 0"), "part").withColumn("tasks", F.ceil(F.col("bytes") / F.lit(limit)))
+    keys = positions(keys, "part", "key").withColumnRenamed("pos", "i")
+    cut = keys.join(keys.groupBy("part").agg(F.count("*").alias("n")).join(sizes.where("bytes > 0"), "part"), "part").withColumn("tasks", F.ceil(F.col("bytes") / F.lit(limit)))
     cut = cut.withColumn("split", F.expr("n div tasks")).withColumn("single", (F.col("split") == 0) | (F.col("n") == F.col("tasks")))
     cut = cut.withColumn("tasks", F.when(F.col("single"), F.col("n") - 1).otherwise(F.col("tasks"))).withColumn("split", F.when(F.col("single"), 1).otherwise(F.col("split")))
     # each boundary opens its task; the last task runs to the end
     cut = cut.where(((F.col("i") % F.col("split") == 0) & (F.expr("i div split") < F.col("tasks"))) | (F.col("i") == F.col("n") - 1))
-    cut = cut.withColumn("task", F.expr("least(i div split, tasks)").cast("int")).withColumn("high", F.lead("key").over(w))
+    cut = cut.withColumn("task", F.expr("least(i div split, tasks)").cast("int")).withColumn("high", F.lead("key").over(W.partitionBy("part").orderBy("key")))  # a row a task
     cut = cut.where(F.col("high").isNotNull())
     return cut.select("part", "task", F.hex("key").alias("low"), F.hex("high").alias("high"))
 
@@ -139,13 +166,19 @@ def range_plan(index: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
 def assign_ranges(records: DataFrame, plan: DataFrame) -> DataFrame:
     """Records with the task of their range: the range that starts last at or before the key.
 
-    The plan of a partition travels as one sorted array, whose length is the number of tasks. It
-    is written first, so the join knows its exact size when it chooses whether to broadcast it.
+    Records are not moved: the starts of a partition, one a task, are an array of arrays with about
+    as many starts in each as there are arrays, so a record looks at twice the root of their
+    number. The plan is written first, so the join knows its exact size when it chooses whether to
+    broadcast it.
     """
-    starts = plan.groupBy("part").agg(F.array_sort(F.collect_list(F.struct(F.unhex("low").alias("low"), "task"))).alias("_plan"))
-    starts = materialise(starts, "plan")
-    at = F.size(F.filter("_plan", lambda p: p.low <= F.col("key").cast("binary")))
-    return records.join(starts, "part").withColumn("task", F.when(at > 0, F.get("_plan", at - 1).task)).where("task is not null").drop("_plan")
+    w = W.partitionBy("part").orderBy("low")  # a row a task
+    starts = plan.select("part", F.unhex("low").alias("low"), "task").withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(W.partitionBy("part"))})
+    starts = starts.groupBy("part", F.floor(F.col("_i") / F.ceil(F.sqrt("_n"))).alias("_b")).agg(F.min("low").alias("first"), F.array_sort(F.collect_list(F.struct("low", "task"))).alias("starts"))
+    starts = materialise(starts.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("first", "starts"))).alias("_plan")), "plan")
+    key = F.col("key").cast("binary")
+    block = F.get("_plan", F.size(F.filter("_plan", lambda b: b.first <= key)) - 1).starts
+    task = F.element_at(F.filter(block, lambda p: p.low <= key), -1).task
+    return records.join(starts, "part").withColumn("task", task).where("task is not null").drop("_plan")
 
 
 def byte_splits(sizes: DataFrame, limit: int) -> DataFrame:
@@ -165,7 +198,8 @@ def compare_keys(a: DataFrame, b: DataFrame) -> DataFrame:
     """Positions at which two sorted key streams differ: ``(part, pos, key_a, key_b)``."""
 
     def numbered(d, name):
-        return d.select("part", "key", F.row_number().over(W.partitionBy("part").orderBy("key")).alias("pos")).withColumnRenamed("key", name)
+        n = positions(d.select("part", "key", F.monotonically_increasing_id().alias("_row")), "part", "key")
+        return n.select("part", F.col("key").alias(name), (F.col("pos") + 1).alias("pos"))
 
     return numbered(a, "key_a").join(numbered(b, "key_b"), ["part", "pos"], "full_outer").where("NOT (key_a <=> key_b)").select("part", "pos", "key_a", "key_b")
 

@@ -1,52 +1,67 @@
 """Namespace queries over ``nodes(fid, parent, name, type, size, mtime)``, and chunk layout.
 
 Directories are few beside files. Whatever climbs the tree therefore first brings files to their
-directory (one aggregation) and climbs over directories only; a path is made once per directory.
-``.`` and ``..`` are not stored. Unknown sizes are null.
+directory (one aggregation) and climbs over directories only, to any depth by doubling the way
+that is known; a path is made once per directory. ``.`` and ``..`` are not stored. Unknown sizes are null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-MAX_DEPTH = 64
-
 
 def directories(nodes: DataFrame) -> DataFrame:
     return nodes.where("type = 'dir'")
 
 
-def closure(nodes: DataFrame, root: int, max_depth: int = MAX_DEPTH) -> DataFrame:
+def _doubled(state: DataFrame, n: int, join: Callable[[DataFrame, DataFrame], DataFrame]) -> Iterator[DataFrame]:
+    """``state`` (with ``fid`` and ``at``, a node above) after each doubling of the way up to ``at``.
+
+    Ends when no ``at`` is a ``fid``: after about log2 of the depth rounds, each of them written.
+    More than ``n`` levels on ``n`` directories are a cycle, which fails.
+    """
+    far = 1
+    while True:
+        state = materialise(state, "level")
+        yield state
+        if far > n + 1:
+            raise ValueError("directories form a cycle")
+        if state.join(state.select(F.col("fid").alias("at")), "at", "left_semi").isEmpty():
+            return
+        state, far = join(state, state.select(F.col("fid").alias("at"), *[F.col(c).alias(f"_{c}") for c in state.columns if c != "fid"])), far * 2
+
+
+def closure(nodes: DataFrame, root: int) -> DataFrame:
     """``(fid, ancestor, depth)`` over directories: each with itself (depth 0) and all above it."""
-    up = directories(nodes).select(F.col("fid").alias("_at"), F.col("parent").alias("_up"))
-    level = directories(nodes).select("fid", F.col("fid").alias("ancestor"), F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, max_depth):
-        level = level.join(up, F.col("ancestor") == F.col("_at")).where(F.col("_up").isNotNull()).select("fid", F.col("_up").alias("ancestor"), F.lit(d).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.unionByName(nodes.sparkSession.createDataFrame([(root, root, 0)], out.schema))
-
-
-def directory_paths(nodes: DataFrame, root: int, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``(fid, path)`` of every directory that the root reaches; the root's path is empty."""
-    dirs = directories(nodes).select("fid", "parent", "name")
-    level = dirs.where(F.col("parent") == root).select("fid", F.concat(F.lit("/"), "name").alias("path"))
-    out = nodes.sparkSession.createDataFrame([(root, "")], "fid long, path string")
-    for _ in range(max_depth):
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-        above = level.select(F.col("fid").alias("parent"), F.col("path").alias("_p"))
-        level = dirs.join(above, "parent").select("fid", F.concat("_p", F.lit("/"), "name").alias("path"))
+    dirs = directories(nodes)
+    top = nodes.sparkSession.createDataFrame([(root, root, 0)], "fid long, ancestor long, depth int")
+    out = dirs.select("fid", F.col("fid").alias("ancestor"), F.lit(0).alias("depth")).unionByName(top)
+    out = materialise(out, "closure")
+    jumps = dirs.select("fid", F.col("parent").alias("at"))
+    for k, jump in enumerate(_doubled(jumps, dirs.count(), lambda s, t: s.join(t, "at").select("fid", F.col("_at").alias("at")))):
+        more = jump.join(out.withColumnRenamed("fid", "at"), "at").select("fid", "ancestor", (F.col("depth") + (1 << k)).alias("depth"))
+        out = out.unionByName(materialise(more, "closure"))
     return out
 
 
+def directory_paths(nodes: DataFrame, root: int) -> DataFrame:
+    """``(fid, path)`` of every directory that the root reaches; the root's path is empty."""
+    dirs = directories(nodes)
+    each = dirs.select("fid", F.col("parent").alias("at"), F.concat(F.lit("/"), "name").alias("path"))
+
+    def longer(s: DataFrame, t: DataFrame) -> DataFrame:
+        return s.join(t, "at", "left").select("fid", F.coalesce("_at", "at").alias("at"), F.concat(F.coalesce("_path", F.lit("")), "path").alias("path"))
+
+    *_, last = _doubled(each, dirs.count(), longer)
+    return last.where(F.col("at") == root).select("fid", "path").unionByName(nodes.sparkSession.createDataFrame([(root, "")], "fid long, path string"))
+
+
 def paths(nodes: DataFrame, root: int) -> DataFrame:
     """``(fid, path, type, size, mtime)`` of every node that the root reaches."""
     at = directory_paths(nodes, root).select(F.col("fid").alias("parent"), F.col("path").alias("_p"))
@@ -58,19 +73,14 @@ def lookup(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(nodes, ["parent", "name"]).select("parent", "name", "fid", "type", "size", "mtime")
 
 
-def lookup_paths(nodes: DataFrame, wanted: DataFrame, root: int, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Attributes of ``wanted(path)``, walked down one name at a time, so no other path is made."""
-    here = wanted.select("path", F.filter(F.split("path", "/"), lambda x: x != "").alias("_names"), F.lit(root).cast("long").alias("_at"))
-    step = nodes.select(F.col("parent").alias("_at"), F.col("name").alias("_name"), F.col("fid").alias("_next"))
-    found = here.where(F.size("_names") < 0).select("path", "_at")
-    for depth in range(max_depth):
-        here = here.withColumn("_name", F.get("_names", F.lit(depth))).join(step, ["_at", "_name"]).select("path", "_names", F.col("_next").alias("_at"))
-        here = materialise(here, "walk")  # a row a wanted path; earlier steps are not run again
-        found = found.unionByName(here.where(F.size("_names") == depth + 1).select("path", "_at"))
-        here = here.where(F.size("_names") > depth + 1)
-        if here.isEmpty():
-            break
-    return found.join(nodes.withColumnRenamed("fid", "_at"), "_at").select("path", F.col("_at").alias("fid"), "type", "size", "mtime")
+def lookup_paths(nodes: DataFrame, wanted: DataFrame, root: int) -> DataFrame:
+    """Attributes of ``wanted(path)``: the path of the directory, then the name in it."""
+    names = F.filter(F.split("path", "/"), lambda x: x != "")
+    w = wanted.select("path", names.alias("_n")).where(F.size("_n") > 0)
+    above = F.array_join(F.transform(F.slice("_n", 1, F.size("_n") - 1), lambda x: F.concat(F.lit("/"), x)), "")
+    w = w.select("path", above.alias("_p"), F.element_at("_n", -1).alias("name"))
+    at = directory_paths(nodes, root).select(F.col("fid").alias("parent"), F.col("path").alias("_p"))
+    return w.join(at, "_p").join(nodes, ["parent", "name"]).select("path", "fid", "type", "size", "mtime")
 
 
 def readdir(nodes: DataFrame, parents: DataFrame) -> DataFrame:

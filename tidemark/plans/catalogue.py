@@ -114,6 +114,12 @@ def range_plan(s, d):
     return _plan(s, d)
 
 
+@query(with_(REC, IX.replace("ix AS", "ix0 AS"), """ru AS (SELECT part, attempt, min(rec_no) lo, max(rec_no) hi, row_number() OVER (PARTITION BY part ORDER BY attempt) - 1 run FROM ix0 GROUP BY 1, 2),
+  ix AS (SELECT ix0.* FROM ix0 JOIN ru USING (part, attempt) WHERE run < 6 OR run % 4 = 0 OR rec_no IN (lo, hi))""", SZ, PL) + "SELECT part, task, low, high FROM pl")
+def range_plan_sampled(s, d):
+    return keyed.range_plan(keyed.sampled_index(materialise(_index(s, d), "index"), 6, 4), _sizes(s, d), LIM)
+
+
 @query(with_(REC, IX, SZ, PL) + "SELECT pl.part, task, count(*) n, round(sum(qty), 2) sum_qty FROM pl JOIN rec ON rec.part = pl.part AND hex(key) >= low AND hex(key) < high GROUP BY 1, 2")
 def range_assign(s, d):
     return keyed.group_totals(keyed.assign_ranges(t.records(s, d), _plan(s, d)), "part", "task")
@@ -124,9 +130,12 @@ def chunk_split_plan(s, d):
     return keyed.byte_splits(_sizes(s, d), LIM)
 
 
-@query(with_(REC) + "SELECT count(*) n_records, 0::BIGINT n_violations FROM rec")
+#: Streams in order of arrival: every 101st record comes three places late.
+@query(with_(REC) + """, a AS (SELECT part, attempt, key, seq * 2 + (CASE WHEN seq % 101 = 50 THEN 7 ELSE 0 END) pos FROM rec)
+  SELECT count(*) n_records, count_if(prev > key)::BIGINT n_violations FROM (SELECT key, lag(key) OVER (PARTITION BY part, attempt ORDER BY pos) prev FROM a)""")
 def merge_validate(s, d):
-    return keyed.order_violations(t.records(s, d), F.struct("key", "seq"), "part", "attempt")
+    late = F.when(F.col("seq") % 101 == 50, 7).otherwise(0)
+    return keyed.order_violations(t.records(s, d), F.col("seq") * 2 + late, "part", "attempt")
 
 
 @query(with_(REC) + "SELECT group_size, count(*) n_groups FROM (SELECT count(*) group_size FROM rec GROUP BY part, key) GROUP BY 1")
@@ -145,7 +154,7 @@ def reconcile_counts(s, d):
 
 
 @query(with_(REC) + """, a AS (SELECT part, key, row_number() OVER (PARTITION BY part ORDER BY key) pos FROM rec), b AS (SELECT part, key, row_number() OVER (PARTITION BY part ORDER BY key) pos FROM rec WHERE seq <> 7)
-  SELECT part, pos::INT pos, a.key key_a, b.key key_b FROM a FULL JOIN b USING (part, pos) WHERE a.key IS DISTINCT FROM b.key""")
+  SELECT part, pos, a.key key_a, b.key key_b FROM a FULL JOIN b USING (part, pos) WHERE a.key IS DISTINCT FROM b.key""")
 def key_compare(s, d):
     r = t.records(s, d)
     return keyed.compare_keys(r, r.where("seq <> 7"))
@@ -190,24 +199,29 @@ def list_paths(s, d):
     return p.select(F.when(F.col("type") == "dir", F.concat_ws(" ", F.lit("path"), "path", fid, mtime)).otherwise(F.concat_ws(" ", "path", fid, size, mtime)).alias("line"))
 
 
-@query(with_(ND, PT, recursive=True) + "SELECT path, fid, type, size, mtime FROM pt WHERE type = 'file' AND fid % 1000 = 7")
+@query(with_(ND, PT, recursive=True) + "SELECT path, fid, type, size, mtime FROM pt")
 def path_lookup(s, d):
-    o = table(s, d, "orders").where("o_orderkey % 1000 = 7").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    o = o.join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    wanted = o.select(F.concat(F.lit("/"), F.concat_ws("/", "r_name", "n_name", "c_name", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))).alias("path"))
-    return namespace.lookup_paths(t.nodes(s, d), wanted, t.ROOT)
+    r = table(s, d, "region").select(F.col("r_regionkey").alias("k1"), F.concat(F.lit("/"), "r_name").alias("p1"))
+    n = table(s, d, "nation").join(r, F.col("n_regionkey") == F.col("k1")).select(F.col("n_nationkey").alias("k2"), F.concat("p1", F.lit("/"), "n_name").alias("p2"))
+    c = table(s, d, "customer").join(n, F.col("c_nationkey") == F.col("k2")).select(F.col("c_custkey").alias("k3"), F.concat("p2", F.lit("/"), "c_name").alias("p3"))
+    o = table(s, d, "orders").join(c, F.col("o_custkey") == F.col("k3")).select(F.concat("p3", F.lit("/o"), F.col("o_orderkey").cast("string")))
+    return namespace.lookup_paths(t.nodes(s, d), r.select("p1").union(n.select("p2")).union(c.select("p3")).union(o).toDF("path"), t.ROOT)
 
 
-@query(with_(ND) + "SELECT parent, name, fid, type, size, mtime FROM nd WHERE name LIKE '%00%'")
+@query(with_(ND) + "SELECT parent, name, fid, type, size, mtime FROM nd")
 def name_lookup(s, d):
     n = t.nodes(s, d)
-    return namespace.lookup(n, n.where(F.col("name").contains("00")).select("parent", "name"))
+    return namespace.lookup(n, n.select("parent", "name").unionByName(n.select("parent", F.concat("name", F.lit("?")).alias("name"))))
+
 
+def _every_directory(s, n):
+    return n.where("type = 'dir'").select("fid").unionByName(s.range(t.ROOT, t.ROOT + 1).toDF("fid"))
 
-@query(with_(ND) + "SELECT parent, name FROM nd WHERE parent BETWEEN 2000000000 AND 2000000009")
+
+@query(with_(ND) + "SELECT parent, name FROM nd")
 def readdir(s, d):
     n = t.nodes(s, d)
-    return namespace.readdir(n, n.where("fid between 2000000000 and 2000000009"))
+    return namespace.readdir(n, _every_directory(s, n))
 
 
 def _file_chunks(s, d):
@@ -218,15 +232,17 @@ def _file_chunks(s, d):
   SELECT parent, name, nd.fid, type, size, mtime, coalesce(chunk_count, 0) chunk_count, last_chunk, last_offset FROM nd LEFT JOIN c ON c.fid = nd.fid""")
 def readdirplus(s, d):
     n = t.nodes(s, d)
-    every = n.where("type = 'dir'").select("fid").unionByName(s.range(t.ROOT, t.ROOT + 1).toDF("fid"))
-    return namespace.readdirplus(n, every, _file_chunks(s, d))
+    return namespace.readdirplus(n, _every_directory(s, n), _file_chunks(s, d))
 
 
-@query(with_(ND) + "SELECT c.fid, r.fid ancestor, n.parent = r.fid descendant FROM nd c JOIN nd n ON c.parent = n.fid, nd r WHERE c.fid BETWEEN 3000000000 AND 3000000050 AND r.parent = 2")
+@query(with_(ND, CL, recursive=True) + """, pr AS (SELECT fid, 1000000000 + fid % 5 ancestor FROM nd WHERE type = 'dir' UNION ALL SELECT a.fid, b.parent FROM nd a JOIN nd b ON a.parent = b.fid WHERE a.type = 'dir')
+  SELECT pr.fid, pr.ancestor, cl.fid IS NOT NULL descendant FROM pr LEFT JOIN cl ON cl.fid = pr.fid AND cl.ancestor = pr.ancestor AND depth > 0""")
 def is_descendant(s, d):
-    n = t.nodes(s, d)
-    pairs = n.where("fid between 3000000000 and 3000000050").select("fid").crossJoin(F.broadcast(n.where(F.col("parent") == t.ROOT).select(F.col("fid").alias("ancestor"))))  # a handful of regions
-    return namespace.is_descendant(n, pairs, t.ROOT)
+    """Every directory against one region, and against the directory two levels up."""
+    dirs = t.nodes(s, d).where("type = 'dir'").select("fid", "parent")
+    two_up = dirs.join(dirs.select(F.col("fid").alias("parent"), F.col("parent").alias("ancestor")), "parent").select("fid", "ancestor")
+    pairs = dirs.select("fid", (t.LEVEL + F.col("fid") % 5).alias("ancestor")).unionByName(two_up)
+    return namespace.is_descendant(t.nodes(s, d), pairs, t.ROOT)
 
 
 TOT = """f AS (SELECT parent fid, sum(greatest(size, 0)) b, count(*) n, max(CASE WHEN size > 0 THEN mtime END) t FROM nd WHERE type = 'file' GROUP BY 1),
