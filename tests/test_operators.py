@@ -164,3 +164,157 @@ def test_streams_over_many_batches_equal_their_batch_twins(spark, tmp_path):
     got = live.ewma_at(live.drain(live.slow_nodes(stream.select(F.col("owner").alias("target"), "round", "timetaken")), "update"), 31).toPandas()
     want = batch.slow_nodes(spark.createDataFrame(e).select(F.col("owner").alias("target"), F.col("round").cast("int").alias("round"), "timetaken"), 31).toPandas()
     pd.testing.assert_frame_equal(got.sort_values("target").reset_index(drop=True), want.sort_values("target").reset_index(drop=True))
+
+
+def chain(spark, n):
+    """A chain of n directories with a file in each."""
+    dirs = [(10 + i, 2 if i == 0 else 9 + i, f"d{i}", "dir", 0, i) for i in range(n)]
+    files = [(10_000 + i, 10 + i, f"f{i}", "file", 1, 1000 + i) for i in range(n)]
+    return spark.createDataFrame(dirs + files, "fid long, parent long, name string, type string, size long, mtime long")
+
+
+def test_directories_of_any_depth(spark):
+    n = 200
+    nodes = chain(spark, n)
+    totals = {r.fid: (r.bytes, r.n_files) for r in namespace.directory_totals(nodes, 2).collect()}
+    assert totals == {2: (n, n)} | {10 + i: (n - i, n - i) for i in range(n)}
+    found = {r.fid: r.path for r in namespace.paths(nodes, 2).collect()}
+    way = ["/" + "/".join(f"d{j}" for j in range(i + 1)) for i in range(n)]
+    assert found == {10 + i: way[i] for i in range(n)} | {10_000 + i: f"{way[i]}/f{i}" for i in range(n)}
+    wanted = spark.createDataFrame([(way[-1] + f"/f{n - 1}",), (way[150],), (way[150] + "/none",)], "path string")
+    assert {(r.path, r.fid) for r in namespace.lookup_paths(nodes, wanted, 2).collect()} == {(way[-1] + f"/f{n - 1}", 10_000 + n - 1), (way[150], 160)}
+    below = {r.fid for r in namespace.set_replication(nodes, nodes.where("fid = 100"), F.lit(2), 2).collect()}
+    assert below == {10_000 + i for i in range(90, n)}
+
+
+def test_a_cycle_of_directories_fails(spark):
+    nodes = spark.createDataFrame([(10, 11, "a", "dir", 0, 0), (11, 10, "b", "dir", 0, 0)], "fid long, parent long, name string, type string, size long, mtime long")
+    with pytest.raises(ValueError, match="cycle"):
+        namespace.directory_paths(nodes, 2)
+    with pytest.raises(ValueError, match="cycle"):
+        namespace.closure(nodes, 2)
+
+
+def test_positions_of_a_hot_key(spark):
+    rows = [(0, "k" if i % 3 else f"a{i}", i) for i in range(3000)] + [(1, "z", i) for i in range(10)]
+    got = keyed.positions(spark.createDataFrame(rows, "part int, key string, i long"), "part", "key").toPandas()
+    for _, g in got.groupby("part"):
+        g = g.sort_values("pos")
+        assert g["pos"].tolist() == list(range(len(g))) and g["key"].is_monotonic_increasing
+
+
+def test_merge_check_finds_what_it_should(spark):
+    r = spark.createDataFrame([(0, "b", 0), (0, "a", 1), (0, "c", 2)], "part int, key string, at int")
+    assert keyed.order_violations(r, F.col("at"), "part").first().n_violations == 1
+
+
+def test_rebalance_serves_all_over_used_servers(spark):
+    servers = spark.createDataFrame([(1, 1, 900, 1000, 0.9), (2, 1, 880, 1000, 0.88), (3, 2, 500, 1000, 0.5), (4, 2, 760, 1000, 0.76)], "server long, rack int, used long, total long, util double")
+    replicas = spark.createDataFrame([(c, s) for s in (1, 2) for c in range(s * 1000, s * 1000 + 80)] + [(2000, 3), (1001, 3), (1000, 2)], "chunk_id long, server long")
+    sizes = replicas.select("chunk_id", F.lit(10).cast("long").alias("size")).distinct()
+    moves = health.rebalance_plan(replicas, sizes, servers).toPandas()
+    assert set(moves["src"]) == {1, 2} and set(moves["dst"]) == {3}
+    assert not moves["chunk_id"].isin([1001, 2000]).any() and not moves.duplicated(["chunk_id", "dst"]).any()
+    assert (moves.groupby("src").size() * 10 >= pd.Series({1: 140, 2: 120}) - 40).all()
+
+
+def test_copies_of_a_retiring_server_stay(spark):
+    replicas = spark.createDataFrame([(c, s) for c in (1, 2) for s in range(5)] + [(2, 9)], "chunk_id long, server long")
+    servers = spark.createDataFrame([(s, s, 0.1 * s) for s in range(10)], "server long, rack int, util double")
+    gone = health.excess(replicas, servers, retiring=servers.where("server = 9")).collect()
+    assert {(r.chunk_id, r.server) for r in gone} == {(1, 3), (1, 4)}
+
+
+def test_logs_in_order_of_number_and_place(spark, tmp_path):
+    for n in (9, 10, 2):
+        (tmp_path / f"log.{n}").write_text("".join(f"{n}-{i}\n" for i in range(200)))
+    got = oplog.read_log(spark, str(tmp_path), since=9).orderBy("log_no", "block", "line_no").collect()
+    assert [r.line for r in got] == [f"{n}-{i}" for n in (9, 10) for i in range(200)]
+
+
+def test_names_replay_with_errors_as_a_model(spark):
+    """Nested directories, renames over directories and into descendants, against a plain tree."""
+    rng = random.Random(11)
+    ops, tops = [], (1, 2)
+    for n in range(400):
+        top = rng.choice(tops)
+        where = rng.choice([top] + [o["id"] for o in ops if o["op"] == "mkdir" and o["tree"] == top][-4:])
+        kind, name = rng.choice(["create", "create", "mkdir", "mkdir", "remove", "rmdir", "rename", "rename"]), rng.choice("abcd")
+        ops.append({"tree": top, "seqno": f"{n:05d}", "op": kind, "dir": where, "name": name, "id": 100 + n, "new": rng.choice(["a", "b", "a/b", "/c/d", "/a/b/c", "x/"]), "ex": rng.randint(0, 1)})
+
+    def line(o):
+        if o["op"] == "rename":
+            return None
+        return f"{o['op']}/dir/{o['dir']}/name/{o['name']}/id/{o['id']}/exclusive/{o['ex']}"
+
+    rows = [(o["tree"], o["seqno"], o["op"], {"dir": str(o["dir"]), "name": o["name"], "old": o["name"], "new": o["new"], "id": str(o["id"]), "exclusive": str(o["ex"])}) for o in ops]
+    got = oplog.replay_names(spark.createDataFrame(rows, "tree long, seqno string, op string, args map<string,string>")).collect()
+    tree: dict[int, dict[int, dict[str, int]]] = {t: {t: {}} for t in tops}  # directory -> name -> number; files have none of their own
+    want = {}
+    for o in ops:
+        dirs = tree[o["tree"]]
+        here, error = dirs.get(o["dir"], {}), None
+        there = here.get(o["name"])
+        is_dir = there in dirs
+        if o["op"] in ("create", "mkdir"):
+            if there is not None and (o["op"] == "mkdir" or (not is_dir and o["ex"])):
+                error = "EEXIST"
+            elif is_dir:
+                error = "EISDIR"
+            else:
+                dirs.setdefault(o["dir"], {})[o["name"]] = o["id"]
+                if o["op"] == "mkdir":
+                    dirs[o["id"]] = {}
+        elif there is None:
+            error = "ENOENT"
+        elif o["op"] == "remove":
+            error = "EISDIR" if is_dir else here.pop(o["name"]) and None
+        elif o["op"] == "rmdir":
+            error = "ENOTDIR" if not is_dir else "ENOTEMPTY" if dirs[there] else None
+            if not error:
+                del dirs[here.pop(o["name"])]
+        else:
+            *way, last = o["new"].split("/")
+            at = o["tree"] if way else o["dir"]
+            for step in filter(None, way):
+                nxt = dirs[at].get(step)
+                if nxt is None or nxt not in dirs:
+                    error = "ENOENT" if nxt is None else "ENOTDIR"
+                    break
+                at = nxt
+            if not error and not last:
+                error = "EINVAL"
+            if not error and (at, last) != (o["dir"], o["name"]):
+                old = dirs.setdefault(at, {}).get(last)
+
+                def inside(x, top, dirs=dirs):
+                    return x == top or any(inside(x, k, dirs) for k in dirs.get(top, {}).values() if k in dirs)
+
+                if old is not None and (old in dirs) != is_dir:
+                    error = "ENOTDIR" if is_dir else "EISDIR"
+                elif old in dirs and dirs[old]:
+                    error = "ENOTEMPTY"
+                elif is_dir and inside(at, there):
+                    error = "EINVAL"
+                else:
+                    if old in dirs:
+                        del dirs[old]
+                    dirs[at][last] = here.pop(o["name"])
+        want[o["seqno"]] = error
+    assert {r.seqno: r.error for r in got if r.seqno} == want and len(set(want.values())) >= 6
+    assert sorted((r.parent, r.name, r.fid) for r in got if not r.seqno) == sorted((d, n, i) for t in tops for d, names in tree[t].items() for n, i in names.items())
+
+
+def test_streams_do_not_depend_on_the_order_of_files(spark, tmp_path):
+    e = t.events(spark, SF).select("user_id", "ts", "value", "us")
+    e.repartition(40, F.xxhash64("us")).write.parquet(str(tmp_path / "events"))
+    s = live.read_stream(spark, str(tmp_path / "events"), e.schema, files_per_trigger=5)
+    samples = s.select(F.col("user_id").alias("target"), (F.day("ts") - 1).cast("long").alias("round"), F.col("value").alias("timetaken"))
+    plain = e.select(F.col("user_id").alias("target"), (F.day("ts") - 1).cast("int").alias("round"), F.col("value").alias("timetaken"))
+    got = live.ewma_at(live.drain(live.slow_nodes(samples), "update"), 31)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.slow_nodes(plain, 31).collect()))
+    day = 43_200_000_000
+    want = sorted(map(tuple, batch.lease_islands(e.select(F.col("user_id").alias("owner"), F.col("us").alias("at"), F.col("us").alias("id")), day).select("owner", "start_at", "last_at", "n").collect()))
+    for keep in (None, 40 * 86_400_000_000):
+        got = live.current_leases(live.drain(live.leases(s.select(F.col("user_id").alias("owner"), F.col("us").alias("at")), day, keep), "update"))
+        assert sorted(map(tuple, got.collect())) == want

@@ -7,7 +7,6 @@ plans are the same in every run.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,14 +76,19 @@ def replication_need(state: DataFrame) -> DataFrame:
 
 
 def prioritised(chunks: DataFrame, replicas: DataFrame, target: int = TARGET) -> DataFrame:
-    """Chunks to replicate, the ones with a single copy first: ``(chunk_id, n, rank)``."""
+    """Chunks to replicate: ``(chunk_id, n, class)``, those with a single copy in class 0, which goes first."""
     c = replica_counts(chunks, replicas).where((F.col("n") > 0) & (F.col("n") < target))
-    # a rank inside each class, and the class before it: no single window over all chunks
     return c.select("chunk_id", "n", F.when(F.col("n") == 1, 0).otherwise(1).alias("class"))
 
 
-def excess(replicas: DataFrame, servers: DataFrame, target: int = TARGET) -> DataFrame:
-    """Copies to delete: the ``target`` least used are kept, one a rack first if that many racks have one."""
+def excess(replicas: DataFrame, servers: DataFrame, target: int = TARGET, retiring: DataFrame | None = None) -> DataFrame:
+    """Copies to delete: the ``target`` least used are kept, one a rack first if that many racks have one.
+
+    While one of its servers is ``retiring(server)``, no copy of a chunk is deleted.
+    """
+    if retiring is not None:
+        busy = replicas.join(retiring.select("server"), "server", "left_semi").select("chunk_id").distinct()
+        replicas = replicas.join(busy, "chunk_id", "left_anti")
     r = replicas.join(servers.select("server", "rack", "util"), "server")
     by = (F.col("util"), F.col("server"))
     r = r.withColumn("n", F.count("*").over(W.partitionBy("chunk_id"))).where(F.col("n") > target)
@@ -130,9 +134,17 @@ def delayed_until(down: DataFrame, sleeping: DataFrame, now: int, delay: int = 6
 
 
 def candidate_servers(servers: DataFrame, need: int) -> DataFrame:
-    """Servers that may take a chunk, the least used first in ``rank``; over-used ones are out."""
+    """Servers ``(server, rack, util, free)`` that may take a chunk of ``need``; over-used ones are out.
+
+    So are those that do not answer, retire or are about to restart, where ``servers`` has the
+    flags ``responsive``, ``retiring`` and ``restarting``.
+    """
     free = F.col("total") - F.col("used")
-    return servers.where((free >= need) & (F.col("util") <= MAX_UTIL)).select("server", "rack", "util", free.alias("free"))
+    able = (free >= need) & (F.col("util") <= MAX_UTIL)
+    for flag, wanted in (("responsive", True), ("retiring", False), ("restarting", False)):
+        if flag in servers.columns:
+            able &= F.coalesce(F.col(flag), F.lit(not wanted)) == wanted
+    return servers.where(able).select("server", "rack", "util", free.alias("free"))
 
 
 def placement(servers: DataFrame, replicas: int, racks: int) -> DataFrame:
@@ -169,51 +181,57 @@ def utilisation_bands(servers: DataFrame, band: float = 0.1) -> DataFrame:
     return s.select("server", "rack", kind.alias("band"), F.round((F.col("util") - F.col("mean")) * F.col("total")).cast("long").alias("surplus"))
 
 
-def rebalance_plan(replicas: DataFrame, sizes: DataFrame, servers: DataFrame, band: float = 0.1, tries: int = 5) -> DataFrame:
+def _offers(chunks: DataFrame, rooms: list[tuple[int, int]]) -> DataFrame:
+    """``chunks`` with the target ``dst`` whose stretch of the summed ``rooms`` holds their place ``pos``.
+
+    Room is cut into slots, some four a target, on which the two sides meet: a join on equality.
+    """
+    width, at, slots = max(1, sum(r for _, r in rooms) // (4 * len(rooms))), 0, []
+    for server, room in rooms:
+        slots += [(k, server, at, at + room) for k in range(at // width, (at + room - 1) // width + 1)]
+        at += room
+    t = chunks.sparkSession.createDataFrame(slots, "slot long, dst long, low long, high long")
+    return chunks.withColumn("slot", F.expr(f"pos div {width}")).join(t, "slot").where("low <= pos and pos < high").drop("slot", "low", "high")
+
+
+def rebalance_plan(replicas: DataFrame, sizes: DataFrame, servers: DataFrame, band: float = 0.1) -> DataFrame:
     """Moves ``(chunk_id, src, dst)`` from over- to under-used servers.
 
-    The greedy walk is sequential, so each over-used server walks its own chunks, with targets of
-    its own: the under-used servers are dealt round to the over-used ones by rank. What one task
-    holds is then one server's chunks. Chunks are walked in order; at most ``tries`` targets are
-    tried in turn; one that would pass the upper edge of the band is done.
+    A server above the mean utilisation by over ``band`` of it offers its chunks, in order, until
+    they make up its surplus; servers below by that much have room up to the upper edge of the
+    band. The offers stand one after the other, and so do the rooms: an offer goes to the room in
+    which its place lies, so a target takes chunks as long as it has any room left. Where the
+    target has the chunk already, or gets it twice, the offer is made again for what room is left,
+    the targets turned by one, until nothing is left that could move. Running sums a server and
+    joins on slots of room: no server's chunks are gathered in one place. The driver has a number
+    for each under-used server.
     """
     mean = servers.agg(F.avg("util").alias("mean"))
     b = utilisation_bands(servers, band).join(servers.select("server", "used", "total", "util"), "server").crossJoin(F.broadcast(mean))
     b = materialise(b.where("band <> 'within'"), "bands")  # one row a server
-    over, under = b.where("band = 'over'"), b.where("band = 'under'")
-    every = W.orderBy("server")
-    over = over.withColumn("r", F.row_number().over(every) - 1)
-    n_over = F.broadcast(over.agg(F.count("*").alias("n_over")).where("n_over > 0"))
-    dealt = under.withColumn("r", F.row_number().over(W.orderBy("util", "server")) - 1).crossJoin(n_over).withColumn("r", F.col("r") % F.col("n_over")).drop("n_over")
-    sides = over.unionByName(dealt)
-    hosts = replicas.groupBy("chunk_id").agg(F.collect_set("server").alias("hosts"))
-    mine = over.select("server", F.col("r").alias("plan_r"))
-    c = replicas.join(sizes.select("chunk_id", "size"), "chunk_id").join(mine, "server").join(hosts, "chunk_id")
-
-    def plan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        moves, at = [], 0
-        low = right[right["band"] == "under"].sort_values(["util", "server"])
-        room = {r.server: r.mean * (1 + band) * r.total - r.used for r in low.itertuples()}
-        ring = list(room)
-        surplus = right.loc[right["band"] == "over", "surplus"].sum()
-        for chunk in left.sort_values("chunk_id").itertuples():
-            if surplus <= 0 or not ring:
-                break
-            hosts = set(chunk.hosts)
-            for k in range(min(tries, len(ring))):
-                dst = ring[(at + k) % len(ring)]
-                if dst not in hosts:
-                    room[dst] -= chunk.size
-                    surplus -= chunk.size
-                    moves.append((chunk.chunk_id, chunk.server, dst))
-                    at = (at + k + 1) % len(ring)
-                    if room[dst] <= 0:
-                        ring.remove(dst)
-                        at = at % len(ring) if ring else 0
-                    break
-        return pd.DataFrame(moves, columns=["chunk_id", "src", "dst"]).astype("int64")
-
-    return c.groupBy("plan_r").cogroup(sides.groupBy("r")).applyInPandas(plan, "chunk_id long, src long, dst long")
+    under = b.where("band = 'under'").orderBy("util", "server").select("server", F.floor(F.col("mean") * (1 + band) * F.col("total") - F.col("used")).cast("long").alias("room"))
+    rooms = [(r["server"], r["room"]) for r in under.collect()]
+    mine = replicas.join(sizes.select("chunk_id", "size"), "chunk_id").join(b.where("band = 'over'").select("server", "surplus"), "server")
+    rows = (W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(W.partitionBy("server").orderBy("chunk_id").rowsBetween(*rows)), F.lit(0))
+    left = materialise(mine.withColumn("_b", before).where("_b < surplus").select("chunk_id", F.col("server").alias("src"), "size"), "offers")
+    hosts = materialise(replicas.join(left.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", F.col("server").alias("dst")), "hosts")
+    moves = left.select("chunk_id", "src", F.col("src").alias("dst")).limit(0)
+    while (free := [(s, r) for s, r in rooms if r > 0]) and not left.isEmpty():
+        each = left.groupBy("src").agg(F.sum("size").alias("_all"))
+        each = each.select("src", F.coalesce(F.sum("_all").over(W.orderBy("src").rowsBetween(*rows)), F.lit(0)).alias("_from"))  # a row a server
+        inside = F.coalesce(F.sum("size").over(W.partitionBy("src").orderBy("chunk_id").rowsBetween(*rows)), F.lit(0))
+        placed = left.join(each, "src").withColumn("pos", F.col("_from") + inside).drop("_from")
+        got = _offers(placed, free).join(hosts, ["chunk_id", "dst"], "left_anti")
+        got = got.withColumn("_k", F.row_number().over(W.partitionBy("chunk_id", "dst").orderBy("src"))).where("_k = 1")
+        got = materialise(got.select("chunk_id", "src", "dst", "size"), "moves")
+        moves, hosts = moves.unionByName(got.drop("size")), hosts.unionByName(got.select("chunk_id", "dst"))
+        taken = {r["dst"]: r["t"] for r in got.groupBy("dst").agg(F.sum("size").alias("t")).collect()}
+        rooms = [(s, r - taken.get(s, 0)) for s, r in rooms[1:] + rooms[:1]]
+        able = left.sparkSession.createDataFrame([(s,) for s, r in rooms if r > 0], "dst long")
+        full = hosts.join(able, "dst").groupBy("chunk_id").agg(F.count("*").alias("_n")).where(F.col("_n") == sum(r > 0 for _, r in rooms))
+        left = materialise(left.join(got, ["chunk_id", "src"], "left_anti").join(full, "chunk_id", "left_anti"), "offers")
+    return moves
 
 
 def weighted_pick(drives: DataFrame, picks: DataFrame) -> DataFrame:

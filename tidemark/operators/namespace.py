@@ -30,10 +30,10 @@ def _doubled(state: DataFrame, n: int, join: Callable[[DataFrame, DataFrame], Da
     while True:
         state = materialise(state, "level")
         yield state
-        if far > n + 1:
-            raise ValueError("directories form a cycle")
         if state.join(state.select(F.col("fid").alias("at")), "at", "left_semi").isEmpty():
             return
+        if far > n:
+            raise ValueError("directories form a cycle")
         state, far = join(state, state.select(F.col("fid").alias("at"), *[F.col(c).alias(f"_{c}") for c in state.columns if c != "fid"])), far * 2
 
 

@@ -377,6 +377,72 @@ def oplog_replay_full(s, d):
     return oplog.replay(ops)
 
 
+#: Names a and b in each user's directory; no event needs the outcome of another to be written.
+NAMES = """no AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) k, event_id % 2 x, event_id % 3 = 0 excl,
+  CASE event_type WHEN 'purchase' THEN 'rename' WHEN 'error' THEN CASE WHEN event_id % 4 < 2 THEN 'remove' ELSE 'rmdir' END ELSE CASE WHEN event_id % 5 = 0 THEN 'mkdir' ELSE 'create' END END op FROM ev),
+  q AS (SELECT user_id, 0::BIGINT k, 0::BIGINT event_id, 0 t0, 0::BIGINT i0, 0 t1, 0::BIGINT i1, NULL::VARCHAR error FROM (SELECT DISTINCT user_id FROM ev) UNION ALL
+    SELECT user_id, k, event_id, CASE WHEN x = 0 THEN nt ELSE nu END, CASE WHEN x = 0 THEN ni ELSE nj END, CASE WHEN x = 1 THEN nt ELSE nu END, CASE WHEN x = 1 THEN ni ELSE nj END, error FROM (
+    SELECT *, CASE WHEN error IS NOT NULL THEN t WHEN op = 'create' THEN 1 WHEN op = 'mkdir' THEN 2 ELSE 0 END nt, CASE WHEN error IS NOT NULL THEN i WHEN op IN ('create', 'mkdir') THEN event_id ELSE 0 END ni,
+      CASE WHEN error IS NULL AND op = 'rename' THEN t ELSE u END nu, CASE WHEN error IS NULL AND op = 'rename' THEN i ELSE j END nj FROM (
+    SELECT *, CASE WHEN op = 'create' THEN CASE WHEN t = 2 THEN 'EISDIR' WHEN t = 1 AND excl THEN 'EEXIST' END WHEN op = 'mkdir' THEN CASE WHEN t > 0 THEN 'EEXIST' END WHEN t = 0 THEN 'ENOENT'
+      WHEN op = 'remove' THEN CASE WHEN t = 2 THEN 'EISDIR' END WHEN op = 'rmdir' THEN CASE WHEN t = 1 THEN 'ENOTDIR' END WHEN u > 0 AND u <> t THEN CASE WHEN t = 2 THEN 'ENOTDIR' ELSE 'EISDIR' END END error FROM (
+    SELECT no.user_id, no.k, no.event_id, no.x, no.excl, no.op, CASE WHEN x = 0 THEN t0 ELSE t1 END t, CASE WHEN x = 0 THEN i0 ELSE i1 END i, CASE WHEN x = 0 THEN t1 ELSE t0 END u, CASE WHEN x = 0 THEN i1 ELSE i0 END j
+    FROM q JOIN no ON no.user_id = q.user_id AND no.k = q.k + 1))))"""
+
+
+def _name_ops(s, d):
+    """Logged operations on names, in order of a sortable ``seqno``."""
+    e = t.events(s, d)
+    k, user = F.col("event_id"), F.col("user_id").cast("string")
+    name, other = (F.when(k % 2 == i, "a").otherwise("b") for i in (0, 1))
+    made = F.concat_ws("/", F.when(k % 5 == 0, "mkdir").otherwise("create"), F.lit("dir"), user, F.lit("name"), name, F.lit("id"), k.cast("string"), F.lit("exclusive"), (k % 3 == 0).cast("int").cast("string"))
+    gone = F.concat_ws("/", F.when(k % 4 < 2, "remove").otherwise("rmdir"), F.lit("dir"), user, F.lit("name"), name)
+    moved = F.concat_ws("/", F.lit("rename/dir"), user, F.lit("old"), name, F.lit("new"), other)
+    line = F.when(F.col("event_type") == "purchase", moved).when(F.col("event_type") == "error", gone).otherwise(made)
+    seqno = F.concat(F.lpad(F.col("us").cast("string"), 20, "0"), F.lpad(k.cast("string"), 12, "0"))
+    return oplog.parse(e.select("user_id", "event_id", seqno.alias("seqno"), line.alias("line"))).withColumn("tree", oplog.arg("dir"))
+
+
+@query(with_(EV, NAMES, recursive=True) + "SELECT event_id, coalesce(error, 'OK') outcome FROM q WHERE k > 0")
+def namespace_errors(s, d):
+    done = oplog.replay_names(_name_ops(s, d)).where("seqno is not null")
+    return done.select(F.substring("seqno", 21, 12).cast("long").alias("event_id"), F.coalesce("error", F.lit("OK")).alias("outcome"))
+
+
+@query(with_(EV, NAMES, """la AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1)""", recursive=True) + """SELECT user_id parent, 'a' AS name, CASE t0 WHEN 1 THEN 'file' ELSE 'dir' END AS type, i0 fid FROM la WHERE t0 > 0
+  UNION ALL SELECT user_id, 'b', CASE t1 WHEN 1 THEN 'file' ELSE 'dir' END, i1 FROM la WHERE t1 > 0""")
+def oplog_replay_namespace(s, d):
+    return oplog.replay_names(_name_ops(s, d)).where("seqno is null").select("parent", "name", "type", "fid")
+
+
+def _chunk_ops(s, d):
+    """Logged operations on the chunks of each user's file."""
+    k, user = F.col("event_id"), F.col("user_id")
+    s_ = lambda x: x.cast("string")
+    chunk = s_(user * 1000 + k % 6)
+    line = (
+        F.when(F.col("event_type") == "view", F.concat_ws("/", F.lit("allocate/file"), s_(user), F.lit("offset"), s_(k % 6 * CS), F.lit("chunkId"), chunk, F.lit("chunkVersion"), s_(k % 9 + 1)))
+        .when(F.col("event_type") == "click", F.concat_ws("/", F.lit("truncate/file"), s_(user), F.lit("offset"), s_(F.expr(f"event_id % 13 * {CS} div 2"))))
+        .when(F.col("event_type") == "purchase", F.concat_ws("/", F.lit("pruneFromHead/file"), s_(user), F.lit("offset"), s_(F.expr(f"event_id % 5 * {CS} div 3"))))
+        .when(F.col("event_type") == "error", F.concat_ws("/", F.lit("chunkVersionInc/file"), s_(user), F.lit("chunkId"), chunk, F.lit("chunkVersion"), s_(k % 9 + 20)))
+        .otherwise(F.concat_ws("/", F.when(k % 2 == 0, "mkstable").otherwise("mkstabledone"), F.lit("fileId"), s_(user), F.lit("chunkId"), chunk, F.lit("chunkVersion"), s_(k % 9 + 1), F.lit("size"), s_(k % 1000)))
+    )
+    return oplog.parse(t.events(s, d).select("us", "event_id", line.alias("line"))).withColumn("seqno", F.struct("us", "event_id"))
+
+
+@query(with_(EV) + f"""SELECT fid, o AS "offset", fid * 1000 + o // {CS} chunk_id, coalesce((SELECT max_by(event_id % 9 + 20, (us, event_id)) FROM ev v WHERE event_type = 'error' AND v.user_id = fid AND event_id % 6 = o // {CS} AND (us, event_id) > made), vs) AS version
+  FROM (SELECT user_id fid, event_id % 6 * {CS} o, max((us, event_id)) made, max_by(event_id % 9 + 1, (us, event_id)) vs FROM ev WHERE event_type = 'view' GROUP BY 1, 2) a
+  WHERE NOT EXISTS (SELECT 1 FROM ev c WHERE c.user_id = fid AND (us, event_id) > made AND ((event_type = 'click' AND event_id % 13 * {CS} // 2 <= o) OR (event_type = 'purchase' AND event_id % 5 * {CS} // 3 // {CS} * {CS} > o)))""")
+def oplog_replay_chunks(s, d):
+    return oplog.replay_chunks(_chunk_ops(s, d), CS)
+
+
+@query(with_(EV) + """SELECT user_id * 1000 + event_id % 6 chunk_id, event_id % 9 + 1 AS version, event_id % 1000 size FROM ev WHERE event_type = 'signup'
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 6 ORDER BY us DESC, event_id DESC) = 1 AND event_id % 2 = 0""")
+def oplog_pending_stable(s, d):
+    return oplog.pending_stable(_chunk_ops(s, d))
+
+
 @query(with_(ND, CH) + "SELECT nd.fid, name, parent, type, 3::BIGINT replicas, mtime, size, coalesce(n, 0) chunk_count FROM nd LEFT JOIN (SELECT chunk_id + 4000000000 fid, count(*) n FROM ch GROUP BY 1) c ON c.fid = nd.fid")
 def checkpoint_restore(s, d):
     return oplog.restore(oplog.checkpoint_lines(t.nodes(s, d), _file_chunks(s, d)), 2)
@@ -436,10 +502,10 @@ def priority_candidates(s, d):
 
 
 @query(with_(RP, SV) + """, r AS (SELECT chunk_id, server, rack, util, count(*) OVER (PARTITION BY chunk_id) n, row_number() OVER (PARTITION BY chunk_id, rack ORDER BY util, server) ir FROM rp JOIN sv USING (server)),
-  q AS (SELECT *, count_if(ir = 1) OVER (PARTITION BY chunk_id) nr FROM r WHERE n > 3)
+  q AS (SELECT *, count_if(ir = 1) OVER (PARTITION BY chunk_id) nr FROM r WHERE n > 3 AND chunk_id NOT IN (SELECT chunk_id FROM rp WHERE server % 50 = 9))
   SELECT chunk_id, server FROM q QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY nr = 3 AND ir > 1, util, server) > 3""")
 def excess_delete(s, d):
-    return health.excess(t.replicas(s, d), t.servers(s, d))
+    return health.excess(t.replicas(s, d), t.servers(s, d), retiring=_some(s, d, 50, 9))
 
 
 @query(with_(CH) + """, r AS (SELECT l_suppkey server, l_orderkey + (l_linenumber = 7)::INT * 1000000000 chunk_id, l_orderkey k, o_custkey + (l_partkey % 50 = 0)::INT fid, l_orderkey % 5 + 1 + l_partkey % 3 - 1 AS version
@@ -481,9 +547,11 @@ def hibernation(s, d):
     return health.delayed_until(down, sv.where("server % 5 = 0").withColumn("until", 100000 + F.col("server") * 11 - 500), 100000).withColumn("start_at", F.col("start_at").cast("long"))
 
 
-@query(with_(SV) + "SELECT server, rack, round(util, 6) util, total - used free FROM sv WHERE total - used >= 128 AND util <= 0.9")
+@query(with_(SV) + "SELECT server, rack, round(util, 6) util, total - used free FROM sv WHERE total - used >= 128 AND util <= 0.9 AND server % 7 <> 0 AND server % 11 <> 0 AND server % 13 <> 0")
 def candidate_servers(s, d):
-    return health.candidate_servers(t.servers(s, d), 128).withColumn("util", F.round("util", 6))
+    n = F.col("server")
+    flagged = t.servers(s, d).withColumns({"responsive": n % 7 != 0, "retiring": n % 11 == 0, "restarting": n % 13 == 0})
+    return health.candidate_servers(flagged, 128).withColumn("util", F.round("util", 6))
 
 
 @query(with_(SV) + """, c AS (SELECT * FROM sv WHERE total - used >= 1 AND util <= 0.9), tr AS (SELECT rack FROM c GROUP BY rack ORDER BY count(*) DESC, rack LIMIT 2),
@@ -517,12 +585,31 @@ def _moves(s, d):
     return health.rebalance_plan(t.replicas(s, d), sizes, t.servers(s, d))
 
 
-@query()
+def _rebalanced(rounds: int) -> str:
+    """The rounds of a plan one after the other; those after the last that moves anything are empty."""
+    out = [RP, SV, """mu AS (SELECT avg(util) m FROM sv), ov AS (SELECT server, round((util - m) * total)::BIGINT surplus FROM sv, mu WHERE util > m * 1.1),
+  u0 AS (SELECT server, row_number() OVER (ORDER BY util, server) - 1 turn, floor(m * 1.1 * total - used)::BIGINT room FROM sv, mu WHERE util < m * 0.9), un AS (SELECT count(*) n FROM u0),
+  l0 AS (SELECT chunk_id, server src, size FROM (SELECT chunk_id, server, chunk_id % 50 + 1 size, surplus, coalesce(sum(chunk_id % 50 + 1) OVER (PARTITION BY server ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b
+    FROM rp JOIN ov USING (server) JOIN (SELECT o_orderkey chunk_id FROM orders) USING (chunk_id)) WHERE b < surplus),
+  h0 AS (SELECT chunk_id, server dst FROM rp)"""]
+    for i in range(rounds):
+        out.append(f"""t{i} AS (SELECT server dst, coalesce(sum(room) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) lo, sum(room) OVER (ORDER BY turn) hi FROM u{i} WHERE room > 0),
+  p{i} AS (SELECT *, coalesce(sum(size) OVER (ORDER BY src, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) pos FROM l{i}),
+  g{i} AS (SELECT chunk_id, src, dst, size FROM p{i} JOIN t{i} ON lo <= pos AND pos < hi ANTI JOIN h{i} USING (chunk_id, dst) QUALIFY row_number() OVER (PARTITION BY chunk_id, dst ORDER BY src) = 1),
+  h{i + 1} AS (SELECT * FROM h{i} UNION ALL SELECT chunk_id, dst FROM g{i}),
+  u{i + 1} AS (SELECT server, (turn - 1 + n) % n turn, room - coalesce(x, 0) room FROM u{i} LEFT JOIN (SELECT dst, sum(size)::BIGINT x FROM g{i} GROUP BY 1) ON dst = server, un),
+  f{i} AS (SELECT chunk_id FROM h{i + 1} JOIN u{i + 1} ON server = dst WHERE room > 0 GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM u{i + 1} WHERE room > 0)),
+  l{i + 1} AS (SELECT * FROM l{i} ANTI JOIN g{i} USING (chunk_id, src) ANTI JOIN f{i} USING (chunk_id))""")
+    return with_(*out, "mv AS (" + " UNION ALL ".join(f"SELECT chunk_id, src, dst FROM g{i}" for i in range(rounds)) + ")")
+
+
+@query(_rebalanced(8) + "SELECT chunk_id, src, dst FROM mv")
 def rebalance_plan(s, d):
     return _moves(s, d)
 
 
-@query()
+@query(_rebalanced(8) + """, w AS (SELECT mv.* FROM mv JOIN sv ON server = dst AND util <= 0.9 QUALIFY row_number() OVER (PARTITION BY dst ORDER BY chunk_id) <= 5)
+  SELECT chunk_id, src, dst FROM w QUALIFY row_number() OVER (PARTITION BY src ORDER BY chunk_id) <= 10""")
 def rebalance_execute(s, d):
     return health.throttled(health.executable_moves(materialise(_moves(s, d), "moves"), *_cr(s, d), t.servers(s, d)))
 

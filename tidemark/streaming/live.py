@@ -28,67 +28,76 @@ def drop_duplicates(stream: DataFrame, event_time: str, delay: str, *by: str) ->
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(by))
 
 
-def slow_nodes(samples: DataFrame) -> DataFrame:
-    """Average a target after each batch of ``samples(target, round, timetaken)``.
+def slow_nodes(samples: DataFrame, open_rounds: int = 64) -> DataFrame:
+    """Average a target after each batch of ``samples(target, round, timetaken)``, in any order.
 
-    Rows ``(target, round, closed, open_sum, open_n)``: the average when ``round`` began, and that
-    round's samples so far. State is four numbers a target. Samples of closed rounds are too late
-    and ignored.
+    Rows ``(target, version, base, closed, rounds, sums, counts)``: the average when round ``base``
+    began, and the samples of the rounds from there. The last ``open_rounds`` rounds up to a
+    target's newest stay open for late samples; earlier ones are closed into one number, and
+    samples for them are ignored. ``version`` counts a target's batches.
     """
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, closed, total, n = state.get if state.exists else (-1, 0.0, 0.0, 0)
-        pdf = pd.concat(list(frames))
-        pdf = pdf[pdf["timetaken"] >= 1e-6]
-        for r, values in pdf.groupby("round")["timetaken"]:
-            if r < at:
-                continue
-            if r > at:
-                if at >= 0:
-                    closed = (closed / 2 + (total / n if n else 0.0)) / 2 ** (r - at - 1)
-                at, total, n = int(r), 0.0, 0
-            total, n = total + float(values.sum()), n + len(values)
-        state.update((at, closed, total, n))
-        yield pd.DataFrame({"target": [key[0]], "round": [at], "closed": [closed], "open_sum": [total], "open_n": [n]})
-
-    kind = "round long, closed double, open_sum double, open_n long"
+        version, base, closed, rounds, sums, counts = state.get if state.exists else (0, 0, 0.0, [], [], [])
+        held = dict(zip(rounds, zip(sums, counts, strict=True), strict=True))
+        for pdf in frames:
+            pdf = pdf[(pdf["timetaken"] >= 1e-6) & (pdf["round"] >= base)]
+            for r, values in pdf.groupby("round")["timetaken"]:
+                total, n = held.get(int(r), (0.0, 0))
+                held[int(r)] = (total + float(values.sum()), n + len(values))
+        for r in range(base, max(held, default=-1) - open_rounds + 1):
+            total, n = held.pop(r, (0.0, 0))
+            closed, base = closed / 2 + (total / n if n else 0.0), r + 1
+        rounds = sorted(held)
+        value = (version + 1, base, closed, rounds, [held[r][0] for r in rounds], [held[r][1] for r in rounds])
+        state.update(value)
+        yield pd.DataFrame([(key[0], *value)], columns=["target", "version", "base", "closed", "rounds", "sums", "counts"])
+
+    kind = "version long, base long, closed double, rounds array<long>, sums array<double>, counts array<long>"
     return samples.groupBy("target").applyInPandasWithState(fold, f"target long, {kind}", kind, "update", GroupStateTimeout.NoTimeout)
 
 
 def ewma_at(averages: DataFrame, rounds: int, limit: float = 10.0) -> DataFrame:
     """``(target, ewma, slow)`` after ``rounds`` rounds from the last row of each target."""
-    last = averages.groupBy("target").agg(F.max(F.struct("round", "open_n", "open_sum", "closed")).alias("x")).select("target", "x.*")
-    e = (F.col("closed") / 2 + F.when(F.col("open_n") > 0, F.col("open_sum") / F.col("open_n")).otherwise(0.0)) / F.pow(F.lit(2.0), F.lit(rounds - 1) - F.col("round"))
-    return last.where("round >= 0").select("target", F.round(e, 6).alias("ewma"), (e > limit).alias("slow"))
+    last = averages.groupBy("target").agg(F.max_by(F.struct("base", "closed", "rounds", "sums", "counts"), "version").alias("x")).select("target", "x.*")
+    half = lambda r: F.pow(F.lit(0.5), F.lit(rounds - 1) - r)
+    parts = F.transform("rounds", lambda r, i: F.get("sums", i) / F.get("counts", i) * half(r))
+    e = F.aggregate(parts, F.col("closed") * half(F.col("base") - 1), lambda a, x: a + x)
+    return last.where((F.size("rounds") > 0) | (F.col("base") > 0)).select("target", F.round(e, 6).alias("ewma"), (e > limit).alias("slow"))
 
 
-def leases(renewals: DataFrame, interval: int) -> DataFrame:
-    """Lease intervals ``(owner, start_at, last_at, n)`` of ``renewals(owner, at)``.
+def leases(renewals: DataFrame, interval: int, keep: int | None = None) -> DataFrame:
+    """Leases ``(owner, version, start_at, last_at, n, ended)`` of ``renewals(owner, at)``, in any order.
 
-    Emits a lease when it has ended and the open one after each batch; the longest row of an
-    (owner, start_at) is the current one. State is three numbers an owner.
+    A renewal joins the leases that it is within ``interval`` of, which may make one of two. After
+    each batch the leases that late renewals can still reach are emitted anew under a higher
+    ``version``; those that ended over ``keep`` before the owner's newest renewal are emitted as
+    ended, once, and leave the state. Without ``keep`` none ends.
     """
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, n = state.get if state.exists else (None, None, 0)
-        rows = []
-        for at in sorted(int(x) for f in frames for x in f["at"]):
-            if start is None or at - last > interval:
-                if start is not None:
-                    rows.append((key[0], start, last, n))
-                start, last, n = at, at, 1
+        version, starts, lasts, counts = state.get if state.exists else (0, [], [], [])
+        held = [*zip(starts, lasts, counts, strict=True), *((int(x), int(x), 1) for f in frames for x in f["at"])]
+        merged: list[list[int]] = []
+        for start, last, n in sorted(held):
+            if merged and start - merged[-1][1] <= interval:
+                merged[-1][1], merged[-1][2] = max(merged[-1][1], last), merged[-1][2] + n
             else:
-                last, n = max(last, at), n + 1
-        rows.append((key[0], start, last, n))
-        state.update((start, last, n))
-        yield pd.DataFrame(rows, columns=["owner", "start_at", "last_at", "n"])
+                merged.append([start, last, n])
+        newest = max(x[1] for x in merged)
+        over = [keep is not None and newest - x[1] > keep for x in merged]
+        rest = [x for x, done in zip(merged, over, strict=True) if not done]
+        state.update((version + 1, *([x[i] for x in rest] for i in range(3))))
+        yield pd.DataFrame([(key[0], version + 1, *x, done) for x, done in zip(merged, over, strict=True)], columns=["owner", "version", "start_at", "last_at", "n", "ended"])
 
-    kind = "start_at long, last_at long, n long"
-    return renewals.groupBy("owner").applyInPandasWithState(fold, f"owner long, {kind}", kind, "update", GroupStateTimeout.NoTimeout)
+    kind = "version long, starts array<long>, lasts array<long>, counts array<long>"
+    return renewals.groupBy("owner").applyInPandasWithState(fold, "owner long, version long, start_at long, last_at long, n long, ended boolean", kind, "update", GroupStateTimeout.NoTimeout)
 
 
 def current_leases(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("owner", "start_at").agg(F.max("last_at").alias("last_at"), F.max("n").alias("n"))
+    """All leases: those that ended, and of the others the owner's newest version."""
+    newest = rows.groupBy("owner").agg(F.max("version").alias("_v"))
+    return rows.join(newest, "owner").where("ended or version = _v").select("owner", "start_at", "last_at", "n")
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
