@@ -87,3 +87,15 @@ def utilisation(used, total) -> Column:
 def master_by_parity(ip) -> Column:
     """Servers with an odd last number of their address may be masters."""
     return F.coalesce(F.get(F.split(_c(ip), "[.]"), F.lit(3)).cast("int") % 2 == 1, F.lit(False))
+
+
+def sec_usec(micros) -> Column:
+    """``seconds/microseconds`` as logs and checkpoints write a time."""
+    m = _c(micros)
+    return F.concat_ws("/", F.floor(m / F.lit(10**6)).cast("string"), F.pmod(m, F.lit(10**6)).cast("string"))
+
+
+def time_text(micros) -> Column:
+    """A time in GMT as ``Tue Jan  2 03:04:05 2024``; the session's time zone must be UTC."""
+    at = F.timestamp_micros(_c(micros))
+    return F.concat(F.date_format(at, "EEE MMM "), F.lpad(F.dayofmonth(at).cast("string"), 2, " "), F.date_format(at, " HH:mm:ss yyyy"))

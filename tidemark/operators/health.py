@@ -194,8 +194,14 @@ def _offers(chunks: DataFrame, rooms: list[tuple[int, int]]) -> DataFrame:
     return chunks.withColumn("slot", F.expr(f"pos div {width}")).join(t, "slot").where("low <= pos and pos < high").drop("slot", "low", "high")
 
 
-def rebalance_plan(replicas: DataFrame, sizes: DataFrame, servers: DataFrame, band: float = 0.1) -> DataFrame:
-    """Moves ``(chunk_id, src, dst)`` from over- to under-used servers.
+def with_sizes(chunk_map: DataFrame, listing: DataFrame) -> DataFrame:
+    """``chunk_map(chunk_id, fid, host, port, ...)`` plus the ``size`` that its host lists; 0 where it lists none."""
+    sizes = listing.groupBy("chunk_id", "fid", "host", "port").agg(F.max("size").alias("size"))
+    return chunk_map.join(sizes, ["chunk_id", "fid", "host", "port"], "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
+
+
+def rebalance_plan(replicas: DataFrame, sizes: DataFrame, servers: DataFrame, band: float = 0.1, least: int = 0) -> DataFrame:
+    """Moves ``(chunk_id, src, dst)`` from over- to under-used servers; chunks under ``least`` stay where they are.
 
     A server above the mean utilisation by over ``band`` of it offers its chunks, in order, until
     they make up its surplus; servers below by that much have room up to the upper edge of the
@@ -211,7 +217,7 @@ def rebalance_plan(replicas: DataFrame, sizes: DataFrame, servers: DataFrame, ba
     b = materialise(b.where("band <> 'within'"), "bands")  # one row a server
     under = b.where("band = 'under'").orderBy("util", "server").select("server", F.floor(F.col("mean") * (1 + band) * F.col("total") - F.col("used")).cast("long").alias("room"))
     rooms = [(r["server"], r["room"]) for r in under.collect()]
-    mine = replicas.join(sizes.select("chunk_id", "size"), "chunk_id").join(b.where("band = 'over'").select("server", "surplus"), "server")
+    mine = replicas.join(sizes.where(F.col("size") >= least).select("chunk_id", "size"), "chunk_id").join(b.where("band = 'over'").select("server", "surplus"), "server")
     rows = (W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(W.partitionBy("server").orderBy("chunk_id").rowsBetween(*rows)), F.lit(0))
     left = materialise(mine.withColumn("_b", before).where("_b < surplus").select("chunk_id", F.col("server").alias("src"), "size"), "offers")

@@ -7,7 +7,7 @@ equal keys is not defined anywhere.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,22 +83,30 @@ def sparse_index(records: DataFrame, every: int) -> DataFrame:
 def overflow_index(records: DataFrame, block: int) -> DataFrame:
     """Index entries where blocks of at most ``block`` bytes start: a record that would overflow opens one.
 
-    The reset makes the sum sequential, so each run is folded by itself.
+    The reset makes the sum sequential: runs are sorted side by side, and a task reads them batch
+    by batch with the place in one run in hand.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "seq"], ignore_index=True)
-        held, starts = block + 1, []
-        for n in pdf["rec_len"].tolist():
-            starts.append(held + n > block)
-            held = n if starts[-1] else held + n
-        pdf["rec_no"] = range(len(pdf))
-        pdf["offset"] = pdf["rec_len"].cumsum() - pdf["rec_len"]
-        keep = pd.Series(starts)
-        keep.iloc[-1] = True
-        return pdf.loc[keep, ["part", "attempt", "rec_no", "offset", "key", "rec_len"]]
-
-    return records.groupBy("part", "attempt").applyInPandas(fold, "part int, attempt long, rec_no long, offset long, key string, rec_len long")
+    schema = "part int, attempt long, rec_no long, offset long, key string, rec_len long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if (r.part, r.attempt) != at:
+                    out += [last[1]] if last and not last[0] else []  # the last record of a run has an entry too
+                    at, held, no, offset = (r.part, r.attempt), block + 1, 0, 0
+                starts = held + r.rec_len > block
+                held = r.rec_len if starts else held + r.rec_len
+                last = (starts, (r.part, r.attempt, no, offset, r.key, r.rec_len))
+                out += [last[1]] if starts else []
+                no, offset = no + 1, offset + r.rec_len
+            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in schema.split(", ")])
+        if last and not last[0]:
+            yield pd.DataFrame([last[1]], columns=[x.split(" ")[0] for x in schema.split(", ")])
+
+    rows = records.select("part", "attempt", "key", "seq", "rec_len")
+    return rows.repartition("part", "attempt").sortWithinPartitions("part", "attempt", "key", "seq").mapInPandas(run, schema)
 
 
 def index_range(index: DataFrame, low: str, high: str) -> DataFrame:
@@ -237,16 +245,23 @@ def mappers_to_rerun(appended: DataFrame, lost: DataFrame) -> DataFrame:
 
 
 def pack_into_chunks(records: DataFrame, chunk: int) -> DataFrame:
-    """Offsets for appended records so that none crosses a chunk boundary, in order of ``seq``."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        at, out = 0, []
-        for n in pdf["rec_len"].tolist():
-            if at % chunk + n > chunk:
-                at += chunk - at % chunk
-            out.append(at)
-            at += n
-        return pdf[["part", "attempt", "seq", "rec_len"]].assign(offset=out)
-
-    return records.groupBy("part", "attempt").applyInPandas(fold, "part int, attempt long, seq long, rec_len long, offset long")
+    """Offsets for appended records so that none crosses a chunk boundary, in order of ``seq``.
+
+    Runs are read as in ``overflow_index``: the state is the place in one run.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, end = None, 0
+        for pdf in batches:
+            offsets = []
+            for part, attempt, n in zip(pdf["part"], pdf["attempt"], pdf["rec_len"], strict=True):
+                if (part, attempt) != at:
+                    at, end = (part, attempt), 0
+                if end % chunk + n > chunk:
+                    end += chunk - end % chunk
+                offsets.append(end)
+                end += n
+            yield pdf.assign(offset=offsets)
+
+    rows = records.select("part", "attempt", "seq", "rec_len")
+    return rows.repartition("part", "attempt").sortWithinPartitions("part", "attempt", "seq").mapInPandas(run, "part int, attempt long, seq long, rec_len long, offset long")

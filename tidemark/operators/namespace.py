@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.keyed import positions
 from tidemark.session import materialise
 
 
@@ -167,6 +168,31 @@ def prune_head(chunks: DataFrame, cuts: DataFrame, chunk_size: int) -> DataFrame
     return c.where(keep).select("fid", "offset", "chunk_id", F.count("*").over(W.partitionBy("fid")).alias("chunk_count"))
 
 
+def allocate(chunks: DataFrame, wanted: DataFrame, chunk_size: int) -> DataFrame:
+    """``(fid, id, offset, chunk_id, version, outcome)`` of ``wanted(fid, id, offset, chunk_id)``.
+
+    An offset of -1 appends: behind the last chunk of the file and behind earlier appends, in
+    order of ``id``. Other offsets must be multiples of the chunk size, else ``EINVAL``; where a
+    chunk is there, it stays and its version rises (``EEXIST``). Not two requests for one offset.
+    """
+    end = chunks.groupBy("fid").agg((F.max("offset") + chunk_size).alias("_end"))
+    place = F.row_number().over(W.partitionBy("fid", F.col("offset") == -1).orderBy("id")) - 1
+    given = wanted.where("offset >= 0").groupBy("fid").agg((F.max(F.when(F.pmod("offset", F.lit(chunk_size)) == 0, F.col("offset"))) + chunk_size).alias("_given"))
+    w = wanted.withColumn("_k", place).join(end, "fid", "left").join(given, "fid", "left")
+    behind = F.coalesce(F.greatest("_end", "_given"), F.lit(0)) + F.col("_k") * chunk_size
+    w = w.withColumn("offset", F.when(F.col("offset") == -1, behind).otherwise(F.col("offset"))).withColumnRenamed("chunk_id", "_new")
+    j = w.join(chunks.select("fid", "offset", "chunk_id", "version"), ["fid", "offset"], "left")
+    bad, there = F.pmod("offset", F.lit(chunk_size)) != 0, F.col("chunk_id").isNotNull()
+    return j.select(
+        "fid", "id", "offset", F.when(~bad, F.coalesce("chunk_id", "_new")).alias("chunk_id"), F.when(~bad, F.coalesce(F.col("version") + 1, F.lit(1))).alias("version"),
+        F.when(bad, "EINVAL").when(there, "EEXIST").otherwise("OK").alias("outcome"))
+
+
+def ordered(paths_: DataFrame) -> DataFrame:
+    """``paths_`` with ``pos``, the place from 0 of each path in byte order: a listing in order, in ranges."""
+    return positions(paths_.withColumn("_all", F.lit(0)), "_all", "path").drop("_all")
+
+
 def coalesce_blocks(chunks: DataFrame, moves: DataFrame, chunk_size: int) -> DataFrame:
     """Chunks after ``moves(src, dst)``: all of src behind the last chunk of dst. One move a file."""
     end = chunks.groupBy(F.col("fid").alias("dst")).agg((F.max("offset") + chunk_size).alias("_end"))

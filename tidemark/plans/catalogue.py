@@ -90,7 +90,10 @@ def sparse_index(s, d):
     return _index(s, d)
 
 
-@query()
+@query(with_(REC, """o AS (SELECT *, row_number() OVER w k, count(*) OVER (PARTITION BY part, attempt) n, sum(rec_len) OVER w - rec_len off FROM rec WINDOW w AS (PARTITION BY part, attempt ORDER BY key, seq)),
+  q AS (SELECT DISTINCT part, attempt, 0::BIGINT k, 4097::BIGINT held, false st FROM rec UNION ALL
+    SELECT o.part, o.attempt, o.k, CASE WHEN held + rec_len > 4096 THEN rec_len ELSE held + rec_len END, held + rec_len > 4096 FROM q JOIN o ON o.part = q.part AND o.attempt = q.attempt AND o.k = q.k + 1)""", recursive=True)
+  + 'SELECT part, attempt, k - 1 rec_no, off::BIGINT AS "offset", key, rec_len FROM q JOIN o USING (part, attempt, k) WHERE st OR k = n')
 def sparse_index_overflow(s, d):
     return keyed.overflow_index(t.records(s, d), 4096)
 
@@ -181,7 +184,10 @@ def rerun_tasks(s, d):
     return keyed.mappers_to_rerun(_appended(s, d), table(s, d, "orders").where("o_orderkey % 997 = 5").select(F.col("o_orderkey").alias("chunk_id")))
 
 
-@query()
+@query(with_(REC, """o AS (SELECT *, row_number() OVER (PARTITION BY part, attempt ORDER BY seq) k FROM rec),
+  q AS (SELECT DISTINCT part, attempt, 0::BIGINT k, 0::BIGINT off, 0::BIGINT fin FROM rec UNION ALL SELECT part, attempt, k, off, off + rec_len FROM (
+    SELECT o.part, o.attempt, o.k, rec_len, CASE WHEN fin % 1024 + rec_len > 1024 THEN fin + 1024 - fin % 1024 ELSE fin END off FROM q JOIN o ON o.part = q.part AND o.attempt = q.attempt AND o.k = q.k + 1))""", recursive=True)
+  + 'SELECT part, attempt, seq, rec_len, off AS "offset" FROM q JOIN o USING (part, attempt, k)')
 def append_chunk_packing(s, d):
     return keyed.pack_into_chunks(t.records(s, d), 1024)
 
@@ -199,6 +205,11 @@ def list_paths(s, d):
     return p.select(F.when(F.col("type") == "dir", F.concat_ws(" ", F.lit("path"), "path", fid, mtime)).otherwise(F.concat_ws(" ", "path", fid, size, mtime)).alias("line"))
 
 
+@query(with_(ND, PT, recursive=True) + "SELECT row_number() OVER (ORDER BY path) - 1 pos, path, fid FROM pt")
+def list_paths_ordered(s, d):
+    return namespace.ordered(namespace.paths(t.nodes(s, d), t.ROOT).select("path", "fid")).select("pos", "path", "fid")
+
+
 @query(with_(ND, PT, recursive=True) + "SELECT path, fid, type, size, mtime FROM pt")
 def path_lookup(s, d):
     r = table(s, d, "region").select(F.col("r_regionkey").alias("k1"), F.concat(F.lit("/"), "r_name").alias("p1"))
@@ -336,6 +347,17 @@ def coalesce_blocks(s, d):
     return namespace.coalesce_blocks(c, c.where("fid % 10 = 1").select(F.col("fid").alias("src"), (F.col("fid") + 1).alias("dst")).distinct(), CS)
 
 
+@query(with_(CH) + f""", w AS (SELECT fid, chunk_id AS id, CASE chunk_id % 3 WHEN 0 THEN -1 WHEN 1 THEN "offset" + {CS}::BIGINT * 1000 ELSE "offset" + (chunk_id % 2) * 17 END AS "offset", chunk_id + 10000000 AS nw FROM ch),
+  e AS (SELECT fid, max("offset") + {CS} e FROM ch GROUP BY 1), v AS (SELECT fid, max("offset") + {CS} v FROM w WHERE "offset" >= 0 AND "offset" % {CS} = 0 GROUP BY 1),
+  p AS (SELECT fid, id, nw, CASE WHEN "offset" = -1 THEN greatest(e, v) + (row_number() OVER (PARTITION BY fid, "offset" = -1 ORDER BY id) - 1) * {CS} ELSE "offset" END AS "offset" FROM w LEFT JOIN e USING (fid) LEFT JOIN v USING (fid))
+  SELECT fid, id, "offset", CASE WHEN "offset" % {CS} = 0 THEN coalesce(chunk_id, nw) END chunk_id, CASE WHEN "offset" % {CS} = 0 THEN coalesce(version + 1, 1) END AS version,
+  CASE WHEN "offset" % {CS} <> 0 THEN 'EINVAL' WHEN chunk_id IS NOT NULL THEN 'EEXIST' ELSE 'OK' END outcome FROM p LEFT JOIN ch USING (fid, "offset")""")
+def allocate_chunks(s, d):
+    c, k = t.chunks(s, d), F.col("chunk_id")
+    at = F.when(k % 3 == 0, -1).when(k % 3 == 1, F.col("offset") + 1000 * CS).otherwise(F.col("offset") + k % 2 * 17)
+    return namespace.allocate(c, c.select("fid", k.alias("id"), at.alias("offset"), (k + 10_000_000).alias("chunk_id")), CS)
+
+
 @query(with_(ND, CL, recursive=True) + "SELECT DISTINCT nd.fid, 5 AS replication FROM nd JOIN cl ON cl.fid = nd.parent WHERE nd.type = 'file' AND cl.ancestor IN (1000000001, 2000000003)")
 def set_replication_recursive(s, d):
     n = t.nodes(s, d)
@@ -582,7 +604,7 @@ def rebalance_targets(s, d):
 
 def _moves(s, d):
     sizes = t.chunks(s, d).select("chunk_id", (F.col("chunk_id") % 50 + 1).alias("size"))
-    return health.rebalance_plan(t.replicas(s, d), sizes, t.servers(s, d))
+    return health.rebalance_plan(t.replicas(s, d), sizes, t.servers(s, d), least=5)
 
 
 def _rebalanced(rounds: int) -> str:
@@ -590,7 +612,7 @@ def _rebalanced(rounds: int) -> str:
     out = [RP, SV, """mu AS (SELECT avg(util) m FROM sv), ov AS (SELECT server, round((util - m) * total)::BIGINT surplus FROM sv, mu WHERE util > m * 1.1),
   u0 AS (SELECT server, row_number() OVER (ORDER BY util, server) - 1 turn, floor(m * 1.1 * total - used)::BIGINT room FROM sv, mu WHERE util < m * 0.9), un AS (SELECT count(*) n FROM u0),
   l0 AS (SELECT chunk_id, server src, size FROM (SELECT chunk_id, server, chunk_id % 50 + 1 size, surplus, coalesce(sum(chunk_id % 50 + 1) OVER (PARTITION BY server ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b
-    FROM rp JOIN ov USING (server) JOIN (SELECT o_orderkey chunk_id FROM orders) USING (chunk_id)) WHERE b < surplus),
+    FROM rp JOIN ov USING (server) JOIN (SELECT o_orderkey chunk_id FROM orders) USING (chunk_id) WHERE chunk_id % 50 + 1 >= 5) WHERE b < surplus),
   h0 AS (SELECT chunk_id, server dst FROM rp)"""]
     for i in range(rounds):
         out.append(f"""t{i} AS (SELECT server dst, coalesce(sum(room) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) lo, sum(room) OVER (ORDER BY turn) hi FROM u{i} WHERE room > 0),
@@ -774,6 +796,7 @@ def _renewals(s, d):
 ISL = with_(EV) + f""", g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY us, event_id) k FROM (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) > {LEASE}, true)::INT nw FROM ev)),
   il AS (SELECT user_id AS owner, min(us) start_at, max(us) last_at, count(*) n FROM g GROUP BY user_id, k)"""
 AT = 1705363200000000
+START = 1704067200000000
 
 
 @query(ISL + " SELECT owner, start_at, last_at, n FROM il")
@@ -821,6 +844,39 @@ def chunk_map_round_trip(s, d):
     return text.parse_chunk_map(lines, "line")
 
 
+@query(with_(CH, RP, SV) + """, z AS (SELECT l_orderkey chunk_id, l_suppkey server, max(l_linenumber * 1000) size FROM lineitem WHERE l_linenumber % 3 > 0 GROUP BY 1, 2)
+  SELECT chunk_id, fid, 'host' || server AS host, 20000 AS port, rack, coalesce(z.size, 0)::BIGINT size FROM rp JOIN ch USING (chunk_id) JOIN sv USING (server) LEFT JOIN z USING (chunk_id, server)""")
+def chunk_size_merge(s, d):
+    listed = table(s, d, "lineitem").where("l_linenumber % 3 > 0").join(t.chunks(s, d).select(F.col("chunk_id").alias("l_orderkey"), "fid"), "l_orderkey")
+    host = F.concat(F.lit("host"), F.col("l_suppkey").cast("string"))
+    listing = listed.select(F.col("l_orderkey").alias("chunk_id"), "fid", host.alias("host"), F.lit(20000).alias("port"), (F.col("l_linenumber") * 1000).cast("long").alias("size"))
+    there = chunk_map_round_trip(s, d)
+    return health.with_sizes(there, listing).select("chunk_id", "fid", "host", "port", "rack", "size")
+
+
+@query(with_(EV) + "SELECT event_id, concat(us // 1000000, '/', us % 1000000) stamp, strftime(ts, '%a %b ') || lpad(day(ts)::VARCHAR, 2, ' ') || strftime(ts, ' %H:%M:%S %Y') AS \"text\" FROM ev")
+def time_format(s, d):
+    return t.events(s, d).select("event_id", scalar.sec_usec("us").alias("stamp"), scalar.time_text("us").alias("text"))
+
+
+#: When the read and the write lease of a chunk expire, request by request.
+GRANTS = f"""rq AS (SELECT user_id, event_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) k, CASE event_type WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'write' ELSE 'renew' END kind FROM ev WHERE event_type IN ('view', 'purchase', 'click')),
+  q AS (SELECT user_id, 0::BIGINT event_id, 0::BIGINT k, NULL::BIGINT r, NULL::BIGINT w, NULL::VARCHAR error FROM (SELECT DISTINCT user_id FROM rq) UNION ALL
+    SELECT user_id, event_id, k, CASE WHEN kind = 'read' AND error IS NULL THEN us + {LEASE} WHEN kind = 'renew' AND w IS NULL AND error IS NULL THEN us + {LEASE} WHEN kind = 'renew' AND w IS NULL AND error = 'ELEASEEXPIRED' THEN NULL ELSE r END,
+      CASE WHEN kind = 'write' AND error IS NULL THEN us + {LEASE} WHEN kind = 'renew' AND w IS NOT NULL AND error IS NULL THEN us + {LEASE} WHEN kind = 'renew' AND w IS NOT NULL AND error = 'ELEASEEXPIRED' THEN NULL ELSE w END, error FROM (
+    SELECT rq.user_id, rq.event_id, rq.k, kind, us, r, w, CASE WHEN kind = 'renew' THEN CASE WHEN coalesce(w, r) IS NULL THEN 'ENOENT' WHEN us > coalesce(w, r) THEN 'ELEASEEXPIRED' END
+      WHEN us <= w OR (kind = 'write' AND us <= r) OR us < {START} + {LEASE} THEN 'EBUSY' END error FROM q JOIN rq ON rq.user_id = q.user_id AND rq.k = q.k + 1))"""
+
+
+@query(with_(EV, GRANTS, recursive=True) + "SELECT event_id, coalesce(error, 'OK') outcome FROM q WHERE k > 0")
+def lease_outcomes(s, d):
+    kind = F.when(F.col("event_type") == "view", "read").when(F.col("event_type") == "purchase", "write").otherwise("renew")
+    e = t.events(s, d).where(F.col("event_type").isin("view", "purchase", "click"))
+    order = F.concat(F.lpad(F.col("us").cast("string"), 20, "0"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    asked = e.select(F.col("user_id").alias("chunk_id"), F.col("event_id").alias("id"), order.alias("order"), F.col("us").alias("at"), kind.alias("kind"))
+    return batch.lease_outcomes(asked, int(LEASE), START).select(F.col("id").alias("event_id"), F.coalesce("error", F.lit("OK")).alias("outcome"))
+
+
 def _event_stream(s, d):
     f = table(s, d, "events")
     return live.read_stream(s, f"{d}/events.parquet*", f.schema)  # one file or a folder of them

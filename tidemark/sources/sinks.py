@@ -35,3 +35,15 @@ def counters_csv(counters: DataFrame) -> DataFrame:
     """``counters(server, name, value)`` as one row a server and one column a name, for a CSV sink."""
     names = sorted(r[0] for r in counters.select("name").distinct().collect())  # the columns
     return counters.groupBy("server").pivot("name", names).agg(F.sum("value"))
+
+
+def sized_chunk_map_lines(sized: DataFrame) -> DataFrame:
+    """``chunkid fid n (size host port rack)*n`` lines of ``sized(chunk_id, fid, host, port, rack, size)``."""
+    one = F.concat_ws(" ", F.col("size").cast("string"), "host", F.col("port").cast("string"), F.col("rack").cast("string"))
+    g = sized.groupBy("chunk_id", "fid").agg(F.array_sort(F.collect_list(F.struct("host", one.alias("t")))).alias("t"))
+    return g.select(F.concat_ws(" ", F.col("chunk_id").cast("string"), F.col("fid").cast("string"), F.size("t").cast("string"), F.array_join(F.transform("t", lambda x: x.t), " ")).alias("line"))
+
+
+def write_plan(moves: DataFrame, path: str) -> None:
+    """A rebalance plan ``(chunk_id, src, dst)`` as move records that an executor reads in order of source."""
+    moves.repartition("src").sortWithinPartitions("src", "chunk_id").write.mode("overwrite").parquet(path)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.oplog import fold_sorted
+
 SLOW = 10.0
 NOISE = 1e-6
 
@@ -37,6 +39,42 @@ def lease_islands(renewals: DataFrame, interval: int) -> DataFrame:
     return r.groupBy("owner", "k").agg(F.min("at").alias("start_at"), F.max("at").alias("last_at"), F.count("*").alias("n")).drop("k")
 
 
+def _lease(interval: int, start: int):
+    """State of a chunk's leases: when the read and the write lease expire."""
+    until: dict[str, int] = {}
+
+    def step(r):
+        if r is None:
+            return []
+        held = {k for k, t in until.items() if r.at <= t}
+        error = None
+        if r.kind == "renew":
+            kind = "write" if "write" in until else "read"
+            error = "ENOENT" if kind not in until else None if kind in held else "ELEASEEXPIRED"
+            if error == "ELEASEEXPIRED":
+                del until[kind]
+        else:
+            kind = r.kind
+            busy = "write" in held or (kind == "write" and "read" in held)
+            error = "EBUSY" if busy or r.at < start + interval else None
+        if not error:
+            until[kind] = r.at + interval
+        return [(r.chunk_id, r.id, error)]
+
+    return step
+
+
+def lease_outcomes(requests: DataFrame, interval: int, start: int) -> DataFrame:
+    """``(chunk_id, id, error)`` of ``requests(chunk_id, id, order, at, kind)``, in ``order``; no error is null.
+
+    ``kind`` is ``read``, ``write`` or ``renew``. A lease is valid up to and including its expiry.
+    Nothing is granted in the first ``interval`` after ``start``. A write lease that is valid
+    keeps all others off, valid read leases keep a write lease off. A renewal is for the write
+    lease, else the read lease, and only while it is valid; one that comes later ends it.
+    """
+    return fold_sorted(requests.select("chunk_id", "id", "order", "at", "kind"), "chunk_id", "order", lambda: _lease(interval, start), "chunk_id long, id long, error string")
+
+
 def lease_valid_at(islands: DataFrame, at: int, interval: int) -> DataFrame:
     """Owners whose lease is valid at ``at``: valid up to and including its expiry."""
     return islands.where((F.col("start_at") <= at) & (F.lit(at) <= F.col("last_at") + interval)).select("owner", (F.col("last_at") + interval).alias("expires_at"))
