@@ -53,12 +53,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.pieces import LEAST_BUCKETS, NO_ID, ODD, PIECE_BYTES, Numbers, mix, pack, pack_ints, pack_sorted, unpack, unpack_ints, unpack_sorted
+from tidemark.llm.pieces import LEAST_BUCKETS, NO_ID, ODD, Numbers, mix, pack, pack_ints, pack_sorted, unpack, unpack_ints, unpack_sorted
 from tidemark.session import materialise, table
 
 ORDER = 3
 K = 5
-BUCKET_TOKENS = 1 << 21
+#: Text of a piece; a task holds some sixty times as much in arrays of all lengths.
+PIECE_BYTES = 4 << 20
+BUCKET_TOKENS = 1 << 20
 #: A number is its bucket, and its place there from 1; 0 stands for a history of begin marks only.
 PLACE = np.uint64(40)
 PLACES = np.uint64((1 << 40) - 1)
@@ -348,6 +350,10 @@ class Piece:
         self.parts.append(g)
         return g
 
+    def done(self) -> None:
+        """Let go of the n-grams, which refer to the piece: its arrays must not wait for a collector of cycles."""
+        self.parts.clear()
+
     def probabilities(self, upto: int) -> np.ndarray:
         """P of each token by a history of ``upto`` - 1 tokens."""
         p = self.constants.unigram(self.word.count)[self.word.of]
@@ -458,6 +464,7 @@ def _ask(k: int, order: int, buckets: int, constants: Constants):
                 rows += p.parts[-1].weigh(row["piece"])
             if k < order:
                 rows += p.grow().request(row["piece"])
+            p.done()
         return _rows(REQUEST_SCHEMA, rows)
 
     return run
@@ -477,6 +484,7 @@ def _score(order: int, buckets: int, constants: Constants):
             each = {"n_known": (c > 0)[p.word.of].astype(np.int64), "base_score": constants.base(c)[p.word.of], "score": np.log10(p.probabilities(order))}
             cols = {"doc_id": pa.array(p.ids, mask=p.ids == NO_ID), "held_out": pa.array(p.flags == 1), "n_tokens": pa.array(p.lengths)}
             out.append(pa.table(cols | {n: pa.array(np.add.reduceat(v, p.starts)) for n, v in each.items()}))  # every text has its end at least
+            p.done()
         return pa.concat_tables(out)
 
     return run
