@@ -1,7 +1,7 @@
 """Operators on texts against brute force, and their defined edge cases."""
 
-import hashlib
 import functools
+import hashlib
 import math
 import re
 import zlib
@@ -177,6 +177,17 @@ def test_decontamination_edge_cases(spark, odd):
 
 
 # ---------------------------------------------------------------- 5
+def test_names_that_clash(spark):
+    """Helper columns never meet columns of the input, whatever their names."""
+    d = spark.createDataFrame([(1, "ten words of a text to be kept or not here", "a", 5, "h"), (2, "other", "b", 6, "i")], "doc_id long, text string, source string, _M_n int, _d_hits string")
+    bench = spark.createDataFrame([(1, "other")], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(d, bench)
+    assert [tuple(r) for r in kept.collect()] == [tuple(r) for r in d.where("doc_id = 1").collect()] and kept.columns == d.columns
+    out = mixing.mix(d, {"a": 1.0}, 100.0)
+    assert {(r["_M_n"], r["_d_hits"]) for r in out.collect()} == {(5, "h")}
+    assert mixing.mix(d.limit(0)).count() == 0
+
+
 def test_language_held_out_accuracy(spark, docs):
     held = langid.fold(docs) % 5 == 0
     model = langid.train(docs.where(~held))
@@ -184,6 +195,68 @@ def test_language_held_out_accuracy(spark, docs):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97 and all(0 <= r.score <= 1 for r in got)
 
 
+def brute_languages(train, texts):
+    """The decoder over plain dictionaries of counts, codeword by codeword and bit by bit."""
+
+    def grams(text):
+        low = text.encode().translate(langid.NORMAL).split()
+        x = b" " + b" ".join(low) + b" "
+        for i in range(len(x) - 2):
+            h = ((x[i] * 0x9E3779B1 + x[i + 1] * 0x85EBCA77) ^ (x[i + 2] * 0xC2B2AE3D)) & 0xFFFFFFFF
+            yield (((h ^ (h >> 15)) * 0x27D4EB2F) & 0xFFFFFFFF) >> 16
+
+    counts = defaultdict(Counter)
+    for lang, text in train:
+        counts[lang].update(grams(text))
+    langs = sorted(counts)
+    code = langid.codewords(len(langs)).tolist()
+    bits, size = range(len(code[0])), langid.BUCKETS
+    total = {x: sum(counts[x].values()) + langid.SMOOTHING * size for x in langs}
+
+    @functools.cache
+    def weight(j, g):
+        share = lambda sign: np.mean([(counts[x][g] + langid.SMOOTHING) / total[x] for x, c in zip(langs, code, strict=True) if c[j] == sign])
+        return math.log(share(1)) - math.log(share(-1))
+
+    def raw(text):
+        g = list(grams(text))
+        return [sum(weight(j, x) for x in g) / math.sqrt(max(len(g), 1)) for j in bits]
+
+    margins = [(langs.index(lang), raw(text)) for lang, text in train]
+    scale = [np.mean([np.mean([abs(m[j]) for k, m in margins if k == i]) for i in range(len(langs))]) for j in bits]
+    trust = [[(sum(np.sign(m[j]) == code[i][j] for k, m in margins if k == i) + 0.5) / (sum(k == i for k, _ in margins) + 1) for j in bits] for i in range(len(langs))]
+    for text in texts:
+        if not text or not any(c.isalpha() for c in text):
+            yield "und", 0.0
+            continue
+        m = [x / s for x, s in zip(raw(text), scale, strict=True)]
+        loss = [sum(t * math.log1p(math.exp(-3 * c * x)) for t, c, x in zip(trust[i], code[i], m, strict=True)) / sum(trust[i]) for i in range(len(langs))]
+        best = min(range(len(langs)), key=loss.__getitem__)
+        yield langs[best], 1 / sum(math.exp(-4 * (x - loss[best])) for x in loss)
+
+
+def test_language_equals_brute_force(spark, docs):
+    d = docs.where("doc_id < 140 and (text is null or length(text) < 1200)")
+    learn = langid.fold(d) % 5 != 0
+    rows = d.select("doc_id", "text", "lang", learn.alias("learn")).collect()
+    usable = [(r.lang, r.text) for r in rows if r.learn and r.lang and r.text and any(c.isalpha() for c in r.text)]
+    want = dict(zip([r.doc_id for r in rows], brute_languages(usable, [r.text for r in rows]), strict=True))
+    got = langid.predict(d, langid.train(d.where(learn))).collect()
+    assert len(got) == len(want) > 40
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-3), r.doc_id
+
+
+def test_two_hundred_languages(spark):
+    rng = np.random.default_rng(4)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for _ in range(200)]
+    rows = [(k * 10 + i, " ".join(rng.choice(words[k], 40)), f"l{k:03d}") for k in range(200) for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d.where("doc_id % 10 < 5"))
+    got = langid.predict(d.where("doc_id % 10 = 5"), model).collect()
+    assert len(model.langs) == 200 and np.mean([r.lang_pred == f"l{r.doc_id // 10:03d}" for r in got]) > 0.97
+
+
 def test_codewords_are_distinct():
     for n in (2, 3, 4, 5, 9, 30):
         c = langid.codewords(n)
@@ -244,6 +317,10 @@ def test_license_scan_edge_cases(spark, odd):
     for i, (n, _) in enumerate(texts):
         assert got[i].best_license == n and got[i].best_dice == 1.0
     assert {r.licenses for r in licenses.scan_licenses(odd).collect()} == {""}
+    assert licenses.scan_licenses(odd.limit(0)).count() == 0
+    whole = "\n\n".join(f"Section {i}. " + " ".join(f"clause{i}x{j}" for j in range(60)) + "." for i in range(20))  # a whole license of one's own
+    own = spark.createDataFrame([(1, f"Readme.\n\n{whole}\n\nThe end."), (2, "Readme.")], "doc_id long, text string")
+    assert {(r.doc_id, r.licenses) for r in licenses.scan_licenses(own, templates=(("own", whole),)).collect()} == {(1, "own"), (2, "")}
 
 
 def test_licenses_equal_brute_force_near_the_threshold(spark):
@@ -347,7 +424,8 @@ def brute_katz(train, order):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_katz_equals_brute_force(spark, docs, order):
+def test_katz_equals_brute_force(spark, docs, order, monkeypatch):
+    monkeypatch.setattr(katz, "SLICES", 2 if order == 2 else 1)
     d = docs.where("doc_id < 120")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     got = {r.doc_id: r for r in katz.score(d, held, order, size=40_000, tokens=20_000).collect()}
@@ -365,7 +443,8 @@ def test_katz_equals_brute_force(spark, docs, order):
         assert r.score == pytest.approx(sum(math.log10(p(tuple(padded[k : k + order - 1]), x)) for k, x in enumerate(w)))
 
 
-def test_katz_scores_a_second_corpus_by_stored_tables(spark, docs, tmp_path):
+def test_katz_scores_a_second_corpus_by_stored_tables(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(katz, "SLICES", 1)
     learn, other = docs.where("doc_id < 80"), docs.where("doc_id between 60 and 119")
     katz.train(learn, 3, size=40_000, tokens=20_000).save(str(tmp_path / "model"))
     model = katz.Model.load(spark, str(tmp_path / "model"))
@@ -377,7 +456,8 @@ def test_katz_scores_a_second_corpus_by_stored_tables(spark, docs, tmp_path):
         assert got[r.doc_id].score == pytest.approx(r.score) and got[r.doc_id].train_tokens == r.train_tokens
 
 
-def test_katz_edge_cases(spark, odd):
+def test_katz_edge_cases(spark, odd, monkeypatch):
+    monkeypatch.setattr(katz, "SLICES", 1)
     got = katz.score(odd, F.lit(False)).collect()
     assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (1, 2, 5)} == {1}
     assert all(math.isfinite(r.score) and r.score <= 0 for r in got) and any(r.doc_id is None for r in got)

@@ -12,16 +12,20 @@ negative losses; a text whose two best codewords are closer than ``AMBIGUOUS`` i
 
 Training reads text and non-null lang only. It uses a sample of at most about ``TRAIN_ROWS`` rows
 a language (a documented parameter; chosen by hash of doc_id), whole texts. What comes to the
-driver is one table of languages x ``BUCKETS`` counts, whatever the input's size. Prediction reads
+driver is one row of ``BUCKETS`` counts a language, one row after the other: half a megabyte a
+language, whatever the input's size, and less in the model that is broadcast. Prediction reads
 every whole text and nothing else, in blocks, so a very long text takes no more memory.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, never ambiguous; so is
-every text if there is nothing to learn from; with one language learned it is the only answer.
+every text if there is nothing to learn from; with one language learned it is the only answer. Of
+codewords with equal loss the language first in order wins; repeated rows are rows like any other;
+an empty table gives an empty result; extra columns are ignored, and kept by the pipeline's stage.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import product
 
 import numpy as np
@@ -103,15 +107,29 @@ class Model:
 
 
 def _counts(batches):
+    seen: dict[str, np.ndarray] = {}
     for b in batches:
-        seen: dict[str, np.ndarray] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
             c = seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
             for h in trigrams(text):
                 c += np.bincount(h, minlength=BUCKETS)
-        for lang, c in seen.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
+        if len(seen) > 64:
+            yield _dense(seen)
+            seen = {}
+    yield _dense(seen)
+
+
+def _dense(seen: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row a language with all its counts, packed."""
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([zlib.compress(c.tobytes(), 1) for c in seen.values()], pa.binary())], names=["lang", "counts"])
+
+
+def _of_language(t: pa.Table) -> pa.Table:
+    """One language's counts over all tasks; a task gives a row, and reads no more than ``TRAIN_ROWS`` texts in all."""
+    total = np.zeros(BUCKETS, np.int64)
+    for c in t.column("counts"):
+        total += np.frombuffer(zlib.decompress(c.as_py()), np.int64)
+    return pa.table({"lang": t.column("lang")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def _trials(shared):
@@ -142,11 +160,10 @@ def train(labelled: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> Model:
         return Model([], np.zeros((0, BUCKETS)))
     share = F.create_map(*[F.lit(x) for lang, n in there.items() for x in (lang, min(1.0, rows_per_lang / n))])
     sample = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
-    rows = sample.mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(rows["lang"].unique())
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[[langs.index(x) for x in rows["lang"]], rows["bucket"]] = rows["n"]
-    model = Model(langs, counts)
+    dense = sample.mapInArrow(_counts, "lang string, counts binary").groupBy("lang").applyInArrow(_of_language, "lang string, counts binary")
+    found = {r["lang"]: np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in dense.toLocalIterator()}
+    langs = sorted(found)
+    model = Model(langs, np.array([found[x] for x in langs], np.float64).reshape(len(langs), BUCKETS))
     if len(langs) > 1:
         shared = labelled.sparkSession.sparkContext.broadcast(model)
         trial = sample.where(F.col("lang").isin(langs)).mapInArrow(_trials(shared), "k int, j int, n double, size double, right double")

@@ -21,7 +21,8 @@ without any marker word of any template cannot match and is done with after one
 Nothing is shuffled or grouped: each row is answered from its own text, whatever its source.
 
 Defined cases: a null or empty text has no segments and no license; repeated rows are scanned each
-for itself; equal segments of a text count once; extra columns are ignored.
+for itself; equal segments of a text count once; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.session import table
 
 THRESHOLD = 0.8
+Templates = tuple[tuple[str, str], ...]
 #: Public license notices and texts, by SPDX name.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -51,6 +53,12 @@ TEMPLATES = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
 )
 
 
@@ -58,19 +66,19 @@ def _words(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
 
-def template_bigrams() -> list[tuple[str, list[str]]]:
+def template_bigrams(templates: Templates = TEMPLATES) -> list[tuple[str, list[str]]]:
     found = []
-    for name, text in TEMPLATES:
+    for name, text in templates:
         w = _words(text)
         found.append((name, sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})))
     return found
 
 
-def markers(threshold: float) -> list[str]:
+def markers(threshold: float, templates: Templates = TEMPLATES) -> list[str]:
     """Words of which every matching text has at least one; the longest words, then those of the fewest templates, are taken first."""
     found: set[str] = set()
-    everywhere = [{w for g in grams for w in g.split(" ")} for _, grams in template_bigrams()]
-    for _, grams in template_bigrams():
+    everywhere = [{w for g in grams for w in g.split(" ")} for _, grams in template_bigrams(templates)]
+    for _, grams in template_bigrams(templates):
         pairs = [set(g.split(" ")) for g in grams]
         may_lack = int((1 - threshold / (2 - threshold)) * len(pairs) + 1e-9)
         mine: set[str] = set()
@@ -107,14 +115,15 @@ def _with_runs(d: DataFrame, all_t: str, sizes: list[int], low: float, high: flo
     return d.withColumn("_m", F.expr(f"concat(_m, array_distinct(transform({apart}, r -> struct(r.dice AS dice, r.i AS i, r.name AS name, array_join(slice(_w, -r.s + 1, r.e + r.s), ' ') AS x))))"))
 
 
-def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: Templates = TEMPLATES) -> DataFrame:
     """``(doc_id, licenses, best_license, best_dice, n_segments)`` for each row of ``docs``.
 
     ``licenses``: names found, sorted, comma-joined; ``best_dice``: of the best segment, 6 digits
     (null where there is none); ``n_segments``: distinct segments and runs that matched.
+    ``templates``: names and texts; whole licenses may be given too.
     """
-    kept = [(n, b) for n, b in template_bigrams() if b]
-    length = [len(_words(text)) for (_, text), (_, b) in zip(TEMPLATES, template_bigrams(), strict=True) if b]
+    kept = [(n, b) for n, b in template_bigrams(templates) if b]
+    length = [len(_words(text)) for (_, text), (_, b) in zip(templates, template_bigrams(templates), strict=True) if b]
     # the bounds with a little room, as a coefficient may be the threshold itself
     low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     all_t = ", ".join(f"struct({i} AS i, '{n}' AS name, {len(b)} AS n, {length[i]} AS l, array({', '.join(repr(x) for x in b)}) AS b)" for i, (n, b) in enumerate(kept))
@@ -122,7 +131,7 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     fits = f"NOT (size(g) < {low!r} * t.n OR size(g) > {high!r} * t.n)"
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
     words = r"split(trim(regexp_replace(lower(_t), r'[^\p{L}\p{N}]+', ' ')), ' ')"
-    d = d.withColumn("_maybe", F.expr(f"arrays_overlap({words}, array({', '.join(map(repr, markers(threshold)))}))"))
+    d = d.withColumn("_maybe", F.expr(f"arrays_overlap({words}, array({', '.join(map(repr, markers(threshold, templates)))}))"))
     raw = r"array_distinct(concat(array(_t), split(_t, r'\n[ \t\r]*\n'), split(_t, r'\n')))"
     plain = r"transform(" + raw + r", x -> trim(regexp_replace(lower(x), r'[^\p{L}\p{N}]+', ' ')))"
     # a segment of w words has at most w - 1 bigrams; blanks count its words without splitting it
@@ -145,14 +154,15 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    most = int((2 - THRESHOLD) / THRESHOLD * max(len(b) for _, b in template_bigrams())) + 1  # bigrams of a segment that can match
     rows = ", ".join(f"({i}, '{n}', [{', '.join(repr(x) for x in b)}])" for i, (n, b) in enumerate(template_bigrams()))
     return rf"""
     WITH t AS (SELECT * FROM (VALUES {rows}) AS v(i, name, b)),
     s AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) x FROM (
       SELECT doc_id, unnest(list_concat([text], regexp_split_to_array(text, '\n[ \t\r]*\n'), regexp_split_to_array(text, '\n'))) x FROM documents)),
     w AS (SELECT doc_id, x, string_split(x, ' ') w FROM s),
-    g AS (SELECT doc_id, x, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) g FROM w WHERE len(w) > 1 AND len(w) < 2000),
-    m AS (SELECT doc_id, x, i, name, 2.0::DOUBLE * len(list_intersect(b, g)) / (len(b) + len(g)) dice FROM g, t),
+    g AS (SELECT doc_id, x, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) g FROM w WHERE len(w) > 1),
+    m AS (SELECT doc_id, x, i, name, 2.0::DOUBLE * len(list_intersect(b, g)) / (len(b) + len(g)) dice FROM g, t WHERE len(g) <= {most}),
     b AS (SELECT doc_id, x, max_by(name, (dice, -i)) name, max((dice, -i)) o, max(dice) dice FROM m WHERE dice >= 0.8 GROUP BY 1, 2),
     r AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT name)), ',') licenses, max_by(name, o) best_license, round(max(dice), 6) best_dice, count(*)::BIGINT n FROM b GROUP BY 1)
     SELECT doc_id, coalesce(licenses, '') licenses, best_license, best_dice, coalesce(n, 0)::BIGINT n_segments FROM documents LEFT JOIN r USING (doc_id)"""

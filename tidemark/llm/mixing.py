@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import free_prefix
 from tidemark.session import materialise, table
 
 SEED = 42
@@ -66,24 +67,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     cdf = """aggregate(sequence(1, CAST(ceil(part + 12 * sqrt(part) + 24) AS INT)),
         struct(exp(-part) AS p, array(exp(-part)) AS c),
         (a, k) -> struct(a.p * part / k AS p, concat(a.c, array(element_at(a.c, -1) + a.p * part / k)) AS c), a -> a.c)"""
+    p = free_prefix(docs, "_m")
     per = (
         rates(docs, weights, budget)
         .withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int"))
         .withColumn("part", F.col("rate") / F.col("parts"))
-        .select(F.coalesce("source", F.lit("")).alias("_m_key"), F.col("source").isNull().alias("_m_null"), F.col("parts").alias("_m_parts"), F.expr(cdf).alias("_m_cdf"))
+        .select(F.coalesce("source", F.lit("")).alias(f"{p}_key"), F.col("source").isNull().alias(f"{p}_null"), F.col("parts").alias(f"{p}_parts"), F.expr(cdf).alias(f"{p}_cdf"))
     )
     per = materialise(per, "rates")
     if per.count() <= MAX_BROADCAST:
         per = F.broadcast(per)
-    d = docs.withColumns({"_m_key": F.coalesce("source", F.lit("")), "_m_null": F.col("source").isNull(), "_m_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    d = d.join(per, ["_m_key", "_m_null"])
-    draws = F.transform(F.sequence(F.lit(1), F.col("_m_parts")), lambda j: _uniform(seed, F.col("_m_id"), j.cast("string")))
-    count = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("_m_cdf"), lambda c: c <= u)))
-    d = d.withColumn("_m_n", count).where("_m_n > 0").drop("copy", "mix_key", "_m_cdf", "_m_parts")
-    d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_m_n"))))
-    d = d.withColumn("mix_key", _bits(seed, F.col("_m_id"), "copy", F.col("copy").cast("string")))
+    d = docs.withColumns({f"{p}_key": F.coalesce("source", F.lit("")), f"{p}_null": F.col("source").isNull(), f"{p}_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    d = d.join(per, [f"{p}_key", f"{p}_null"])
+    draws = F.transform(F.sequence(F.lit(1), F.col(f"{p}_parts")), lambda j: _uniform(seed, F.col(f"{p}_id"), j.cast("string")))
+    count = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(F.col(f"{p}_cdf"), lambda c: c <= u)))
+    d = d.withColumn(f"{p}_n", count).where(F.col(f"{p}_n") > 0).drop("copy", "mix_key", f"{p}_cdf", f"{p}_parts")
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(f"{p}_n"))))
+    d = d.withColumn("mix_key", _bits(seed, F.col(f"{p}_id"), "copy", F.col("copy").cast("string")))
     kept = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    return d.select(*kept, "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key", "copy")
+    return d.select(*[F.col(f"`{c}`") for c in kept], "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key", "copy")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import free_prefix
 from tidemark.session import table
 
 KINDS = ("assign", "access", "hex")
@@ -137,14 +138,6 @@ def _entropy_windows(value: str) -> str:
     return _let(f"transform(split({value}, ''), c -> ascii(c) - {FIRST - 1})", "cs", _let(f"CASE {kind} {most} END", "most", fold))
 
 
-def _free(docs: DataFrame) -> str:
-    """A prefix that no column of ``docs`` starts with."""
-    p = "_s"
-    while any(c.lower().startswith(p) for c in docs.columns):
-        p += "_"
-    return p
-
-
 def find_spans(docs: DataFrame, p: str) -> DataFrame:
     """``docs`` plus ``{p}_base`` and ``{p}_entropy``, arrays of ``(s, n, e, kind, v)`` by start, and ``{p}_blocks``.
 
@@ -190,7 +183,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     Overlapping spans become one mark. ``n_chars``, if there, counts the new text. A
     null text stays null; all columns and rows stay.
     """
-    p = _free(docs)
+    p = free_prefix(docs, "_s")
     d = find_spans(docs, p).withColumn(f"{p}_all", F.expr(f"array_sort(concat({p}_base, {p}_entropy))"))
     kept = f"transform({_gaps(f'{p}_all', 'text', f'{p}_blocks')}, y -> y.v)"
     d = d.withColumn("text", F.expr(f"CASE WHEN size({p}_all) > 0 THEN array_join({kept}, {_q(mark)}) ELSE text END"))
