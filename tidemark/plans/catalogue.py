@@ -625,12 +625,12 @@ def _rebalanced(rounds: int) -> str:
     return with_(*out, "mv AS (" + " UNION ALL ".join(f"SELECT chunk_id, src, dst FROM g{i}" for i in range(rounds)) + ")")
 
 
-@query(_rebalanced(8) + "SELECT chunk_id, src, dst FROM mv")
+@query(_rebalanced(16) + "SELECT chunk_id, src, dst FROM mv")
 def rebalance_plan(s, d):
     return _moves(s, d)
 
 
-@query(_rebalanced(8) + """, w AS (SELECT mv.* FROM mv JOIN sv ON server = dst AND util <= 0.9 QUALIFY row_number() OVER (PARTITION BY dst ORDER BY chunk_id) <= 5)
+@query(_rebalanced(16) + """, w AS (SELECT mv.* FROM mv JOIN sv ON server = dst AND util <= 0.9 QUALIFY row_number() OVER (PARTITION BY dst ORDER BY chunk_id) <= 5)
   SELECT chunk_id, src, dst FROM w QUALIFY row_number() OVER (PARTITION BY src ORDER BY chunk_id) <= 10""")
 def rebalance_execute(s, d):
     return health.throttled(health.executable_moves(materialise(_moves(s, d), "moves"), *_cr(s, d), t.servers(s, d)))
