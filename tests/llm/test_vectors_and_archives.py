@@ -168,7 +168,8 @@ def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
     assert [n for n, _ in p.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "secret_scan", "mix_sources"]
-    from tidemark.llm import decontaminate, secrets, simhash
+    from tests.llm.test_jaccard import brute_components
+    from tidemark.llm import decontaminate, secrets
 
     start = docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
@@ -177,8 +178,8 @@ def test_pipeline_stages(spark):
         if n < len(p.STAGES) - 1:
             assert docs.columns == start.columns and docs.count() <= before.count()
         if name == "simhash_near_dedup":
-            comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(before).collect()}
-            assert {r.doc_id for r in docs.collect()} == {i for i, c in comp.items() if i == c} and docs.count() < before.count()
+            firsts = set(brute_components({r.doc_id: r.text for r in before.collect()}).values())
+            assert {r.doc_id for r in docs.collect()} == firsts and docs.count() < before.count()
         if name == "benchmark_decontamination":
             bad = {r.doc_id for r in decontaminate.scan(before, bench).where("n_hit > 0").collect()}
             assert bad and {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()} - bad
