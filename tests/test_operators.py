@@ -318,3 +318,24 @@ def test_streams_do_not_depend_on_the_order_of_files(spark, tmp_path):
     for keep in (None, 40 * 86_400_000_000):
         got = live.current_leases(live.drain(live.leases(s.select(F.col("user_id").alias("owner"), F.col("us").alias("at")), day, keep), "update"))
         assert sorted(map(tuple, got.collect())) == want
+
+
+def _as_printf(spark, fn, sizes, shift_of):
+    """Sizes whose text differs from that of C's printf (which Python's format equals)."""
+    rows = spark.createDataFrame([(n,) for n in sizes] + [(None,)], "n long")
+    got = {r.n: r.t for r in rows.select("n", fn("n").alias("t")).collect()}
+    assert got.pop(None) is None
+    want = {n: f"{n / (1 << shift_of(n)[1]):.2f} {shift_of(n)[0]}" if shift_of(n) else str(n) for n in sizes}
+    return {n: (got[n], want[n]) for n in sizes if got[n] != want[n]}
+
+
+def _ties(*shifts):
+    """Eighths of units, which end halfway between hundredths, their neighbours, and other sizes."""
+    rng = random.Random(5)
+    eighths = [(8 * rng.randrange(1, 1000) + k) << (shift - 3) for shift in shifts for k in range(8) for _ in range(20)]
+    return sorted({n + d for n in eighths for d in (-1, 0, 1)} | {rng.randrange(1 << rng.randrange(1, 53)) for _ in range(1000)})
+
+
+def test_readable_bytes_round_as_printf(spark):
+    units = (("PB", 50), ("TB", 40), ("GB", 30), ("MB", 20))
+    assert not _as_printf(spark, scalar.readable_bytes, _ties(20, 30, 40), lambda n: next((u for u in units if n > 1 << u[1]), None))

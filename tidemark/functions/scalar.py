@@ -42,6 +42,21 @@ def adler32(data, seed: int = 1) -> Column:
     return F.when(data.isNotNull(), F.when(n == 0, F.lit(seed).cast("long")).otherwise(total))
 
 
+def _in_units(s: Column, shift: int) -> Column:
+    """``s / 2**shift`` with two digits, ties to the even one as C's printf has them.
+
+    ``s`` holds whole numbers as doubles. Java's formatter rounds ties up, and the shortest decimal
+    of a value at that; here hundredths and what is left of them are exact integers.
+    """
+    size = F.abs(s)
+    whole = F.floor(size / (1 << shift))
+    cents = (size - whole * F.lit(float(1 << shift))).cast("long") * 100
+    low, left, half = F.shiftright(cents, shift), cents.bitwiseAND((1 << shift) - 1), 1 << (shift - 1)
+    up = (left > half) | ((left == half) & (low % 2 == 1))
+    n = whole * 100 + low + F.when(up, 1).otherwise(0)
+    return F.concat(F.when(s < 0, "-").otherwise(""), F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+
 def human_size(size) -> Column:
     """KB under 1 MiB, MB under 1 GiB, else GB, with two digits."""
     s = _c(size).cast("double")
@@ -56,7 +71,7 @@ def readable_bytes(size) -> Column:
     """PB, TB, GB or MB, each only above its unit; the plain number below."""
     s, out = _c(size).cast("double"), _c(size).cast("string")
     for unit, shift in (("MB", 20), ("GB", 30), ("TB", 40), ("PB", 50)):
-        out = F.when(s > 1 << shift, F.concat(F.format_string("%.2f", s / (1 << shift)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(s > 1 << shift, F.concat(_in_units(s, shift), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
