@@ -339,3 +339,7 @@ def _ties(*shifts):
 def test_readable_bytes_round_as_printf(spark):
     units = (("PB", 50), ("TB", 40), ("GB", 30), ("MB", 20))
     assert not _as_printf(spark, scalar.readable_bytes, _ties(20, 30, 40), lambda n: next((u for u in units if n > 1 << u[1]), None))
+
+
+def test_human_sizes_round_as_printf(spark):
+    assert not _as_printf(spark, scalar.human_size, _ties(10, 20, 30), lambda n: ("KB", 10) if n < 1 << 20 else ("MB", 20) if n < 1 << 30 else ("GB", 30))

@@ -61,9 +61,9 @@ def human_size(size) -> Column:
     """KB under 1 MiB, MB under 1 GiB, else GB, with two digits."""
     s = _c(size).cast("double")
     return (
-        F.when(s < 1 << 20, F.concat(F.format_string("%.2f", s / (1 << 10)), F.lit(" KB")))
-        .when(s < 1 << 30, F.concat(F.format_string("%.2f", s / (1 << 20)), F.lit(" MB")))
-        .otherwise(F.concat(F.format_string("%.2f", s / (1 << 30)), F.lit(" GB")))
+        F.when(s < 1 << 20, F.concat(_in_units(s, 10), F.lit(" KB")))
+        .when(s < 1 << 30, F.concat(_in_units(s, 20), F.lit(" MB")))
+        .otherwise(F.concat(_in_units(s, 30), F.lit(" GB")))
     )
 
 
