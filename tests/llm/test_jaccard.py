@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from tests.conftest import SF
-from tidemark.llm import jaccard
+from tidemark.llm import jaccard, simhash
 
 
 def brute_set(text):
@@ -53,3 +53,19 @@ def test_stage_leaves_no_near_copies(spark):
     more = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
     kept = corpus_pipeline.simhash_near_dedup(spark, more, SF)
     assert {r.doc_id for r in kept.collect()} == set(brute_components(texts).values())
+
+
+def test_stage_takes_fingerprints_within_three_bits(spark, monkeypatch):
+    """Without the keys of minima the pivot tables alone find long texts of which a few words differ."""
+    rng = np.random.default_rng(9)
+    texts = {}
+    for i in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 9000, 3000)]
+        texts[i] = " ".join(words)
+        texts[100 + i] = " ".join([*words[:1500], "changed", *words[1501:]])
+    marks = {i: simhash.majority([jaccard.shingles(t.encode())]) for i, t in texts.items()}
+    near = {100 + i for i in range(20) if (marks[i] ^ marks[100 + i]).bit_count() <= 3}
+    assert len(near) > 15 and any(marks[i] != marks[i - 100] for i in near)
+    monkeypatch.setattr(jaccard, "minhash_keys", lambda nodes: jaccard.simhash_keys(nodes.limit(0)))
+    kept = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), SF)
+    assert {r.doc_id for r in kept.collect()} == set(texts) - near
