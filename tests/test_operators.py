@@ -1,5 +1,6 @@
 """Properties that no single SQL statement states: folds, plans, round trips, streams."""
 
+import bisect
 import random
 import zlib
 
@@ -343,3 +344,17 @@ def test_readable_bytes_round_as_printf(spark):
 
 def test_human_sizes_round_as_printf(spark):
     assert not _as_printf(spark, scalar.human_size, _ties(10, 20, 30), lambda n: ("KB", 10) if n < 1 << 20 else ("MB", 20) if n < 1 << 30 else ("GB", 30))
+
+
+@pytest.mark.parametrize("fanout", [2, 4, 64])
+def test_ranges_found_by_a_tree(spark, fanout):
+    """Against bisection: keys below the first start, on starts and between, partitions of few and many ranges."""
+    rng, starts, rows = random.Random(3), {}, []
+    for part, n in ((0, 1), (1, 2), (2, 63), (3, 65), (4, 700)):
+        starts[part] = sorted(rng.sample(range(100, 9000), n))
+        rows += [(part, f"{k:05d}") for k in [*starts[part][:50], *(rng.randrange(10000) for _ in range(100))]]
+    rows.append((9, "00500"))  # a partition without a plan
+    plan = spark.createDataFrame([(p, i, f"{k:05d}".encode().hex().upper()) for p, ks in starts.items() for i, k in enumerate(ks)], "part int, task int, low string")
+    got = keyed.assign_ranges(spark.createDataFrame(rows, "part int, key string"), plan, fanout).collect()
+    want = [(p, k, bisect.bisect_right(starts[p], int(k)) - 1) for p, k in rows if p in starts and int(k) >= starts[p][0]]
+    assert sorted(tuple(r) for r in got) == sorted(want)

@@ -171,22 +171,44 @@ def range_plan(index: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
     return cut.select("part", "task", F.hex("key").alias("low"), F.hex("high").alias("high"))
 
 
-def assign_ranges(records: DataFrame, plan: DataFrame) -> DataFrame:
+#: Starts in a node of the tree by which records find their range: a power of two.
+FANOUT = 64
+
+
+def _last_start(starts: Column, rows: DataFrame, low: Callable[[Column], Column], fanout: int) -> DataFrame:
+    """``rows`` plus ``_at``, the place of the last of ``starts`` at or before the key, by halving."""
+    rows, step = rows.withColumn("_at", F.lit(0)), fanout // 2
+    while step:
+        further = F.col("_at") + step
+        rows = rows.withColumn("_at", F.when(low(F.get(starts, further)) <= F.col("key").cast("binary"), further).otherwise(F.col("_at")))
+        step //= 2
+    return rows
+
+
+def assign_ranges(records: DataFrame, plan: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Records with the task of their range: the range that starts last at or before the key.
 
-    Records are not moved: the starts of a partition, one a task, are an array of arrays with about
-    as many starts in each as there are arrays, so a record looks at twice the root of their
-    number. The plan is written first, so the join knows its exact size when it chooses whether to
-    broadcast it.
+    The starts of a partition are the leaves of a tree of ``fanout`` starts a node. A level is a
+    table with a row a node, joined on the partition and the node that the level above gives; in a
+    node the start is found by halving. So no record carries more than a node, a lookup takes
+    steps like the logarithm of the number of tasks, and records are moved only where a level is
+    too large to broadcast. Levels are written first, so joins know their exact size.
     """
-    w = W.partitionBy("part").orderBy("low")  # a row a task
-    starts = plan.select("part", F.unhex("low").alias("low"), "task").withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(W.partitionBy("part"))})
-    starts = starts.groupBy("part", F.floor(F.col("_i") / F.ceil(F.sqrt("_n"))).alias("_b")).agg(F.min("low").alias("first"), F.array_sort(F.collect_list(F.struct("low", "task"))).alias("starts"))
-    starts = materialise(starts.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("first", "starts"))).alias("_plan")), "plan")
-    key = F.col("key").cast("binary")
-    block = F.get("_plan", F.size(F.filter("_plan", lambda b: b.first <= key)) - 1).starts
-    task = F.element_at(F.filter(block, lambda p: p.low <= key), -1).task
-    return records.join(starts, "part").withColumn("task", task).where("task is not null").drop("_plan")
+    numbered = plan.select("part", F.unhex("low").alias("low"), "task")
+    numbered = numbered.withColumn("_node", F.row_number().over(W.partitionBy("part").orderBy("low")).cast("long") - 1)  # a row a task
+    node = F.expr(f"_node div {fanout}L")
+    level = numbered.groupBy("part", node.alias("_node")).agg(F.min("low").alias("low"), F.array_sort(F.collect_list(F.struct("low", "task"))).alias("_starts"))
+    levels = [materialise(level, "plan")]
+    while (levels[-1].agg(F.max("_node")).first()[0] or 0) > 0:
+        level = levels[-1].groupBy("part", node.alias("_node")).agg(F.min("low").alias("low"), F.array_sort(F.collect_list("low")).alias("_starts"))
+        levels.append(materialise(level, "plan"))
+    root = levels[-1].select("part", F.col("low").alias("_first"))
+    r = records.join(root, "part").where(F.col("_first") <= F.col("key").cast("binary")).drop("_first").withColumn("_node", F.lit(0).cast("long"))
+    for level in levels[:0:-1]:
+        r = _last_start(F.col("_starts"), r.join(level.drop("low"), ["part", "_node"]), lambda x: x, fanout)
+        r = r.withColumn("_node", F.col("_node") * fanout + F.col("_at")).drop("_starts", "_at")
+    r = _last_start(F.col("_starts"), r.join(levels[0].drop("low"), ["part", "_node"]), lambda x: x.low, fanout)
+    return r.select(*records.columns, F.get("_starts", F.col("_at")).task.alias("task"))
 
 
 def byte_splits(sizes: DataFrame, limit: int) -> DataFrame:
