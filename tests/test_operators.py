@@ -358,3 +358,11 @@ def test_ranges_found_by_a_tree(spark, fanout):
     got = keyed.assign_ranges(spark.createDataFrame(rows, "part int, key string"), plan, fanout).collect()
     want = [(p, k, bisect.bisect_right(starts[p], int(k)) - 1) for p, k in rows if p in starts and int(k) >= starts[p][0]]
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_sizes_meet_in_parts_by_their_number(spark):
+    there = spark.range(100).selectExpr("id AS chunk_id", "id % 7 AS fid", "'host' || id % 5 AS host", "20000 AS port", "1 AS rack")
+    listing = there.where("chunk_id % 2 = 0").selectExpr("chunk_id", "fid", "host", "port", "chunk_id * 10 AS size")
+    few, many = (health.with_sizes(there, listing.union(listing), n) for n in (1000, 10))
+    assert sorted(few.collect()) == sorted(many.collect()) and {r.chunk_id: r.size for r in many.collect()} == {i: 0 if i % 2 else 10 * i for i in range(100)}
+    assert many.rdd.getNumPartitions() > few.rdd.getNumPartitions()

@@ -194,10 +194,17 @@ def _offers(chunks: DataFrame, rooms: list[tuple[int, int]]) -> DataFrame:
     return chunks.withColumn("slot", F.expr(f"pos div {width}")).join(t, "slot").where("low <= pos and pos < high").drop("slot", "low", "high")
 
 
-def with_sizes(chunk_map: DataFrame, listing: DataFrame) -> DataFrame:
-    """``chunk_map(chunk_id, fid, host, port, ...)`` plus the ``size`` that its host lists; 0 where it lists none."""
-    sizes = listing.groupBy("chunk_id", "fid", "host", "port").agg(F.max("size").alias("size"))
-    return chunk_map.join(sizes, ["chunk_id", "fid", "host", "port"], "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
+def with_sizes(chunk_map: DataFrame, listing: DataFrame, rows_a_task: int = 400_000) -> DataFrame:
+    """``chunk_map(chunk_id, fid, host, port, ...)`` plus the ``size`` that its host lists; 0 where it lists none.
+
+    The map is written first: its rows say in how many parts the two sides meet, so that what a
+    task sorts does not grow with them.
+    """
+    by = ["chunk_id", "fid", "host", "port"]
+    chunk_map = materialise(chunk_map, "map")
+    n = chunk_map.count() // rows_a_task + 1
+    sizes = listing.repartition(n, *by).groupBy(*by).agg(F.max("size").alias("size"))
+    return chunk_map.repartition(n, *by).join(sizes, by, "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
 
 
 def rebalance_plan(replicas: DataFrame, sizes: DataFrame, servers: DataFrame, band: float = 0.1, least: int = 0) -> DataFrame:

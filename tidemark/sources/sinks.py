@@ -20,12 +20,16 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
 
 
-def chunk_map_lines(chunks: DataFrame, replicas: DataFrame, servers: DataFrame) -> DataFrame:
-    """``chunkid fid n (host port rack)*n`` lines; chunks without a replica included."""
+def chunk_map_lines(chunks: DataFrame, replicas: DataFrame, servers: DataFrame, chunks_a_task: int = 100_000) -> DataFrame:
+    """``chunkid fid n (host port rack)*n`` lines; chunks without a replica included.
+
+    The number of chunks says in how many parts copies are gathered.
+    """
+    parts = chunks.count() // chunks_a_task + 1
     r = replicas.join(servers.select("server", "rack"), "server")
     one = F.concat(F.lit("host"), F.col("server").cast("string"), F.lit(" 20000 "), F.col("rack").cast("string"))
-    r = r.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("server", one.alias("t")))), lambda x: x.t).alias("t"))
-    c = chunks.join(r, "chunk_id", "left")
+    r = r.repartition(parts, "chunk_id").groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("server", one.alias("t")))), lambda x: x.t).alias("t"))
+    c = chunks.repartition(parts, "chunk_id").join(r, "chunk_id", "left")
     n = F.coalesce(F.size("t"), F.lit(0))
     n = F.when(n < 0, 0).otherwise(n).cast("string")
     return c.select(F.concat_ws(" ", F.col("chunk_id").cast("string"), F.col("fid").cast("string"), n, F.array_join("t", " ")).alias("line"))
