@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.llm import decontaminate, katz, langid, licenses, mixing, secrets, simhash, substring
+from tidemark.session import scratch_dir
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -454,6 +456,38 @@ def test_katz_scores_a_second_corpus_by_stored_tables(spark, docs, tmp_path):
         assert got[r.doc_id].score == pytest.approx(r.score) and got[r.doc_id].train_tokens == r.train_tokens
 
 
+def test_katz_splits_frequent_histories(spark, docs, tmp_path):
+    d = docs.where("doc_id < 120")
+    want = {r.doc_id: r for r in katz.score(d, F.col("doc_id") >= 80, 3).collect()}
+    got = katz.score(d, F.col("doc_id") >= 80, 3, size=40_000, tokens=200).collect()
+    katz.train(d.where("doc_id < 80"), 3, size=40_000, tokens=200).save(str(tmp_path / "model"))
+    model = katz.Model.load(spark, str(tmp_path / "model"))
+    parts = [r.n for r in model.tables.where(F.col("kind") == katz.SPLIT).groupBy("family").agg(F.countDistinct("bucket").alias("n")).collect()]
+    assert len(parts) == 2 and min(parts) > 1  # histories of one and of two words, in several buckets
+    again = model.score(d.where("doc_id >= 80"), size=30_000).collect()
+    assert len(got) == len(want) and len(again) == sum(r.held_out for r in want.values()) > 30
+    for r in got + again:
+        assert r.score == pytest.approx(want[r.doc_id].score) and r.train_tokens == want[r.doc_id].train_tokens
+
+
+def test_katz_keeps_one_state_on_disk(spark, docs):
+    """What is sent and what stays in the scratch folder, beside the bytes of the texts."""
+
+    def sent():
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    def kept():
+        folder = Path(scratch_dir(spark).removeprefix("file:"))
+        return {f: f.stat().st_size for f in folder.rglob("*.parquet")}
+
+    text = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    before, there = sent(), kept()
+    assert katz.score(docs, F.lit(False)).count() == docs.count()
+    left = {f: n for f, n in kept().items() if f not in there}
+    assert len({f.parent for f in left if f"kind={katz.ANSWER}" in str(f)}) == 1  # of the last length only
+    assert sent() - before + sum(left.values()) < 5 * text
+
+
 def test_katz_edge_cases(spark, odd):
     got = katz.score(odd, F.lit(False)).collect()
     assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (1, 2, 5)} == {1}

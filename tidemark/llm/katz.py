@@ -14,22 +14,27 @@ Katz's Good-Turing discounts from the counts of counts of that length; where the
 history whose n-grams are all too frequent for a discount keeps one part in c(h) + 1 for the
 unseen. A history without training counts leaves P(w | h').
 
-Tables. N-grams are exact, not hashed: the bucket that owns a word gives it a number, an n-gram is
-the pair (number of its history, number of its last word), and the bucket that owns it numbers it
-in turn. A bucket holds one partition of the count table of a length (``grams``: history, word,
-count) and, in the same order, of the backoff weights of these n-grams as histories
-(``weights``: how many followers have each discounted count, and their summed P(. | h'), as exact
-integers from which alpha follows). ``Model.save`` keeps the tables; ``Model.score`` scores any
-other corpus by them.
+Tables. N-grams are exact, not hashed: the bucket that owns a word gives it a number, frequent
+words small ones, and an n-gram is the numbers of its words (0 for a begin mark in a history, and
+for a word without training counts as the last one). All n-grams of a history are in one bucket.
+A history of very many tokens is split, as often as its count asks for, by its last words; its
+parts are a family of rows of their own. A bucket holds one partition of the count table of a
+length (n-grams and counts) and of the backoff weights of their histories: how many followers have
+each discounted count, how many have each discounted count after h', and the sum of the counts
+after h' that have no discount. As all followers of h follow h' too, both masses of alpha(h)
+follow from these whole numbers and the counts of h and h', exactly and in any order.
+``Model.save`` keeps the tables; ``Model.score`` scores any other corpus by them.
 
 Counting and look-up are the same exchange, once a length. Texts are cut into pieces of some
-thousand rows, written once as word numbers of their own. A piece sends each bucket its distinct
-n-grams with their local counts, so one in a third of all rows is sent once a piece; the bucket
-adds them up and answers in the same order. One piece answers for each distinct n-gram: it adds
-its mass to the sums of its history, which go to the bucket that owns the history in the next
-exchange, along with the n-grams of the next length. Scores are then evaluated from the shortest
-history to the longest, token by token. All training documents count and every text is scored
-whole. The driver gets counts of counts only.
+thousand rows, written once as word numbers. A piece sends each bucket its distinct n-grams with
+their local counts and their counts without the first token, so one in a third of all rows is sent
+once a piece; the bucket adds them up and answers with counts in the same order, and with the
+weights of the histories that have an unseen or an undiscounted n-gram in the piece. The answers
+are written into the piece, which takes the place of the one before, so that what is on disk at
+once is one state of the pieces, the tables, and the requests and answers of one length. Scores
+are evaluated from the shortest history to the longest, token by token. All training documents
+count and every text is scored whole. The driver gets counts of counts and the summed weights of
+split histories only, of which there are some eight a bucket at most.
 
 Buckets are as many as keep ``BUCKET_TOKENS`` tokens each, so a task's memory does not grow with
 the corpus; an exchange has pieces x buckets rows, so for very large corpora both sizes are to be
@@ -42,7 +47,7 @@ not arise; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from itertools import chain
 
 import numpy as np
@@ -53,21 +58,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.pieces import LEAST_BUCKETS, NO_ID, ODD, Numbers, mix, pack, pack_ints, pack_sorted, unpack, unpack_ints, unpack_sorted
-from tidemark.session import materialise, table
+from tidemark.llm.pieces import LEAST_BUCKETS, NO_ID, ODD, Numbers, mix, pack, pack_ints, unpack, unpack_ints
+from tidemark.session import discard, materialise, table
 
 ORDER = 3
 K = 5
 #: Text of a piece; a task holds some sixty times as much in arrays of all lengths.
 PIECE_BYTES = 4 << 20
 BUCKET_TOKENS = 1 << 20
-#: A number is its bucket, and its place there from 1; 0 stands for a history of begin marks only.
-PLACE = np.uint64(40)
-PLACES = np.uint64((1 << 40) - 1)
-NONE = np.uint64((1 << 64) - 1)
-#: Sums of probabilities are kept as multiples of 2**-50, so that they are exact in any order.
-UNIT = float(1 << 50)
-ANSWER, TABLE, STATS = "answer", "table", "stats"
+#: A history is split into parts of some ``BUCKET_TOKENS / SHARES`` tokens.
+SHARES = 4
+#: Weights of a history: followers of count 1..K, followers of count 1..K after h', and the sum of the other counts after h'.
+WEIGHTS = 2 * K + 1
+ANSWER, TABLE, STATS, SPLIT = "answer", "table", "stats", "split"
 
 
 # ---------------------------------------------------------------- the model's constants
@@ -163,22 +166,23 @@ def _owners(words: list[bytes], buckets: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)
 
 
-REQUEST_SCHEMA = "bucket int, family int, piece long, a binary, b binary, c binary, d binary"
+REQUEST_SCHEMA = "bucket int, family int, piece long, a binary, b binary, c binary"
 ANSWER_SCHEMA = "kind string, bucket int, family int, piece long, a binary, b binary, c binary"
+STATE_SCHEMA = "piece long, docs long, ids binary, flags binary, lengths binary, tokens binary, numbers binary, counts binary, levels array<binary>"
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<binary>": pa.list_(pa.binary())}
     fields = [(n, kinds[k]) for n, k in (x.split(" ") for x in schema.split(", "))]
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(fields)})
 
 
-def grams_family(m: int) -> int:
+def whole_family(m: int) -> int:
     return 2 * m
 
 
-def weights_family(m: int) -> int:
-    """Sums of the histories of n-grams of length m."""
+def split_family(m: int) -> int:
+    """N-grams of length m whose histories are split over buckets."""
     return 2 * m + 1
 
 
@@ -190,7 +194,7 @@ def _ask_words(buckets: int):
                 owner = _owners(words, buckets)
                 order = np.argsort(owner, kind="stable")
                 at, first = np.unique(owner[order], return_index=True)
-                rows = [(int(i), grams_family(1), piece, zstandard.ZstdCompressor(1).compress(b" ".join([words[j] for j in mine.tolist()])), pack_ints(counts[mine]), None, None) for i, mine in zip(at, np.split(order, first[1:]), strict=True)]
+                rows = [(int(i), whole_family(1), piece, zstandard.ZstdCompressor(1).compress(b" ".join([words[j] for j in mine.tolist()])), pack_ints(counts[mine]), None) for i, mine in zip(at, np.split(order, first[1:]), strict=True)]
                 yield from _rows(REQUEST_SCHEMA, rows).to_batches()
 
     return run
@@ -209,263 +213,322 @@ def _own_words(bucket: int, train: bool, known: list[dict], asked: list[dict]) -
     summed = np.zeros(len(number), np.int64)
     for where, c in parts:
         summed[where] += c  # the words of a part are distinct
-    place = np.cumsum(summed > 0)
-    family = grams_family(1)
+    seen = np.flatnonzero(summed)
+    if train:
+        seen = seen[np.argsort(-summed[seen], kind="stable")]  # frequent words get small numbers
+    place = np.zeros(len(number), np.int64)
+    place[seen] = np.arange(1, len(seen) + 1)
+    family = whole_family(1)
     rows = [(ANSWER, bucket, family, r["piece"], pack_ints(summed[w]), pack_ints(place[w]), None) for r, (w, _) in zip(asked, parts[len(known) :], strict=True)]
     if train:
         words = list(number)
-        held = zstandard.ZstdCompressor(3).compress(b" ".join([words[i] for i in np.flatnonzero(summed > 0).tolist()]))
-        if summed.any():
-            rows.append((TABLE, bucket, family, -1, held, pack_ints(summed[summed > 0]), None))
+        held = zstandard.ZstdCompressor(3).compress(b" ".join([words[i] for i in seen.tolist()]))
+        if len(seen):
+            rows.append((TABLE, bucket, family, -1, held, pack_ints(summed[seen]), None))
         rows.append((STATS, bucket, family, -1, _stats(summed), None, None))
     return rows
 
 
-def _order(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The order of the pairs (h, w): by one packed number where it fits into 64 bits."""
-    parts = [(x >> PLACE, x & PLACES) for x in (h, w)]
-    high, low = (np.uint64(max(int(p[i].max(initial=0)) for p in parts).bit_length()) for i in (0, 1))
-    if 2 * int(high + low) > 64:
-        return np.lexsort((w, h))
-    key = np.zeros(len(h), np.uint64)
-    for b, j in parts:
-        key = ((key << high | b) << low) | j
-    return np.argsort(key, kind="stable")
-
-
-def _own_grams(bucket: int, family: int, last: bool, train: bool, known: list[dict], asked: list[dict]) -> list[tuple]:
-    parts = [(unpack_sorted(r["a"]), unpack_ints(r["b"], np.uint64), unpack_ints(r["c"], np.int64)) for r in known + asked]
-    h, w, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = _order(h, w)
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order[1:]] != h[order[:-1]]) | (w[order[1:]] != w[order[:-1]])
-    where = np.empty(len(h), np.int64)
+def _pack_grams(cols: np.ndarray) -> bytes:
+    """The words of sorted n-grams, a row a position, as differences where all before them are equal."""
+    new, out = np.arange(cols.shape[1]) == 0, []
+    for c in cols:
+        d = c.copy()
+        d[1:] -= np.where(new[1:], np.uint64(0), c[:-1])
+        new[1:] |= c[1:] != c[:-1]
+        out.append(d)
+    return pack_ints(np.stack(out))
+
+
+def _unpack_grams(b: bytes, m: int) -> np.ndarray:
+    cols = unpack_ints(b, np.uint64).reshape(m, -1)
+    new = np.arange(cols.shape[1]) == 0
+    for i, d in enumerate(cols):
+        at, to = np.flatnonzero(new), np.cumsum(d, dtype=np.uint64)
+        cols[i] = to - np.repeat((to - d)[at], np.diff(at, append=len(d)))
+        new[1:] |= cols[i, 1:] != cols[i, :-1]
+    return cols
+
+
+def _weights(b: bytes) -> np.ndarray:
+    return unpack_ints(b, np.int64).reshape(WEIGHTS, -1)
+
+
+def _key(cols: np.ndarray) -> np.ndarray:
+    """One number an n-gram, in the order of the n-grams: prefixes are numbered where 64 bits are too few."""
+    key, used = cols[0], int(cols[0].max(initial=0)).bit_length()
+    for c in cols[1:]:
+        more = int(c.max(initial=0)).bit_length()
+        if used + more > 64:
+            key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+            used = len(key).bit_length()
+        key, used = key << np.uint64(more) | c, used + more
+    return key
+
+
+def _undiscounted(c: np.ndarray) -> np.ndarray:
+    return (c == 0) | (c > K)
+
+
+def _own_grams(bucket: int, family: int, train: bool, known: list[dict], asked: list[dict]) -> list[tuple]:
+    m, split = family // 2, family % 2
+    parts = [(_unpack_grams(r["a"], m), unpack_ints(r["b"], np.int64)) for r in known + asked]
+    cols, c = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts])
+    key = _key(cols)
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    where = np.empty(len(key), np.int64)
     where[order] = np.cumsum(new) - 1
-    firsts = order[new]
-    summed = np.bincount(where, c, len(firsts)).astype(np.int64)  # exact up to 2**53
-    place = np.cumsum(summed > 0)
-    answers_for = np.empty(len(firsts), np.int64)
-    answers_for[where] = np.arange(len(where))  # the last piece that has it
-    owner = np.zeros(len(where), bool)
-    owner[answers_for] = train
-    ends = np.cumsum([len(p[0]) for p in parts])[:-1]
-    split = [np.split(x, ends)[len(known) :] for x in (summed[where], place[where], owner)]
-    rows = [(ANSWER, bucket, family, r["piece"], pack_ints(s), None if last else pack_ints(np.diff(p, prepend=0)), pack(np.packbits(o))) for r, s, p, o in zip(asked, *split, strict=True)]
+    grams = cols[:, order[new]]
+    change = np.ones(grams.shape[1], bool)
+    change[1:] = (grams[:-1, 1:] != grams[:-1, :-1]).any(axis=0)
+    history, n = np.cumsum(change) - 1, int(change.sum())
+    summed = np.bincount(where, c, len(change)).astype(np.int64)  # exact up to 2**53
+    seen = summed > 0
     if train:
-        seen = firsts[summed > 0]
-        if len(seen):
-            rows.append((TABLE, bucket, family, -1, pack_sorted(h[seen]), pack_ints(w[seen]), pack_ints(summed[summed > 0])))
-        rows.append((STATS, bucket, family, -1, _stats(summed), None, None))
-    return rows
-
-
-def _own_weights(bucket: int, family: int, train: bool, known: list[dict], asked: list[dict]) -> list[tuple]:
-    parts = [(unpack_sorted(r["a"]).astype(np.int64), unpack_ints(r["b"], np.int64).reshape(K, -1), unpack_ints(r["c"], np.int64)) for r in asked]
-    size = 1 + max([int(p[0][-1]) for p in parts])
-    if known:
-        held, mass = unpack_ints(known[0]["a"], np.int64).reshape(K, -1), unpack_ints(known[0]["b"], np.int64)
-        size = max(size, len(mass))
-    of, sums = np.zeros((K, size), np.int64), np.zeros(size, np.int64)
-    if known:
-        of[:, : len(mass)], sums[: len(mass)] = held, mass
-    for at, n, s in parts:
-        of[:, at] += n  # the histories of a part are distinct
-        sums[at] += s
-    rows = []
-    for r, (at, _, _) in zip(asked, parts, strict=True):
-        want = at[np.unpackbits(unpack(r["d"], np.uint8), count=len(at)).astype(bool)]
-        if len(want):
-            rows.append((ANSWER, bucket, family, r["piece"], pack_ints(of[:, want]), pack_ints(sums[want]), None))
+        lower = np.zeros(len(change), np.int64)
+        lower[where[c > 0]] = np.concatenate([unpack_ints(r["c"], np.int64) for r in asked])[c > 0]
+        big = seen & (lower > K)
+        weights = np.stack([
+            *(np.bincount(history[summed == r], minlength=n) for r in range(1, K + 1)),
+            *(np.bincount(history[seen & (lower == r)], minlength=n) for r in range(1, K + 1)),
+            np.bincount(history[big], lower[big], n).astype(np.int64),
+        ])
+    else:
+        weights = np.zeros((WEIGHTS, n), np.int64)
+        if known:  # its histories, each once and in order
+            weights[:, np.unique(history[where[: len(parts[0][1])]])] = _weights(known[0]["c"])
+    rows, at = [], sum(len(p[1]) for p in parts[: len(known)])
+    for r, (_, own) in zip(asked, parts[len(known) :], strict=True):
+        mine = where[at : at + len(own)]
+        at += len(own)
+        counts = summed[mine]
+        wanted = np.unique(history[mine[_undiscounted(counts)]])
+        rows.append((ANSWER, bucket, family, r["piece"], pack_ints(counts), None if split else pack_ints(weights[:, wanted]), None))
     if train:
-        rows.append((TABLE, bucket, family, -1, pack_ints(of), pack_ints(sums), None))
+        if seen.any():
+            held = np.unique(history[seen])
+            rows.append((TABLE, bucket, family, -1, _pack_grams(grams[:, seen]), pack_ints(summed[seen]), pack_ints(weights[:, held])))
+            if split:
+                rows.append((SPLIT, bucket, family, -1, _pack_grams(grams[:-1, change][:, held]), pack_ints(weights[:, held]), None))
+        rows.append((STATS, bucket, family, -1, _stats(summed), None, None))
     return rows
 
 
-def _own(order: int, train: bool, asked: pa.Table, known: list[dict]) -> pa.Table:
+def _own(train: bool, asked: pa.Table, known: list[dict]) -> pa.Table:
     """One bucket of one family: answers to all pieces; in training also its table."""
     if not asked.num_rows:
         return _rows(ANSWER_SCHEMA, [])
     bucket, family = (asked.column(c)[0].as_py() for c in ("bucket", "family"))
-    rows, m = asked.sort_by("piece").to_pylist(), family // 2
-    if family % 2:
-        return _rows(ANSWER_SCHEMA, _own_weights(bucket, family, train, known, rows))
-    if m == 1:
+    rows = asked.sort_by("piece").to_pylist()
+    if family == whole_family(1):
         return _rows(ANSWER_SCHEMA, _own_words(bucket, train, known, rows))
-    return _rows(ANSWER_SCHEMA, _own_grams(bucket, family, m == order, train, known, rows))
+    return _rows(ANSWER_SCHEMA, _own_grams(bucket, family, train, known, rows))
 
 
-def _count(order: int):
-    def run(asked: pa.Table) -> pa.Table:
-        return _own(order, True, asked, [])
+def _count(asked: pa.Table) -> pa.Table:
+    return _own(True, asked, [])
 
-    return run
 
+def _look_up(asked: pa.Table, tables: pa.Table) -> pa.Table:
+    return _own(False, asked, tables.to_pylist())
 
-def _look_up(order: int):
-    def run(asked: pa.Table, tables: pa.Table) -> pa.Table:
-        return _own(order, False, asked, tables.to_pylist())
 
-    return run
+# ---------------------------------------------------------------- one piece
+@dataclass(frozen=True)
+class Plan:
+    """Where n-grams are owned."""
+
+    order: int
+    buckets: int
+    share: int  # a history is split into a part for each so many of its tokens
 
 
-# ---------------------------------------------------------------- one piece
-class Level:
-    """The distinct n-grams of one length in a piece, sorted by number; those without one last."""
+class Words:
+    """The distinct words of a piece, sorted by number; first the unknown one, which stands for all without training counts."""
 
     def __init__(self, of: np.ndarray, number: np.ndarray, count: np.ndarray):
-        self.of, self.number, self.count = of, number, count  # of: which one ends at each token
+        self.of, self.cols, self.count = of, [number], count  # of: which one ends at each token
+
+
+class Grams:
+    """The distinct n-grams of length m of a piece as pairs of a history and a word, both in order of numbers."""
+
+    def __init__(self, words: Words, before: Words | Grams, starts: np.ndarray, docs: int):
+        self.words, self.before, self.m = words, before, len(before.cols) + 1
+        self.context = np.concatenate([[0], before.of[:-1] + 1]) if len(before.of) else before.of
+        self.context[starts] = 0  # begin marks only
+        self.history_count = np.concatenate([[docs], before.count])
+        keys, self.of = np.unique(self.context * len(words.count) + words.of, return_inverse=True)
+        self.history, self.last = np.divmod(keys, len(words.count))
+        self.asked = np.flatnonzero(self.history_count[self.history] > 0)
+        self.count = np.zeros(len(keys), np.int64)
+
+    @property
+    def histories(self) -> list[np.ndarray]:
+        return [np.concatenate([[np.uint64(0)], c]) for c in self.before.cols]
+
+    @property
+    def cols(self) -> list[np.ndarray]:
+        return [*(c[self.history] for c in self.histories), self.words.cols[0][self.last]]
+
+    def _owners(self, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owners of all histories (of a split one its first part's) and which are split; for each n-gram asked for its family and bucket as one number."""
+        key = np.zeros(len(self.history_count), np.uint64)
+        for c in self.histories:
+            key = mix(key * ODD + c)
+        parts = (1 + self.history_count // plan.share).astype(np.uint64)
+        n, h = np.uint64(plan.buckets), self.history[self.asked]
+        part = mix(self.words.cols[0][self.last[self.asked]]) % parts[h]
+        split = parts > 1
+        at = mix(key[h] + part * ODD) % n + n * split[h]
+        return mix(key) % n, split, at.astype(np.uint16) if plan.buckets < 1 << 15 else at
+
+    def request(self, piece: int, learn: np.ndarray, plan: Plan) -> list[tuple]:
+        """Rows that ask for the counts of these n-grams, and add those of the piece."""
+        at = self._owners(plan)[2]
+        by = np.argsort(at, kind="stable")
+        groups, first = np.unique(at[by], return_index=True)
+        local = np.bincount(self.of[learn], minlength=len(self.count))
+        example = np.empty(len(self.count), np.int64)
+        example[self.of] = np.arange(len(self.of))
+        lower = np.where(local > 0, self.before.count[self.before.of[example]], 0)
+        cols, rows = np.stack(self.cols), []
+        for g, mine in zip(groups.tolist(), np.split(self.asked[by], first[1:]), strict=True) if len(groups) else ():
+            family = split_family(self.m) if g >= plan.buckets else whole_family(self.m)
+            rows.append((g % plan.buckets, family, piece, _pack_grams(cols[:, mine]), pack_ints(local[mine]), pack_ints(lower[mine])))
+        return rows
+
+    def _want(self) -> np.ndarray:
+        """Histories whose weights are needed: one of their n-grams is unseen or too frequent for a discount."""
+        want = np.zeros(len(self.history_count), bool)
+        want[self.history[self.asked[_undiscounted(self.count[self.asked])]]] = True
+        return want
+
+    def take(self, answers: list[dict], plan: Plan, splits: tuple[np.ndarray, np.ndarray]) -> None:
+        """Counts and weights from the buckets' answers; ``splits`` has the weights of split histories."""
+        owner, split, at = self._owners(plan)
+        if answers:
+            self.count[self.asked[np.argsort(at, kind="stable")]] = np.concatenate([unpack_ints(r["a"], np.int64) for r in answers])
+        want = self._want()
+        weights = np.zeros((WEIGHTS, len(want)), np.int64)
+        whole = np.flatnonzero(want & ~split)
+        if len(whole):
+            weights[:, whole[np.argsort(owner[whole], kind="stable")]] = np.concatenate([_weights(r["b"]) for r in answers if r["b"] is not None], axis=1)
+        parted = np.flatnonzero(want & split)
+        if len(parted):
+            place = {h: i for i, h in enumerate(zip(*splits[0].tolist(), strict=True))}
+            weights[:, parted] = splits[1][:, [place[h] for h in zip(*(c[parted].tolist() for c in self.histories), strict=True)]]
+        self.want, self.weights = np.flatnonzero(want), weights[:, want]
+
+    def packed(self) -> list[bytes]:
+        return [pack_ints(self.count[self.asked]), pack_ints(self.weights)]
+
+    def read(self, counts: bytes, weights: bytes) -> None:
+        self.count[self.asked] = unpack_ints(counts, np.int64)
+        self.want, self.weights = np.flatnonzero(self._want()), _weights(weights)
+
+    def probability(self, p: np.ndarray, k: Constants) -> np.ndarray:
+        """P of each token, from its P by a history that is one shorter."""
+        d, r, n = k.discount(self.m), np.arange(1, K + 1), len(self.history_count)
+        self.total = np.maximum(self.history_count, 1)
+        free = np.full(n, float((d[1:] < 1).any()))  # more than zero: the others have a follower with a discount
+        free[self.want] = (r * (1 - d[1:])) @ self.weights[:K] / self.total[self.want]
+        full = free <= 1e-12
+        self.keep = np.where(full, self.total / (self.total + 1), 1.0)
+        mass = (r * k.discount(self.m - 1)[1:]) @ self.weights[K : 2 * K] + self.weights[2 * K]
+        if self.m == 2:
+            mass *= k.keep / max(k.n, 1)
+        else:
+            example = np.zeros(n, np.int64)
+            example[self.context] = np.arange(len(self.context))
+            shorter = self.before.context[example[self.want]]
+            mass *= self.before.keep[shorter] / self.before.total[shorter]
+        alpha = np.ones(n)  # also after a history without training counts
+        alpha[self.want] = np.where(full, 1 / (self.total + 1), free)[self.want] / np.maximum(1 - mass, 1e-300)
+        seen = self.keep[self.history] * k.discounted(self.m, self.count) / self.total[self.history]
+        return np.where((self.count > 0)[self.of], seen[self.of], alpha[self.history][self.of] * p)
 
 
 class Piece:
-    """The n-grams of a piece, as far as the answers have come."""
+    """The texts of a piece and their n-grams, as far as the answers have come."""
 
-    def __init__(self, row: dict, answers: pa.Table, order: int, buckets: int, constants: Constants):
-        self.buckets, self.constants, self.order = buckets, constants, order
+    def __init__(self, row: dict):
+        self.row, self.docs = row, row["docs"]
         self.ids, self.flags, self.lengths = unpack(row["ids"], np.int64), unpack(row["flags"], np.int8), unpack_ints(row["lengths"], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.learn = np.repeat(self.flags == 0, self.lengths)
-        self.given: dict[int, list] = {}
-        for r in answers.sort_by([("family", "ascending"), ("bucket", "ascending")]).to_pylist():
-            self.given.setdefault(r["family"], []).append(r)
-        owner = _owners(_words(row["words"]), buckets)
-        number, count = np.full(len(owner), NONE), np.zeros(len(owner), np.int64)
-        asked = np.argsort(owner, kind="stable")
-        count[asked], place = self._values(1, "a"), self._values(1, "b").astype(np.uint64)
-        number[asked] = np.where(count[asked] > 0, (owner[asked] << PLACE) | place, NONE)
-        self.docs = int(count[0])  # the end of a text, once a training document
-        by = np.argsort(number, kind="stable")
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        self.word = Level(rank[unpack_ints(row["tokens"], np.uint32)], number[by], count[by])
-        self.levels = [self.word]
-        self.parts: list[Grams] = []
-
-    def _values(self, m: int, column: str, family=grams_family) -> np.ndarray:
-        got = [unpack_ints(r[column], np.int64) for r in self.given.get(family(m), [])]
-        return np.concatenate(got) if got else np.zeros(0, np.int64)
+        self.words = Words(unpack_ints(row["tokens"], np.int64), unpack_ints(row["numbers"], np.uint64), unpack_ints(row["counts"], np.int64))
+        self.levels: list[Words | Grams] = [self.words]
+        for counts, weights in zip(row["levels"][::2], row["levels"][1::2], strict=True):
+            self.grow().read(counts, weights)
 
     def grow(self) -> Grams:
-        """The n-grams that are one longer; their counts if they have been answered."""
-        g = Grams(self, len(self.levels) + 1)
-        self.parts.append(g)
-        return g
-
-    def done(self) -> None:
-        """Let go of the n-grams, which refer to the piece: its arrays must not wait for a collector of cycles."""
-        self.parts.clear()
-
-    def probabilities(self, upto: int) -> np.ndarray:
-        """P of each token by a history of ``upto`` - 1 tokens."""
-        p = self.constants.unigram(self.word.count)[self.word.of]
-        for g in self.parts[: upto - 1]:
-            p = g.probability(p)
+        """The n-grams that are one longer, without counts yet."""
+        self.levels.append(Grams(self.words, self.levels[-1], self.starts, self.docs))
+        return self.levels[-1]
+
+    def state(self) -> tuple:
+        """The row of this piece, as of ``STATE_SCHEMA``, with the counts of its longest n-grams."""
+        levels = [*self.row["levels"], *(self.levels[-1].packed() if len(self.levels) > 1 else [])]
+        return tuple((self.row | {"levels": levels})[x.split(" ")[0]] for x in STATE_SCHEMA.split(", "))
+
+    def probabilities(self, k: Constants) -> np.ndarray:
+        p = k.unigram(self.words.count)[self.words.of]
+        for g in self.levels[1:]:
+            p = g.probability(p, k)
         return p
 
 
-class Grams:
-    """The n-grams of length m of a piece as pairs of a history and a word, both in order of number."""
-
-    def __init__(self, p: Piece, m: int):
-        self.p, self.m = p, m
-        before, words = p.levels[-1], len(p.word.number)
-        history = np.concatenate([[0], before.of[:-1] + 1]) if len(before.of) else before.of
-        history[p.starts] = 0
-        self.histories = np.concatenate([[np.uint64(0)], before.number])
-        self.history_count = np.concatenate([[p.docs], before.count])
-        keys, self.of = np.unique(history * words + p.word.of, return_inverse=True)
-        self.history, self.last = keys // words, keys % words
-        known = np.flatnonzero((self.history_count[self.history] > 0) & (p.word.count[self.last] > 0))
-        owner = mix(self.histories[self.history[known]] * ODD + p.word.number[self.last[known]]) % np.uint64(p.buckets)
-        by = np.argsort(owner.astype(np.uint16) if p.buckets < 1 << 16 else owner, kind="stable")
-        self.asked, self.owner = known[by], owner[by]
-        self.count, self.mine = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        answers = p.given.get(grams_family(m), [])
-        if answers:
-            counts = [unpack_ints(r["a"], np.int64) for r in answers]
-            self.count[self.asked] = np.concatenate(counts)
-            self.mine[self.asked] = np.concatenate([np.unpackbits(unpack(r["c"], np.uint8), count=len(c)) for r, c in zip(answers, counts, strict=True)]).astype(bool)
-            self.mine &= self.count > 0
-            if m < p.order:
-                place = np.concatenate([np.cumsum(unpack_ints(r["b"], np.int64)) for r in answers]).astype(np.uint64)
-                self._settle(place)
-
-    def _settle(self, place: np.ndarray) -> None:
-        seen = self.count[self.asked] > 0
-        by = np.concatenate([self.asked[seen], np.flatnonzero(self.count == 0)])
-        number = np.full(len(by), NONE)
-        number[: seen.sum()] = (self.owner[seen] << PLACE) | place[seen]
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        self.p.levels.append(Level(rank[self.of], number, self.count[by]))
-
-    def request(self, piece: int) -> list[tuple]:
-        """Rows that ask for the counts of these n-grams, and add those of the piece."""
-        local = np.bincount(self.of[self.p.learn], minlength=len(self.count))
-        at, first = np.unique(self.owner, return_index=True)
-        rows = []
-        for i, mine in zip(at, np.split(self.asked, first[1:]), strict=True) if len(at) else ():
-            rows.append((int(i), grams_family(self.m), piece, pack_sorted(self.histories[self.history[mine]]), pack_ints(self.p.word.number[self.last[mine]]), pack_ints(local[mine]), None))
-        return rows
+def _numbered(row: dict, answers: list[dict], plan: Plan) -> Piece:
+    """A piece whose words have the numbers and counts of their owners."""
+    owner = _owners(_words(row["words"]), plan.buckets)
+    by = np.argsort(owner, kind="stable")
+    count, number = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.uint64)
+    count[by], place = (np.concatenate([unpack_ints(r[c], np.int64) for r in answers]) for c in "ab")
+    number[by] = np.where(place > 0, (place - 1) * plan.buckets + owner[by].astype(np.int64) + 1, 0)
+    known = np.flatnonzero(count > 0)
+    known = known[np.argsort(number[known])]
+    of = np.zeros(len(owner), np.int64)
+    of[known] = np.arange(1, len(known) + 1)
+    packed = {
+        "docs": int(count[0]),  # the end of a text, once a training document
+        "tokens": pack_ints(of[unpack_ints(row["tokens"], np.int64)]),
+        "numbers": pack_ints(np.concatenate([[np.uint64(0)], number[known]])),
+        "counts": pack_ints(np.concatenate([[0], count[known]])),
+        "levels": [],
+    }
+    return Piece(row | packed)
+
+
+def _joined(pieces: pa.Table, answers: pa.Table, m: int, plan: Plan, splits: tuple[np.ndarray, np.ndarray]):
+    """Pieces with the answers of length m."""
+    got = answers.sort_by([("family", "ascending"), ("bucket", "ascending")]).to_pylist()
+    for row in pieces.to_pylist():
+        if m == 1:
+            yield _numbered(row, got, plan)
+        else:
+            p = Piece(row)
+            p.grow().take(got, plan, splits)
+            yield p
+
+
+def _join(m: int, plan: Plan, splits: tuple[np.ndarray, np.ndarray]):
+    def run(pieces: pa.Table, answers: pa.Table) -> pa.Table:
+        return _rows(STATE_SCHEMA, [p.state() for p in _joined(pieces, answers, m, plan, splits)])
 
-    def wanted(self) -> np.ndarray:
-        """Histories whose weights are needed: one of their n-grams is unseen or has no discount."""
-        d, c = self.p.constants.discount(self.m), self.count
-        plain = (c == 0) | (c > K) | (d[np.minimum(c, K)] >= 1)
-        return (np.bincount(self.history[plain], minlength=len(self.histories)) > 0) & (self.history_count > 0)
+    return run
 
-    def weigh(self, piece: int) -> list[tuple]:
-        """Rows with what this piece knows of its histories' weights, and which of them it wants."""
-        n = len(self.histories)
-        mine = np.flatnonzero(self.mine)
-        example = np.empty(len(self.count), np.int64)
-        example[self.of] = np.arange(len(self.of))
-        lower = self.p.probabilities(self.m - 1)[example[mine]]
-        mass = np.bincount(self.history[mine], np.floor(lower * UNIT), n).astype(np.int64)
-        of = np.stack([np.bincount(self.history[mine[self.count[mine] == r]], minlength=n) for r in range(1, K + 1)])
-        want = self.wanted()
-        send = np.flatnonzero(want | (mass > 0))
-        owner = (self.histories[send] >> PLACE).astype(np.int64)
-        at, first = np.unique(owner, return_index=True)
-        rows = []
-        for i, s in zip(at, np.split(send, first[1:]), strict=True) if len(at) else ():
-            rows.append((int(i), weights_family(self.m), piece, pack_sorted(self.histories[s] & PLACES), pack_ints(of[:, s]), pack_ints(mass[s]), pack(np.packbits(want[s]))))
-        return rows
 
-    def probability(self, lower: np.ndarray) -> np.ndarray:
-        """P of each token, from its P by a history that is one shorter."""
-        k, n = self.p.constants, len(self.histories)
-        of, mass = np.zeros((K, n), np.int64), np.zeros(n, np.int64)
-        want = np.flatnonzero(self.wanted())
-        got = self.p.given.get(weights_family(self.m), [])
-        if len(want) and got:
-            of[:, want] = np.concatenate([unpack_ints(r["a"], np.int64).reshape(K, -1) for r in got], axis=1)
-            mass[want] = np.concatenate([unpack_ints(r["b"], np.int64) for r in got])
-        total = np.maximum(self.history_count, 1)
-        free = (np.arange(1, K + 1) * (1 - k.discount(self.m)[1:])) @ of / total
-        full = np.zeros(n, bool)
-        full[want] = free[want] <= 1e-12
-        keep = np.where(full, total / (total + 1), 1.0)
-        alpha = np.where(full, 1 / (total + 1), free) / np.maximum(1 - mass / UNIT, 1e-300)
-        seen = keep[self.history] * k.discounted(self.m, self.count) / total[self.history]
-        factor = np.where(self.history_count > 0, alpha, 1.0)[self.history]
-        return np.where((self.count > 0)[self.of], seen[self.of], factor[self.of] * lower)
-
-
-def _ask(k: int, order: int, buckets: int, constants: Constants):
-    """After the counts of length k: weights of their histories, and the n-grams of length k + 1."""
+def _ask(plan: Plan):
+    """Requests of the n-grams that are one longer than those of the state."""
 
-    def run(pieces: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = []
-        for row in pieces.to_pylist():
-            p = Piece(row, answers, order, buckets, constants)
-            for _ in range(2, k + 1):
-                p.grow()
-            if k > 1:
-                rows += p.parts[-1].weigh(row["piece"])
-            if k < order:
-                rows += p.grow().request(row["piece"])
-            p.done()
-        return _rows(REQUEST_SCHEMA, rows)
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                p = Piece({n: b.column(n)[i].as_py() for n in b.schema.names})
+                rows = p.grow().request(p.row["piece"], np.repeat(p.flags == 0, p.lengths), plan)
+                yield from _rows(REQUEST_SCHEMA, rows).to_batches()
 
     return run
 
@@ -473,18 +536,14 @@ def _ask(k: int, order: int, buckets: int, constants: Constants):
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(order: int, buckets: int, constants: Constants):
+def _score(plan: Plan, splits: tuple[np.ndarray, np.ndarray], constants: Constants):
     def run(pieces: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        for row in pieces.to_pylist():
-            p = Piece(row, answers, order, buckets, constants)
-            for _ in range(2, order + 1):
-                p.grow()
-            c = p.word.count
-            each = {"n_known": (c > 0)[p.word.of].astype(np.int64), "base_score": constants.base(c)[p.word.of], "score": np.log10(p.probabilities(order))}
+        for p in _joined(pieces, answers, plan.order, plan, splits):
+            c = p.words.count
+            each = {"n_known": (c > 0)[p.words.of].astype(np.int64), "base_score": constants.base(c)[p.words.of], "score": np.log10(p.probabilities(constants))}
             cols = {"doc_id": pa.array(p.ids, mask=p.ids == NO_ID), "held_out": pa.array(p.flags == 1), "n_tokens": pa.array(p.lengths)}
             out.append(pa.table(cols | {n: pa.array(np.add.reduceat(v, p.starts)) for n, v in each.items()}))  # every text has its end at least
-            p.done()
         return pa.concat_tables(out)
 
     return run
@@ -503,66 +562,84 @@ def _constants(stats: DataFrame) -> Constants:
     return Constants(found or {1: np.zeros(K + 3, np.int64)})
 
 
-def _exchange(pieces: DataFrame, order: int, buckets: int, tables: DataFrame | None, constants: Constants | None) -> tuple[DataFrame, Constants]:
-    """All answers, and in training (no ``tables``) all tables, of all lengths up to ``order``."""
-
-    def answer(asked: DataFrame, *families: int) -> DataFrame:
-        by = asked.groupBy("bucket", "family")
-        if tables is None:
-            return materialise(by.applyInArrow(_count(order), ANSWER_SCHEMA), "grams", ("kind",))
-        there = tables.where((F.col("kind") == TABLE) & F.col("family").isin(*families)).groupBy("bucket", "family")
-        return materialise(by.cogroup(there).applyInArrow(_look_up(order), ANSWER_SCHEMA), "grams", ("kind",))
+def _splits(tables: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The split histories of n-grams of length m, and their weights summed over their parts."""
+    found: dict[tuple, np.ndarray] = {}
+    for r in tables.where((F.col("kind") == SPLIT) & (F.col("family") == split_family(m))).select("a", "b").toLocalIterator():  # some eight histories a bucket at most
+        cols, weights = _unpack_grams(bytes(r["a"]), m - 1), _weights(bytes(r["b"]))
+        for h, w in zip(zip(*cols.tolist(), strict=True), weights.T, strict=True):
+            found[h] = found.get(h, 0) + w
+    return np.array(list(found), np.uint64).reshape(-1, max(m - 1, 1)).T, np.array(list(found.values()), np.int64).reshape(-1, WEIGHTS).T
 
-    got = answer(pieces.select("piece", "words", "counts").mapInArrow(_ask_words(buckets), REQUEST_SCHEMA), grams_family(1))
-    for k in range(1, order + 1):
-        now = constants or _constants(got)
-        asked = pieces.groupBy("piece").cogroup(got.where(F.col("kind") == ANSWER).groupBy("piece")).applyInArrow(_ask(k, order, buckets, now), REQUEST_SCHEMA)
-        got = got.union(answer(asked, weights_family(k), grams_family(k + 1)))
-    return got, constants or _constants(got)
 
+def _exchange(pieces: DataFrame, plan: Plan, tables: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pieces but for the answers of the last length, all answers of that, and the tables of all lengths (in training: no ``tables``)."""
 
-def _scores(pieces: DataFrame, got: DataFrame, order: int, buckets: int, constants: Constants) -> DataFrame:
-    answers = got.where(F.col("kind") == ANSWER).groupBy("piece")
-    out = pieces.groupBy("piece").cogroup(answers).applyInArrow(_score(order, buckets, constants), SCORE_SCHEMA)
+    def answer(asked: DataFrame, m: int) -> DataFrame:
+        by = asked.groupBy("bucket", "family")
+        if tables is None:
+            return materialise(by.applyInArrow(_count, ANSWER_SCHEMA), "grams", ("kind",))
+        there = tables.where((F.col("kind") == TABLE) & F.col("family").isin(whole_family(m), split_family(m))).groupBy("bucket", "family")
+        return materialise(by.cogroup(there).applyInArrow(_look_up, ANSWER_SCHEMA), "grams", ("kind",))
+
+    got = answer(pieces.select("piece", "words", "counts").mapInArrow(_ask_words(plan.buckets), REQUEST_SCHEMA), 1)
+    made = got
+    for m in range(1, plan.order):
+        state = materialise(_meet(pieces, got).applyInArrow(_join(m, plan, _splits(made if tables is None else tables, m)), STATE_SCHEMA), "state")
+        discard(pieces)  # the state stands in for them
+        discard(got, f"kind={ANSWER}")
+        pieces = state
+        got = answer(pieces.mapInArrow(_ask(plan), REQUEST_SCHEMA), m + 1)
+        made = made.union(got)
+    return pieces, got, made if tables is None else tables
+
+
+def _meet(pieces: DataFrame, got: DataFrame):
+    return pieces.groupBy("piece").cogroup(got.where(F.col("kind") == ANSWER).groupBy("piece"))
+
+
+def _scores(pieces: DataFrame, plan: Plan, tables: DataFrame | None) -> DataFrame:
+    last, got, tables = _exchange(pieces, plan, tables)
+    constants = _constants(tables)
+    out = _meet(last, got).applyInArrow(_score(plan, _splits(tables, plan.order), constants), SCORE_SCHEMA)
     return out.withColumn("train_tokens", F.lit(constants.n).cast("long"))
 
 
-def _buckets(pieces: DataFrame, tokens: int) -> int:
+def _plan(pieces: DataFrame, order: int, tokens: int) -> Plan:
     n = pieces.agg(F.sum("n_tokens")).first()[0] or 0
-    return max(LEAST_BUCKETS, -(-n // tokens))
+    return Plan(order, max(LEAST_BUCKETS, -(-n // tokens)), max(tokens // SHARES, 1))
 
 
 @dataclass
 class Model:
-    """A trained model: its tables ``(kind, bucket, family, piece, a, b, c)``, one row a bucket and family."""
+    """A trained model: its tables ``(kind, bucket, family, piece, a, b, c)``, one row a kind, bucket and family."""
 
     tables: DataFrame
-    order: int
-    buckets: int
+    plan: Plan
+
+    @property
+    def order(self) -> int:
+        return self.plan.order
 
     def save(self, path: str) -> None:
         """Write the tables, a folder for each kind and family."""
-        self.tables.withColumns({"order": F.lit(self.order), "buckets": F.lit(self.buckets)}).write.partitionBy("kind", "family").parquet(path)
+        self.tables.withColumns({k: F.lit(v) for k, v in asdict(self.plan).items()}).write.partitionBy("kind", "family").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Model:
-        t = spark.read.schema(f"{ANSWER_SCHEMA}, order int, buckets int").parquet(path)
-        first = t.select("order", "buckets").first()
-        return cls(t.drop("order", "buckets"), first[0], first[1])
+        t = spark.read.schema(f"{ANSWER_SCHEMA}, order int, buckets int, share int").parquet(path)
+        return cls(t.drop("order", "buckets", "share"), Plan(*t.select("order", "buckets", "share").first()))
 
     def score(self, docs: DataFrame, size: int = PIECE_BYTES) -> DataFrame:
         """Score every row of ``docs``, none of which is learnt from; columns as of ``score``."""
-        pieces, constants = _pieces(docs, F.lit(True), size), _constants(self.tables)
-        got, _ = _exchange(pieces, self.order, self.buckets, self.tables, constants)
-        return _scores(pieces, got, self.order, self.buckets, constants)
+        return _scores(_pieces(docs, F.lit(True), size), self.plan, self.tables)
 
 
 def train(docs: DataFrame, order: int = ORDER, size: int = PIECE_BYTES, tokens: int = BUCKET_TOKENS) -> Model:
     """A model of all rows of ``docs``."""
     pieces = _pieces(docs, F.lit(False), size)
-    buckets = _buckets(pieces, tokens)
-    got, _ = _exchange(pieces, order, buckets, None, None)
-    return Model(got.where(F.col("kind") != ANSWER), order, buckets)
+    plan = _plan(pieces, order, tokens)
+    return Model(_exchange(pieces, plan, None)[2].where(F.col("kind") != ANSWER), plan)
 
 
 def score(docs: DataFrame, held_out, order: int = ORDER, size: int = PIECE_BYTES, tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -571,9 +648,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER, size: int = PIECE_BYTES
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10).
     """
     pieces = _pieces(docs, held_out, size)
-    buckets = _buckets(pieces, tokens)
-    got, constants = _exchange(pieces, order, buckets, None, None)
-    return _scores(pieces, got, order, buckets, constants)
+    return _scores(pieces, _plan(pieces, order, tokens), None)
 
 
 def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,14 +87,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` returned and that nothing will read again."""
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete a table that ``materialise`` returned and that nothing will read again, or one ``part`` (``column=value``) of it."""
     spark = df.sparkSession
     mine = _written.get(spark.sparkContext.applicationId, [])
     for file in df.inputFiles()[:1]:
         for path in [p for p in mine if f"/{p.rsplit('/', 1)[1]}/" in file]:
-            _delete(spark, path)
-            mine.remove(path)
+            _delete(spark, f"{path}/{part}" if part else path)
+            if not part:
+                mine.remove(path)
 
 
 def release(spark: SparkSession) -> None:
