@@ -16,13 +16,13 @@ unseen. A history without training counts leaves P(w | h').
 
 Tables. N-grams are exact, not hashed: the bucket that owns a word gives it a number, frequent
 words small ones, and an n-gram is the numbers of its words (0 for a begin mark in a history, and
-for a word without training counts as the last one). All n-grams of a history are in one bucket.
-A history of very many tokens is split, as often as its count asks for, by its last words; its
-parts are a family of rows of their own. A bucket holds one partition of the count table of a
-length (n-grams and counts) and of the backoff weights of their histories: how many followers have
-each discounted count, how many have each discounted count after h', and the sum of the counts
-after h' that have no discount. As all followers of h follow h' too, both masses of alpha(h)
-follow from these whole numbers and the counts of h and h', exactly and in any order.
+as the last one for all words that do not follow h' in training). All n-grams of a history are in
+one bucket. A history of very many tokens is split, as often as its count asks for, by its last
+words; its parts are a family of rows of their own. A bucket holds one partition of the count table
+of a length (n-grams and counts) and of the backoff weights of their histories: how many followers
+have each discounted count, how many have each discounted count after h', and the sum of the
+counts after h' that have no discount. As all followers of h follow h' too, both masses of
+alpha(h) follow from these whole numbers and the counts of h and h', exactly and in any order.
 ``Model.save`` keeps the tables; ``Model.score`` scores any other corpus by them.
 
 Counting and look-up are the same exchange, once a length. Texts are cut into pieces of some
@@ -289,12 +289,13 @@ def _own_grams(bucket: int, family: int, train: bool, known: list[dict], asked:
     if train:
         lower = np.zeros(len(change), np.int64)
         lower[where[c > 0]] = np.concatenate([unpack_ints(r["c"], np.int64) for r in asked])[c > 0]
-        big = seen & (lower > K)
-        weights = np.stack([
-            *(np.bincount(history[summed == r], minlength=n) for r in range(1, K + 1)),
-            *(np.bincount(history[seen & (lower == r)], minlength=n) for r in range(1, K + 1)),
+        small, big = seen & (summed <= K), seen & (lower > K)
+        near = seen & ~big
+        weights = np.concatenate([
+            np.bincount((summed[small] - 1) * n + history[small], minlength=K * n),
+            np.bincount((lower[near] - 1) * n + history[near], minlength=K * n),
             np.bincount(history[big], lower[big], n).astype(np.int64),
-        ])
+        ]).reshape(WEIGHTS, n)
     else:
         weights = np.zeros((WEIGHTS, n), np.int64)
         if known:  # its histories, each once and in order
@@ -309,6 +310,7 @@ def _own_grams(bucket: int, family: int, train: bool, known: list[dict], asked:
     if train:
         if seen.any():
             held = np.unique(history[seen])
+            held = held if len(held) < n else slice(None)
             rows.append((TABLE, bucket, family, -1, _pack_grams(grams[:, seen]), pack_ints(summed[seen]), pack_ints(weights[:, held])))
             if split:
                 rows.append((SPLIT, bucket, family, -1, _pack_grams(grams[:-1, change][:, held]), pack_ints(weights[:, held]), None))
@@ -360,7 +362,8 @@ class Grams:
         self.context = np.concatenate([[0], before.of[:-1] + 1]) if len(before.of) else before.of
         self.context[starts] = 0  # begin marks only
         self.history_count = np.concatenate([[docs], before.count])
-        keys, self.of = np.unique(self.context * len(words.count) + words.of, return_inverse=True)
+        word = np.where(before.count[before.of] > 0, words.of, 0)  # as good as unknown here: with the shorter n-gram unseen, so is this one
+        keys, self.of = np.unique(self.context * len(words.count) + word, return_inverse=True)
         self.history, self.last = np.divmod(keys, len(words.count))
         self.asked = np.flatnonzero(self.history_count[self.history] > 0)
         self.count = np.zeros(len(keys), np.int64)
